@@ -43,7 +43,7 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-_NAME = "replace(upper(trim(regexp_replace(text, '" + _SPACE + "', ' ', 'g'))), 'ß', 'SS')"
+_NAME = "replace(upper(trim(regexp_replace(text, '" + _SPACE + "', ' ', 'g'))), 'ẞ', 'SS')"
 
 
 @query("F1_normalize_name", f"""SELECT doc_id, sha256(n) AS digest, length(n) AS characters
