@@ -10,7 +10,7 @@ something better.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,16 +39,16 @@ def _undominated(values: np.ndarray) -> np.ndarray:
 
 
 def _thin(points: DataFrame, by: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
-    """Drop points dominated inside their own cell and chunk."""
+    """Drop points dominated inside their own chunk of bounded size."""
     columns = list(dimensions)
 
     def frontier(chunk: pd.DataFrame) -> pd.DataFrame:
         return chunk[_undominated(chunk[columns].to_numpy(dtype="float64"))]
 
-    size = group_size(points, [*by, "cell"], "_n")
+    size = group_size(points, by, "_n")
     chunks = F.ceil(F.col("_n") / _CHUNK_ROWS)
     salted = size.withColumn("_chunk", F.pmod(F.xxhash64(*columns), chunks)).drop("_n")
-    return salted.groupBy(*by, "cell", "_chunk").applyInPandas(frontier, salted.schema).drop("_chunk")
+    return salted.groupBy(*by, "_chunk").applyInPandas(frontier, salted.schema).drop("_chunk")
 
 
 def pareto_frontier(df: DataFrame, dimensions: Sequence[str], *, by: Sequence[str] = ()) -> DataFrame:
