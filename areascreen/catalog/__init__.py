@@ -7,7 +7,7 @@ import importlib
 from areascreen.catalog import registry
 
 #: Catalog modules, in the order in which their queries are listed.
-MODULES = ["access", "scalars", "spatial", "decide", "entities", "network"]
+MODULES = ["access", "scalars", "spatial", "decide", "entities", "network", "relations", "storage"]
 
 
 def load() -> tuple[dict, dict]:

@@ -194,14 +194,14 @@ def offerings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("E4_A30_relocations", """
   WITH b AS (SELECT c_custkey AS branch_id, c_nationkey AS brand_id, CASE WHEN c_custkey%5 = 0 THEN 'closed' ELSE 'current' END AS status FROM customer),
-  r AS (SELECT c_custkey AS prev, c_custkey + 1 AS new FROM customer WHERE c_custkey%10 = 3)
+  r AS (SELECT c_custkey AS prev, c_custkey + 1 AS new FROM customer WHERE c_mktsegment = 'BUILDING')
   SELECT count(*) FILTER (CASE WHEN o.prev IS NOT NULL THEN 'relocated' WHEN n.new IS NOT NULL THEN 'current' ELSE status END = 'current') AS current_branches,
     count(DISTINCT brand_id) AS distinct_brands, (SELECT count(*) FROM r) AS history_rows FROM b LEFT JOIN r o ON b.branch_id = o.prev LEFT JOIN r n ON b.branch_id = n.new""")
 def relocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     customers = table(spark, sf_dir, "customer")
     rows = customers.select(key.alias("branch_id"), F.col("c_nationkey").alias("brand_id"), F.when(key % 5 == 0, "closed").otherwise("current").alias("status"))
-    moves = customers.filter(key % 10 == 3).select(
+    moves = customers.filter("c_mktsegment = 'BUILDING'").select(
         key.alias("previous_branch_id"), (key + 1).alias("new_branch_id"), F.lit(True).alias("effective_date_known"), F.lit("S1").alias("source_ref")
     )
     linked, history = entity.relocate(rows, moves)

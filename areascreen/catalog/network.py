@@ -97,7 +97,7 @@ def unused_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STATUS_SQL = STATION_SQL + r""",
   base AS (SELECT complex_name, rail_mode, regexp_replace(complex_name, '\s+(?:MRT|LRT)\s+STATION$', '') AS base_name FROM cpx),
-  ros AS (SELECT DISTINCT base_name FROM base WHERE length(base_name)%2 = 0),
+  ros AS (SELECT DISTINCT base_name FROM base WHERE contains(base_name, '1')),
   opst AS (SELECT b.complex_name, b.rail_mode, b.base_name, CASE WHEN b.complex_name = 'STATION 4 MRT STATION' THEN 'verified_operational' WHEN b.complex_name LIKE '%7%' THEN 'not_operational'
     WHEN r.base_name IS NOT NULL AND rail_mode IN ('mrt', 'lrt') THEN 'verified_operational' ELSE 'unresolved' END AS operational_status,
     CASE WHEN b.complex_name = 'STATION 4 MRT STATION' THEN 'override' WHEN b.complex_name LIKE '%7%' THEN 'exception' WHEN r.base_name IS NOT NULL AND rail_mode IN ('mrt', 'lrt') THEN 'roster' ELSE 'none' END AS basis
@@ -109,7 +109,7 @@ def operational_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     built = stations.rollup(named_exits(spark, sf_dir)).withColumn("rail_mode", text.rail_mode(F.col("complex_name")))
     base = text.station_base_name(F.col("complex_name"))
-    roster = built.select(base.alias("base_name")).filter(F.length("base_name") % 2 == 0)
+    roster = built.select(base.alias("base_name")).filter(F.contains("base_name", F.lit("1")))
     exceptions = built.filter(F.contains(F.col("complex_name"), F.lit("7"))).select("complex_name", F.lit("not_operational").alias("status"))
     overrides = built.filter("overridden").select("complex_name", F.lit("verified_operational").alias("status"))
     return stations.operational_status(built, exceptions, roster, overrides)
@@ -213,7 +213,7 @@ WALK_REACH = 1500.0
 WALK_SQL = f"""br AS (SELECT origin_id AS branch_id, (x - x%400)::DOUBLE AS x, (y - y%400)::DOUBLE AS y FROM origins WHERE origin_id%9 <> 0),
   bld AS (SELECT DISTINCT x, y, printf('%.7f,%.7f', x, y) AS coordinate_key FROM br),
   req AS (SELECT e.node_id, e.exit_id, coordinate_key, b.x, b.y, sqrt((b.x-e.x)*(b.x-e.x) + (b.y-e.y)*(b.y-e.y)) AS distance FROM exits e JOIN bld b ON b.x BETWEEN e.x-{WALK_REACH} AND e.x+{WALK_REACH} AND b.y BETWEEN e.y-{WALK_REACH} AND e.y+{WALK_REACH}
-    WHERE e.node_id%10 <> 9 AND (b.x-e.x)*(b.x-e.x) + (b.y-e.y)*(b.y-e.y) <= {WALK_REACH * WALK_REACH}),
+    WHERE e.node_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND (b.x-e.x)*(b.x-e.x) + (b.y-e.y)*(b.y-e.y) <= {WALK_REACH * WALK_REACH}),
   outc AS (SELECT *, CASE WHEN h%6 = 0 THEN 'missing_route' WHEN h%6 = 1 THEN 'http_error' ELSE 'success' END AS category, floor(distance)::DOUBLE AS distance_metres, floor(distance*0.75)::DOUBLE AS duration_seconds
     FROM (SELECT *, exit_id*7 + x::BIGINT//400 + (y::BIGINT//400)*3 AS h FROM req)),
   best AS (SELECT node_id, coordinate_key, count(*) AS attempted_exit_count, min(duration_seconds) FILTER (category = 'success') AS minimum_walk_seconds,
@@ -230,7 +230,7 @@ def walk_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     doors = exits(spark, sf_dir).select("exit_id", F.col("node_id").alias("complex_id"), "x", "y")
-    members = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 10 != 9).select(
+    members = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(
         F.col("s_suppkey").alias("complex_id"), F.col("s_suppkey").alias("node_id")
     )
     return catchment.walk_requests(walk_branches(spark, sf_dir), doors, members, reach_metres=WALK_REACH)
@@ -278,6 +278,6 @@ def first_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("od_plan_id"), F.col("event_type").alias("method"), F.col("ts").alias("attempted_at"), "event_id", "value")
     middle = events.agg(F.percentile_approx("event_id", 0.5).alias("m")).scalar()
     early, late = events.filter(F.col("event_id") <= middle), events.filter(F.col("event_id") > middle)
-    first = ledger.new_rows(early, early.limit(0), order=["attempted_at", "event_id"])
+    first = ledger.new_rows(early, spark.createDataFrame([], events.schema), order=["attempted_at", "event_id"])
     second = ledger.new_rows(late, first, order=["attempted_at", "event_id"])
     return first.unionByName(second).select("od_plan_id", "method", "event_id", F.round("value", 6).alias("value"))

@@ -187,6 +187,12 @@ def referential_integrity(branches: DataFrame, brands: DataFrame, evidence: Data
     return counted.withColumn("valid", broken == 0)
 
 
+def retained_only(records: DataFrame, retained: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(records of the retained keys, the purged rest)."""
+    keys = retained.select(key).distinct()
+    return records.join(keys, key, "left_semi"), records.join(keys, key, "left_anti")
+
+
 def explorer_rows(proximity: DataFrame, access: DataFrame, coordinates: DataFrame) -> DataFrame:
     """Proximity rows with the primary accessibility and coordinates, defaults where missing."""
     return proximity.join(access, "node_id", "left").join(coordinates, "node_id", "left").na.fill(
