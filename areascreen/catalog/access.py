@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from areascreen.catalog.registry import query
-from areascreen.catalog.views import SCENARIOS, THRESHOLD_CASES, trip_outcomes, trip_plan, with_views
+from areascreen.catalog.views import SCENARIOS, THRESHOLD_CASES, outcomes_of, trip_outcomes, trip_plan, with_views
 from areascreen.operators import access, ranking
+from areascreen.session import cut_lineage
 
 PROXIMITY_METRES = 8000.0
 
@@ -47,14 +48,20 @@ metrics AS (
     FROM flagged GROUP BY ALL))"""
 
 
+def written_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trip plan as a table of its own, which the outcome ledger and the metrics read."""
+    return cut_lineage(trip_plan(spark, sf_dir))
+
+
 def resolved_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.resolve_outcomes(trip_plan(spark, sf_dir), trip_outcomes(spark, sf_dir))
+    plan = written_plan(spark, sf_dir)
+    return access.resolve_outcomes(plan, outcomes_of(plan))
 
 
 def node_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.accessibility_metrics(
-        resolved_trips(spark, sf_dir), THRESHOLD_CASES, proximity_metres=PROXIMITY_METRES
-    )
+    plan = written_plan(spark, sf_dir)
+    resolved = access.resolve_outcomes(plan, outcomes_of(plan))
+    return access.accessibility_metrics(resolved, plan, THRESHOLD_CASES, proximity_metres=PROXIMITY_METRES)
 
 
 @query("A4_accessibility_sums", with_views("trip_outcomes cases", f"""WITH {METRICS}

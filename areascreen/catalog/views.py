@@ -154,12 +154,15 @@ def trip_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trip_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes_of(trip_plan(spark, sf_dir))
+
+
+def outcomes_of(plan: DataFrame) -> DataFrame:
     """od_plan_id, method, category, duration_seconds: what was recorded for each trip.
 
     Every trip has a public-transport row; trips whose category is not ``success``
     also have a walking row.
     """
-    plan = trip_plan(spark, sf_dir)
     h = F.col("origin_id") * 31 + F.col("node_id") * 17 + F.when(F.col("scenario_id") == SCENARIOS[0], 0).otherwise(7)
     pt = F.when(h % 10 == 0, "missing_route").when(h % 10 == 1, "invalid_response").otherwise("success")
     walk = F.when(F.floor(h / 10) % 4 == 0, "missing_route").otherwise("success")

@@ -119,13 +119,15 @@ def reach_flags(proximity_metres: float) -> dict[str, Column]:
     }
 
 
-def accessibility_metrics(resolved: DataFrame, cases: Sequence[Case], *, proximity_metres: float) -> DataFrame:
+def accessibility_metrics(
+    resolved: DataFrame, plan: DataFrame, cases: Sequence[Case], *, proximity_metres: float
+) -> DataFrame:
     """Accessible population per node, scenario and threshold case, in one aggregate.
 
     The cases are exploded from a literal, so map-side aggregation absorbs the copies
     before the only shuffle, which is on the output key.
     """
-    national = national_population(resolved).select("national_population").scalar()
+    national = national_population(plan).select("national_population").scalar()
     flags = reach_flags(proximity_metres)
 
     def people(flag: str) -> Column:

@@ -13,11 +13,12 @@ def cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(float(size)))
 
 
-def neighbours(df: DataFrame, size: float) -> DataFrame:
-    """Nine rows per point: its cell and the eight around it, as ``cx, cy``."""
+def neighbours(df: DataFrame, size: float, rings: int = 1) -> DataFrame:
+    """A row per cell around each point: its own and ``rings`` rings of neighbours, as ``cx, cy``."""
+    offsets = range(-rings, rings + 1)
     around = F.explode(F.array(*[
         F.struct((cell(F.col("x"), size) + dx).alias("cx"), (cell(F.col("y"), size) + dy).alias("cy"))
-        for dx in (-1, 0, 1) for dy in (-1, 0, 1)
+        for dx in offsets for dy in offsets
     ]))
     return df.withColumn("_cell", around).select("*", "_cell.cx", "_cell.cy").drop("_cell")
 
@@ -35,23 +36,29 @@ def sites(points: DataFrame, by: Sequence[str] = (), count: str = "n") -> DataFr
     return points.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias(count))
 
 
+def pairs_within(centres: DataFrame, located: DataFrame, radius: float) -> DataFrame:
+    """Pairs of a centre and a located row at most ``radius`` apart, with the squared distance ``d2``.
+
+    Cells of half the radius keep the candidates close to the circle. Columns of ``centres`` other
+    than x and y are kept, as are all columns of ``located``.
+    """
+    size = radius / 2
+    placed = located.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
+    kept = [c for c in centres.columns if c not in ("x", "y")]
+    spots = neighbours(centres, size, 2).select(*kept, F.col("x").alias("_x"), F.col("y").alias("_y"), "cx", "cy")
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    pairs = salted_join(placed, spots, ["cx", "cy"], spread=["x", "y"]).withColumn("d2", dx * dx + dy * dy)
+    return pairs.filter(F.col("d2") <= radius * radius).drop("cx", "cy", "_x", "_y")
+
+
 def distances_within(
     centres: DataFrame, points: DataFrame, radius: float, *, key: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """key, by, x, y, n, distance: for each position within ``radius`` of any of the key's
     centres, the least distance. A position near several centres appears once.
     """
-    located = sites(points, by).withColumn("cx", cell(F.col("x"), radius)).withColumn("cy", cell(F.col("y"), radius))
-    spots = neighbours(centres.select(key, "x", "y").distinct(), radius).select(
-        key, F.col("x").alias("_x"), F.col("y").alias("_y"), "cx", "cy"
-    )
-    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
-    pairs = salted_join(located, spots, ["cx", "cy"], spread=["x", "y"]).withColumn(
-        "_d2", dx * dx + dy * dy
-    ).filter(F.col("_d2") <= radius * radius)
-    return pairs.groupBy(key, *by, "x", "y").agg(
-        F.first("n").alias("n"), F.sqrt(F.min("_d2")).alias("distance")
-    )
+    pairs = pairs_within(centres.select(key, "x", "y").distinct(), sites(points, by), radius)
+    return pairs.groupBy(key, *by, "x", "y").agg(F.first("n").alias("n"), F.sqrt(F.min("d2")).alias("distance"))
 
 
 def counts_within(

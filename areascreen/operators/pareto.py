@@ -1,11 +1,11 @@
 """Pareto frontier (skyline): rows that no other row of the group dominates.
 
 All dimensions are higher-is-better; equal rows are kept together. The work is done on
-distinct points. Each dimension is cut into a few bins, so that a group has a bounded
-number of cells; a whole cell falls when another non-empty cell lies above it in every
-dimension. What remains is thinned to the frontier of chunks of bounded size, and each
-survivor is compared, by an anti-join on the cell, with the cells that can still hold
-something better.
+distinct points. A group that fits one chunk is solved in one vectorised step. In larger
+groups each dimension is cut into a few bins, so that a group has a bounded number of cells;
+a whole cell falls when another non-empty cell lies above it in every dimension. What remains
+is thinned chunk by chunk until it fits, or else each survivor is compared, by a semi-join on
+the cell, with the cells that can still hold something better.
 """
 
 from __future__ import annotations
@@ -38,23 +38,37 @@ def _undominated(values: np.ndarray) -> np.ndarray:
     return mask
 
 
-def _thin(points: DataFrame, by: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
-    """Drop points dominated inside their own chunk of bounded size."""
+def _thin(points: DataFrame, by: Sequence[str], dimensions: Sequence[str], *, fits: bool = False) -> DataFrame:
+    """Drop points dominated inside their own chunk; exact when each group fits one chunk."""
     columns = list(dimensions)
+    schema = points.select(*by, *columns, *[c for c in points.columns if c == "cell"]).schema
 
     def frontier(chunk: pd.DataFrame) -> pd.DataFrame:
         return chunk[_undominated(chunk[columns].to_numpy(dtype="float64"))]
 
+    if fits:
+        one = points.withColumn("_chunk", F.lit(0))
+        return one.groupBy(*by, "_chunk").applyInPandas(lambda chunk: frontier(chunk).drop(columns="_chunk"), schema)
     size = group_size(points, by, "_n")
     chunks = F.ceil(F.col("_n") / _CHUNK_ROWS)
     salted = size.withColumn("_chunk", F.pmod(F.xxhash64(*columns), chunks)).drop("_n")
-    return salted.groupBy(*by, "_chunk").applyInPandas(frontier, salted.schema).drop("_chunk")
+    return salted.groupBy(*by, "_chunk").applyInPandas(
+        lambda chunk: frontier(chunk).drop(columns="_chunk"), schema
+    )
+
+
+def _fits(points: DataFrame, by: Sequence[str]) -> bool:
+    """Whether every group fits one chunk: one count, read as one number."""
+    counts = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return (counts.agg(F.max("n").alias("n")).first()["n"] or 0) <= _CHUNK_ROWS
 
 
 def pareto_frontier(df: DataFrame, dimensions: Sequence[str], *, by: Sequence[str] = ()) -> DataFrame:
     """Distinct (by, dimensions) on the frontier; rows with a null dimension do not take part."""
     known = df.select(*by, *[F.col(d).cast("double").alias(d) for d in dimensions]).na.drop(subset=list(dimensions))
-    points = known.distinct()
+    points = cut_lineage(known.distinct())
+    if _fits(points, by):
+        return _thin(points, by, dimensions, fits=True)
     ranges = points.groupBy(*by).agg(
         *[F.min(d).alias(f"lo_{d}") for d in dimensions], *[F.max(d).alias(f"hi_{d}") for d in dimensions],
         *[F.percentile_approx(d, [i / _BINS for i in range(1, _BINS)], 1000).alias(f"cuts_{d}") for d in dimensions],
@@ -90,6 +104,8 @@ def pareto_frontier(df: DataFrame, dimensions: Sequence[str], *, by: Sequence[st
     own = celled.select(*by, "cell").distinct()
     living = with_cells(own).filter(~F.exists("cells", lambda c: above_everywhere(c, F.col("cell")))).select(*by, "cell")
     survivors = cut_lineage(_thin(celled.join(living, [*by, "cell"], "left_semi"), by, dimensions))
+    if _fits(survivors, by):
+        return _thin(survivors.drop("cell"), by, dimensions, fits=True)
 
     # Candidates for dominating a point lie in cells at least as high in every dimension.
     living_lists = living.groupBy(*by).agg(F.collect_set("cell").alias("cells"))

@@ -1,8 +1,12 @@
 """Exact ranks, percentiles, bands and medians over groups of any size.
 
-A ``row_number`` window puts a whole group into one task. ``row_index`` gives the
-same numbers from one range-partitioned sort: rows are numbered inside each sorted
-partition and the partition offsets (one row per partition) are added.
+A ``row_number`` window puts a whole group into one task. That is used only after a check
+that the largest group is small. Beyond it, ``row_index`` gives the same numbers from one
+range-partitioned sort: rows are numbered inside each sorted partition and the partition
+offsets (one row per partition) are added.
+
+``bounded`` of the functions below is the outcome of :func:`is_bounded`; left out, it is
+checked. Callers that rank the same groups several times check once.
 """
 
 from __future__ import annotations
@@ -11,22 +15,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from areascreen.operators.skew import salted_join
 from areascreen.session import cut_lineage
 
+#: Largest group that one task may sort.
+WINDOW_ROWS = 500_000
+
 _ROW_BITS = 33  # layout of monotonically_increasing_id(): partition id above, row number below
 
 
-def group_size(df: DataFrame, by: Sequence[str] = (), name: str = "group_size") -> DataFrame:
+def is_bounded(df: DataFrame, by: Sequence[str] = ()) -> bool:
+    """Whether every group has at most ``WINDOW_ROWS`` rows: one count, read as one number."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.agg(F.max("n").alias("n")).first()["n"] or 0
+    return largest <= WINDOW_ROWS
+
+
+def group_size(df: DataFrame, by: Sequence[str] = (), name: str = "group_size", *, bounded: bool = False) -> DataFrame:
     """Add the number of rows of each row's group."""
+    if bounded:
+        return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*by)))
     if by:
         return df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)), list(by))
     return df.withColumn(name, df.agg(F.count(F.lit(1)).alias(name)).scalar())
 
 
 def row_index(
-    df: DataFrame, order: Sequence[Column], *, by: Sequence[str] = (), name: str = "rank"
+    df: DataFrame, order: Sequence[Column], *, by: Sequence[str] = (), name: str = "rank", bounded: bool | None = None
 ) -> DataFrame:
     """Add ``row_number() over (partition by by order by order)``; ``order`` must be total."""
+    if is_bounded(df, by) if bounded is None else bounded:
+        position = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return df.withColumn(name, position.cast("bigint"))
     ordered = df.orderBy(*[F.col(c) for c in by], *order)
     numbered = cut_lineage(ordered.withColumn("_pos", F.monotonically_increasing_id()))
     numbered = numbered.withColumn("_part", F.shiftright("_pos", _ROW_BITS))
@@ -42,9 +62,11 @@ def row_index(
     return indexed.select(*df.columns, F.col(name).cast("bigint").alias(name))
 
 
-def descending_rank(df: DataFrame, value: str, key: str, *, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+def descending_rank(
+    df: DataFrame, value: str, key: str, *, by: Sequence[str] = (), name: str = "rank", bounded: bool | None = None
+) -> DataFrame:
     """Rank by value descending, key ascending: 1..n without ties."""
-    return row_index(df, [F.col(value).desc(), F.col(key).asc()], by=by, name=name)
+    return row_index(df, [F.col(value).desc(), F.col(key).asc()], by=by, name=name, bounded=bounded)
 
 
 def ordinal_percentile(rank: Column, size: Column, *, single: float) -> Column:
@@ -73,30 +95,39 @@ def rank_quartile(rank: Column, size: Column) -> Column:
 
 def average_rank(
     df: DataFrame, value: str, key: str, *, by: Sequence[str] = (), descending: bool = True,
-    name: str = "average_rank",
+    name: str = "average_rank", bounded: bool | None = None,
 ) -> DataFrame:
     """Rank in which rows of equal value share the mean of their positions."""
-    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(key).asc()]
-    indexed = row_index(df, order, by=by, name="_index")
+    direction = F.col(value).desc() if descending else F.col(value).asc()
+    if is_bounded(df, by) if bounded is None else bounded:
+        first = F.rank().over(Window.partitionBy(*by).orderBy(direction))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+        return df.withColumn(name, first + (ties - 1) / 2)
+    indexed = row_index(df, [direction, F.col(key).asc()], by=by, name="_index", bounded=False)
     ties = indexed.groupBy(*by, value).agg(((F.min("_index") + F.max("_index")) / 2).alias(name))
-    return indexed.join(ties, [*by, value]).select(*df.columns, name)
+    return salted_join(indexed, ties, [*by, value], spread=[key]).select(*df.columns, name)
 
 
 def average_percentile(
     df: DataFrame, value: str, key: str, *, by: Sequence[str] = (), higher_is_better: bool = True,
-    name: str = "percentile",
+    name: str = "percentile", bounded: bool | None = None,
 ) -> DataFrame:
     """``1 - (average rank - 1) / max(n - 1, 1)``, best value first."""
-    ranked = average_rank(df, value, key, by=by, descending=higher_is_better, name="_average")
-    sized = group_size(ranked, by, "_size")
+    bounded = is_bounded(df, by) if bounded is None else bounded
+    ranked = average_rank(df, value, key, by=by, descending=higher_is_better, name="_average", bounded=bounded)
+    sized = group_size(ranked, by, "_size", bounded=bounded)
     share = 1 - (F.col("_average") - 1) / F.greatest(F.col("_size") - 1, F.lit(1))
     return sized.withColumn(name, share).select(*df.columns, name)
 
 
-def exact_median(df: DataFrame, value: str, key: str, *, by: Sequence[str] = (), name: str = "median") -> DataFrame:
-    """Interpolated median of the non-null values of each group, from sorted positions."""
+def exact_median(
+    df: DataFrame, value: str, key: str, *, by: Sequence[str] = (), name: str = "median", bounded: bool | None = None
+) -> DataFrame:
+    """Interpolated median of the non-null values of each group."""
     known = df.filter(F.col(value).isNotNull()).select(*by, key, value)
-    indexed = group_size(row_index(known, [F.col(value), F.col(key)], by=by, name="_index"), by, "_size")
+    if is_bounded(known, by) if bounded is None else bounded:
+        return known.groupBy(*by).agg(F.median(value).alias(name))
+    indexed = group_size(row_index(known, [F.col(value), F.col(key)], by=by, name="_index", bounded=False), by, "_size")
     middle = F.col("_index").isin(
         F.floor((F.col("_size") + 1) / 2), F.floor((F.col("_size") + 2) / 2)
     )

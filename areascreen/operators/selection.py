@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from areascreen.operators.pareto import frontier_flag
-from areascreen.operators.ranking import band, descending_rank, group_size, ordinal_percentile, row_index
+from areascreen.operators.ranking import band, descending_rank, group_size, is_bounded, ordinal_percentile, row_index
+from areascreen.session import cut_lineage
 
 
 def exclusion_reason(reasons: dict[str, Column]) -> Column:
@@ -47,9 +48,10 @@ def screen_score(
     eligible: DataFrame, *, weights: tuple[float, float] = (0.5, 0.5), by: Sequence[str] = ()
 ) -> DataFrame:
     """Ranks and percentiles of both measures, their weighted score and the two-way frontier."""
-    ranked = descending_rank(eligible, "population_proximity", "node_id", by=by, name="population_rank")
-    ranked = descending_rank(ranked, "transit_accessibility", "node_id", by=by, name="accessibility_rank")
-    sized = group_size(ranked, by, name="_n")
+    bounded = is_bounded(eligible, by)
+    ranked = descending_rank(eligible, "population_proximity", "node_id", by=by, name="population_rank", bounded=bounded)
+    ranked = descending_rank(ranked, "transit_accessibility", "node_id", by=by, name="accessibility_rank", bounded=bounded)
+    sized = group_size(ranked, by, name="_n", bounded=bounded)
     for measure in ("population", "accessibility"):
         sized = sized.withColumn(
             f"{measure}_percentile", ordinal_percentile(F.col(f"{measure}_rank"), F.col("_n"), single=1.0)
@@ -69,7 +71,9 @@ def balanced_selection(
     ``by`` runs independent selections side by side. Rows not selected keep null.
     """
     by = list(by)
-    ordered = group_size(descending_rank(scored, "screen_score", "node_id", by=by, name="_rank"), by, "_n")
+    bounded = is_bounded(scored, by)
+    ranked = descending_rank(scored, "screen_score", "node_id", by=by, name="_rank", bounded=bounded)
+    ordered = group_size(ranked, by, "_n", bounded=bounded)
     merit = F.least(F.lit(merit_slots), F.col("_n"))
     target = F.least(F.lit(maximum), F.col("_n"))
     coverage = F.greatest(F.lit(0), F.least(F.lit(coverage_slots), target - merit))
@@ -77,11 +81,11 @@ def balanced_selection(
 
     chosen = staged.filter("_merit").groupBy(*by, "region").agg(F.count(F.lit(1)).alias("_picked"))
     rest = staged.filter(~F.col("_merit")).join(chosen, [*by, "region"], "left")
-    rest = row_index(rest, [F.col("_rank")], by=[*by, "region"], name="_k")
+    rest = row_index(rest, [F.col("_rank")], by=[*by, "region"], name="_k", bounded=bounded)
     rest = rest.withColumn("_turn", F.coalesce("_picked", F.lit(0)) + F.col("_k") - 1)
-    rest = row_index(rest, [F.col("_turn"), F.col("region")], by=by, name="_cover")
+    rest = row_index(rest, [F.col("_turn"), F.col("region")], by=by, name="_cover", bounded=bounded)
     rest = rest.withColumn("_covered", F.col("_cover") <= F.col("_cover_n"))
-    fill = row_index(rest.filter(~F.col("_covered")), [F.col("_rank")], by=by, name="_fill")
+    fill = row_index(rest.filter(~F.col("_covered")), [F.col("_rank")], by=by, name="_fill", bounded=bounded)
     filled = F.col("_merit_n") + F.col("_cover_n") + F.col("_fill") <= F.col("_target")
 
     def stage(df: DataFrame, label: Column, slot: Column) -> DataFrame:
@@ -132,12 +136,14 @@ def outside_sample(
     Strata are region x ordinal score band. The draw takes the least SHA-256 of seed and id
     inside each stratum: reproducible, independent of input order and of cluster layout.
     """
-    ranked = group_size(descending_rank(eligible, "screen_score", "node_id", name="_rank"), name="_n")
+    eligible = cut_lineage(eligible)
+    bounded = is_bounded(eligible)
+    ranked = group_size(descending_rank(eligible, "screen_score", "node_id", name="_rank", bounded=bounded), name="_n", bounded=bounded)
     banded = ranked.withColumn("screen_band", band(F.col("_rank"), F.col("_n"), labels)).drop("_rank", "_n")
     universe = banded.join(candidates.select("node_id"), "node_id", "left_anti")
     strata = stratified_allocation(universe, ["region", "screen_band"], sample_size=sample_size, minimum=minimum)
     draw = universe.withColumn("_draw", F.sha2(F.concat_ws("|", F.lit(seed), F.col("node_id")), 256))
-    placed = row_index(draw, [F.col("_draw"), F.col("node_id")], by=["region", "screen_band"], name="_place")
+    placed = row_index(draw, [F.col("_draw"), F.col("node_id")], by=["region", "screen_band"], name="_place", bounded=bounded)
     sample = placed.join(strata, ["region", "screen_band"]).filter(F.col("_place") <= F.col("sample_count"))
     stratum = F.concat_ws("|", "region", "screen_band")
     return (

@@ -6,19 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from areascreen.session import cut_lineage
-
 #: A key is hot when it holds more than this share of the rows, so there are at
 #: most ``1 / HOT_SHARE`` hot keys whatever the size of the data: the table of hot
 #: keys is safe to broadcast.
 HOT_SHARE = 1 / 512
 
+#: A key with fewer rows than this is no burden to one task.
+HOT_ROWS = 50_000
+
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys holding more than ``share`` of all rows, with the number of salts each needs."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t")).scalar()
-    limit = F.greatest(F.ceil(total * F.lit(share)), F.lit(1000))
+    limit = F.greatest(F.ceil(total * F.lit(share)), F.lit(HOT_ROWS))
     return counts.filter(F.col("_n") > limit).select(
         *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")
     )
@@ -40,11 +41,12 @@ def salted_join(
     Only the rows of ``right`` that carry a hot key are copied, once per piece, so
     the result is that of a plain join. Without hot keys it is a plain join.
     """
-    hot = cut_lineage(hot_keys(left, keys, share))
-    if hot.isEmpty():
+    found = hot_keys(left, keys, share)
+    rows = found.collect()  # at most 1 / share rows
+    if not rows:
         joined = left.join(right, list(keys), how)
         return joined if condition is None else joined.filter(condition)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, found.schema))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     big = left.join(hot, list(keys), "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")

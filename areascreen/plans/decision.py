@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from areascreen.functions.finance import competition_value
 from areascreen.operators.pareto import frontier_flag
-from areascreen.operators.ranking import average_percentile, row_index
+from areascreen.operators.ranking import average_percentile, is_bounded, row_index
+from areascreen.session import cut_lineage
 
 #: Competition case, walking minutes, zero-confirmed caution.
 COMPETITION_CASES = [
@@ -50,12 +51,14 @@ def evaluate(cells: DataFrame, *, by: Sequence[str], profiles: dict[str, tuple]
     """
     profiles = profiles or PROFILES
     by = list(by)
-    scored = average_percentile(cells, "demand", "node_id", by=by, name="demand_score")
-    scored = average_percentile(scored, "accessible", "node_id", by=by, name="access_score")
+    cells = cut_lineage(cells)
+    bounded = is_bounded(cells, by)
+    scored = average_percentile(cells, "demand", "node_id", by=by, name="demand_score", bounded=bounded)
+    scored = average_percentile(scored, "accessible", "node_id", by=by, name="access_score", bounded=bounded)
     cases = scored.withColumn("_case", _competition_cases()).select("*", "_case.*").drop("_case")
     group = [*by, "competition_case"]
     cases = average_percentile(
-        cases, "competition", "node_id", by=group, higher_is_better=False, name="competition_score"
+        cases, "competition", "node_id", by=group, higher_is_better=False, name="competition_score", bounded=bounded
     ).withColumn("_relief", -F.col("competition"))
     cases = frontier_flag(cases, ["demand", "accessible", "_relief"], by=group)
     weights = F.explode(F.array(*[
@@ -70,7 +73,7 @@ def evaluate(cells: DataFrame, *, by: Sequence[str], profiles: dict[str, tuple]
         ).alias("score"),
     )
     run = [*group, "profile"]
-    ranked = row_index(runs, [F.col("score").desc(), F.col("node_id")], by=run)
+    ranked = row_index(runs, [F.col("score").desc(), F.col("node_id")], by=run, bounded=bounded)
     # row_number() <= 3 keeps three rows per map task, so no group is gathered whole.
     place = F.row_number().over(Window.partitionBy(*run).orderBy("rank"))
     top = ranked.filter("on_frontier").withColumn("_place", place).filter("_place <= 3").select(
