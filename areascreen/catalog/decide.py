@@ -8,6 +8,7 @@ from areascreen.catalog.registry import query
 from areascreen.catalog.views import nodes, origins, table, with_views
 from areascreen.operators import pareto, ranking, selection, stats
 from areascreen.plans import decision
+from areascreen.session import cut_lineage
 
 SCREEN_SQL = """measures AS (SELECT l_suppkey AS node_id, sum(l_quantity)::BIGINT AS population_proximity,
     coalesce(sum(l_quantity) FILTER (l_returnflag = 'N'), 0)::BIGINT AS transit_accessibility,
@@ -65,9 +66,19 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.screen_score(screened(spark, sf_dir).filter("exclusion_reason IS NULL"))
 
 
-def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = selection.balanced_selection(scored(spark, sf_dir), merit_slots=24, coverage_slots=9, maximum=36)
-    return chosen.filter("selection_stage IS NOT NULL")
+def selected(rows: DataFrame) -> DataFrame:
+    chosen = selection.balanced_selection(rows, merit_slots=24, coverage_slots=9, maximum=36)
+    return cut_lineage(chosen.filter("selection_stage IS NOT NULL"))
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, sample, strata) as tables of their own."""
+    rows = cut_lineage(scored(spark, sf_dir))
+    candidates = selected(rows)
+    sample, strata_rows = selection.outside_sample(
+        rows, candidates, labels=["high", "middle", "low"], sample_size=25, minimum=1, seed="20260918"
+    )
+    return candidates, sample, strata_rows
 
 
 @query("P3_eligibility", with_views("nodes", f"WITH {SCREEN_SQL} SELECT node_id, coalesce(exclusion_reason, 'eligible') AS reason FROM screen"))
@@ -139,7 +150,7 @@ def pareto_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("X4_T5_balanced_selection", with_views("nodes", f"WITH {SCREEN_SQL}, {_select_sql(24, 9, 36)} SELECT * FROM selected"))
 def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selected(spark, sf_dir).select("node_id", "region", "selection_stage", "selection_slot")
+    return selected(scored(spark, sf_dir)).select("node_id", "region", "selection_stage", "selection_slot")
 
 
 SAMPLE_SQL = f"""{SCREEN_SQL}, {_select_sql(24, 9, 36)},
@@ -156,9 +167,7 @@ SAMPLE_SQL = f"""{SCREEN_SQL}, {_select_sql(24, 9, 36)},
   SELECT region || '|' || screen_band AS stratum_id, population_count, sample_count, round(sample_count / population_count, 9) AS inclusion_probability,
     round(1.0 / (sample_count / population_count), 9)::DOUBLE AS design_weight FROM strata"""))
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = selection.outside_sample(
-        scored(spark, sf_dir), selected(spark, sf_dir), labels=["high", "middle", "low"], sample_size=25, minimum=1, seed="20260918"
-    )
+    _, _, rows = sampled(spark, sf_dir)
     return rows.select(
         "stratum_id", "population_count", "sample_count", F.round("inclusion_probability", 9).alias("inclusion_probability"),
         F.round("design_weight", 9).alias("design_weight"),
@@ -170,10 +179,7 @@ def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT u.*, population_count, sample_count, row_number() OVER (PARTITION BY u.region, u.screen_band ORDER BY sha256('20260918|' || node_id::VARCHAR), node_id) AS place
     FROM universe u JOIN strata s ON u.region = s.region AND u.screen_band = s.screen_band) WHERE place <= sample_count"""))
 def outside_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = selected(spark, sf_dir)
-    sample, _ = selection.outside_sample(
-        scored(spark, sf_dir), candidates, labels=["high", "middle", "low"], sample_size=25, minimum=1, seed="20260918"
-    )
+    candidates, sample, _ = sampled(spark, sf_dir)
     overlapping = sample.join(candidates.select("node_id"), "node_id", "left_semi")
     return sample.join(overlapping.select("node_id"), "node_id", "left_anti").select(
         "node_id", "region", "screen_band", F.round("design_weight", 9).alias("design_weight")
@@ -292,13 +298,10 @@ def movement(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT variant, round(CASE WHEN vx <> 0 AND vy <> 0 THEN cov/sqrt(vx*vy) ELSE 0 END, 9) AS weighted_correlation,
     round(CASE WHEN vx <> 0 THEN cov/vx ELSE 0 END * 10000, 6) AS weighted_slope, round(sw*sw/sww, 6) AS effective_sample_size FROM mom"""))
 def association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = selected(spark, sf_dir)
-    sample, _ = selection.outside_sample(
-        scored(spark, sf_dir), candidates, labels=["high", "middle", "low"], sample_size=25, minimum=1, seed="20260918"
-    )
+    candidates, sample, _ = sampled(spark, sf_dir)
     weighted = candidates.select("node_id", F.lit(1.0).alias("w"))
-    material = weighted.unionByName(sample.select("node_id", F.col("design_weight").alias("w")))
-    measured = measures(spark, sf_dir)
+    material = weighted.unionByName(cut_lineage(sample.select("node_id", F.col("design_weight").alias("w"))))
+    measured = cut_lineage(measures(spark, sf_dir))
 
     def result(name: str, rows: DataFrame) -> DataFrame:
         return stats.weighted_association(

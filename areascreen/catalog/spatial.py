@@ -97,7 +97,7 @@ def weighted_population(spark: SparkSession, sf_dir: str) -> DataFrame:
   inside AS (SELECT DISTINCT node_id, geo_id FROM (SELECT node_id, px, py, geo_id FROM e JOIN zone_edges ON {CROSS} GROUP BY ALL HAVING count(*)%2 = 1))
   SELECT node_id, count(*) AS zone_count FROM (SELECT * FROM near UNION SELECT * FROM inside) GROUP BY 1"""))
 def zones_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reached = polygons.polygons_reached(exits(spark, sf_dir), zone_edges(spark, sf_dir), 800.0, key="node_id")
+    reached = polygons.polygon_distances(exits(spark, sf_dir), zone_edges(spark, sf_dir), 800.0, key="node_id")
     return reached.groupBy("node_id").agg(F.count(F.lit(1)).alias("zone_count"))
 
 

@@ -105,10 +105,10 @@ def segment_distance(px: Column, py: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def polygons_reached(centres: DataFrame, edges: DataFrame, radius: float, *, key: str, polygon: str = "geo_id") -> DataFrame:
-    """Distinct (key, polygon) whose polygon comes closer than ``radius`` to any centre of the key.
+def polygon_distances(centres: DataFrame, edges: DataFrame, radius: float, *, key: str, polygon: str = "geo_id") -> DataFrame:
+    """key, polygon, distance for every polygon closer than ``radius`` to a centre of the key.
 
-    Exact: an edge within the radius, or a centre inside the polygon.
+    Exact: the least distance to an edge, 0 with a centre inside the polygon.
     """
     spots = centres.select(key, "x", "y").distinct()
     boxed = edges.select(
@@ -117,9 +117,10 @@ def polygons_reached(centres: DataFrame, edges: DataFrame, radius: float, *, key
     )
     near_cells = box_cells(boxed, radius, radius).drop("lo_x", "hi_x", "lo_y", "hi_y")
     placed = spots.withColumn("cx", cell(F.col("x"), radius)).withColumn("cy", cell(F.col("y"), radius))
-    close = salted_join(
-        near_cells, placed, ["cx", "cy"], spread=[polygon, "x1", "y1"],
-        condition=segment_distance(F.col("x"), F.col("y")) < radius,
-    ).select(key, polygon)
-    inside = points_in_polygons(spots, edges, cell_size=radius, key=polygon).join(spots, ["x", "y"]).select(key, polygon)
-    return close.unionByName(inside).distinct()
+    close = salted_join(near_cells, placed, ["cx", "cy"], spread=[polygon, "x1", "y1"]).select(
+        key, polygon, segment_distance(F.col("x"), F.col("y")).alias("distance")
+    ).filter(F.col("distance") < radius)
+    inside = points_in_polygons(spots, edges, cell_size=radius, key=polygon).join(spots, ["x", "y"]).select(
+        key, polygon, F.lit(0.0).alias("distance")
+    )
+    return close.unionByName(inside).groupBy(key, polygon).agg(F.min("distance").alias("distance"))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from areascreen.operators.skew import salted_join
+from areascreen.session import cut_lineage
 
 
 def _line_range(low: Column, high: Column, step: float) -> Column:
@@ -111,7 +112,7 @@ def area_weighted_population(
     ``zones`` are edge rows with ``geo_id`` and ``population``. Zone areas come from the same
     scanlines as the overlaps, so that a share stays within 0 and 1.
     """
-    spans = polygon_spans(zones, step, ["geo_id", "population"])
+    spans = cut_lineage(polygon_spans(zones, step, ["geo_id", "population"]))  # read for areas and overlaps
     areas = span_area(spans, ["geo_id"], step)
     discs = disc_union(centres, radii, key=key, step=step, width=width)
     overlaps = overlap_areas(clip(spans, width), discs, shape_keys=["geo_id", "population"], disc_keys=[key, "radius"], step=step)

@@ -48,6 +48,7 @@ def screen_score(
     eligible: DataFrame, *, weights: tuple[float, float] = (0.5, 0.5), by: Sequence[str] = ()
 ) -> DataFrame:
     """Ranks and percentiles of both measures, their weighted score and the two-way frontier."""
+    eligible = cut_lineage(eligible)  # read by the ranks and by the frontier
     bounded = is_bounded(eligible, by)
     ranked = descending_rank(eligible, "population_proximity", "node_id", by=by, name="population_rank", bounded=bounded)
     ranked = descending_rank(ranked, "transit_accessibility", "node_id", by=by, name="accessibility_rank", bounded=bounded)
@@ -71,6 +72,7 @@ def balanced_selection(
     ``by`` runs independent selections side by side. Rows not selected keep null.
     """
     by = list(by)
+    scored = cut_lineage(scored)  # read by every stage below
     bounded = is_bounded(scored, by)
     ranked = descending_rank(scored, "screen_score", "node_id", by=by, name="_rank", bounded=bounded)
     ordered = group_size(ranked, by, "_n", bounded=bounded)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from areascreen.functions.documents import flag_array
 from areascreen.operators.geometry import grid, nearest, polygons, spans
-from areascreen.operators.ranking import descending_rank, group_size, ordinal_percentile, quartile_from_percentile
+from areascreen.operators.ranking import descending_rank, group_size, is_bounded, ordinal_percentile, quartile_from_percentile
+from areascreen.session import cut_lineage
 
 
 def proximity_baseline(
@@ -16,18 +17,20 @@ def proximity_baseline(
     *, radii: Sequence[int] = (800, 1200), step: float = 5.0, width: float = 2000.0, cell_size: float = 2000.0,
 ) -> DataFrame:
     """One row per node: population and points near its exits, anchor region, rank and quartile."""
-    people = spans.area_weighted_population(exits, zones, radii, key="node_id", step=step, width=width)
-    result = nodes
+    # Node-level tables are small next to their inputs and are read more than once: written.
+    people = cut_lineage(spans.area_weighted_population(exits, zones, radii, key="node_id", step=step, width=width))
+    reached = polygons.polygon_distances(exits, zones, float(max(radii)), key="node_id").groupBy("node_id").agg(
+        *[F.count_if(F.col("distance") < r).alias(f"zone_count_{r}m") for r in radii]
+    )
+    result = nodes.join(reached, "node_id", "left")
     for r in radii:
         here = people.filter(F.col("radius") == r).select("node_id", F.round("population", 3).alias(f"population_{r}m"))
-        touched = polygons.polygons_reached(exits, zones, float(r), key="node_id").groupBy("node_id").agg(
-            F.count(F.lit(1)).alias(f"zone_count_{r}m")
-        )
-        result = result.join(here, "node_id", "left").join(touched, "node_id", "left")
+        result = result.join(here, "node_id", "left")
     result = result.na.fill(0, [f"population_{r}m" for r in radii] + [f"zone_count_{r}m" for r in radii])
     for name, located in points.items():
         counts = grid.counts_within(exits, located, [float(r) for r in radii], key="node_id", prefix=name)
         result = result.join(counts, "node_id", "left").na.fill(0, [f"{name}_{r}m" for r in radii])
+    result = cut_lineage(result)
     names = regions.select("geo_id", F.col("name").alias("anchor_area"), F.col("region").alias("anchor_region")).distinct()
     result = polygons.assign_polygon(
         result, regions, names, policy="unique", cell_size=cell_size, attributes=["anchor_area", "anchor_region"]
@@ -38,12 +41,13 @@ def proximity_baseline(
         "no_population_nearby": F.col(f"population_{first}m") == 0,
     })
     result = result.withColumn("quality_flags", F.to_json(flags)).drop("match_count")
-    return add_demand_ranks(result, f"population_{first}m")
+    return add_demand_ranks(cut_lineage(result), f"population_{first}m")
 
 
 def add_demand_ranks(nodes: DataFrame, value: str) -> DataFrame:
     """Rank by value (ties by id), percentile (0 for a single node) and quartile."""
-    ranked = group_size(descending_rank(nodes, value, "node_id"), name="_size")
+    bounded = is_bounded(nodes)
+    ranked = group_size(descending_rank(nodes, value, "node_id", bounded=bounded), name="_size", bounded=bounded)
     percentile = ordinal_percentile(F.col("rank"), F.col("_size"), single=0.0)
     return ranked.withColumn("percentile", percentile).withColumn(
         "quartile", quartile_from_percentile(F.col("percentile"))

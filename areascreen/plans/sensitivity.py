@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from areascreen.operators.selection import balanced_selection, screen_score
 from areascreen.plans.decision import evaluate, robustness, with_competition
+from areascreen.session import cut_lineage
 
 
 def threshold_selections(
@@ -23,6 +24,7 @@ def threshold_selections(
 
 def selection_changes(selected: DataFrame, reference: str) -> DataFrame:
     """threshold, node_id, change against the reference threshold: entrant, exit or kept."""
+    selected = cut_lineage(selected.select("threshold", "node_id"))
     fixed = selected.filter(F.col("threshold") == reference).select("node_id").withColumn("_fixed", F.lit(True))
     thresholds = selected.select("threshold").distinct()
     every = thresholds.agg(F.collect_set("threshold").alias("t"))  # one entry per threshold of the audit
@@ -39,7 +41,7 @@ def rerank(cells: DataFrame, competition: DataFrame, *, by: list[str]) -> tuple[
 
     A group with a node lacking them is listed as unavailable and not ranked.
     """
-    joined = with_competition(cells, competition, by=by)
+    joined = cut_lineage(with_competition(cells, competition, by=by))
     status = joined.groupBy(*by).agg(F.first("status").alias("status"), F.first("missing_nodes").alias("missing_nodes"))
     complete = joined.filter("status = 'complete'").drop("status", "missing_nodes")
     return robustness(evaluate(complete, by=by), by=by), status

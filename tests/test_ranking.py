@@ -1,0 +1,76 @@
+from __future__ import annotations
+
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from areascreen.operators import ranking
+
+
+@pytest.fixture(params=[True, False], ids=["window", "distributed"])
+def bounded(request):
+    return request.param
+
+
+def rows_of(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_ties_go_to_the_least_id(spark, bounded):
+    df = spark.createDataFrame([("C", 1.0), ("A", 1.0), ("B", 1.0)], "id string, v double")
+    ranked = ranking.descending_rank(df, "v", "id", bounded=bounded)
+    assert rows_of(ranked, "rank", "id") == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_row_index_equals_sorted_positions_with_a_hot_group(spark, bounded):
+    rng = random.Random(1)
+    data = [(("hot" if rng.random() < 0.6 else f"g{rng.randrange(5)}"), rng.randrange(20), i) for i in range(700)]
+    df = spark.createDataFrame(data, "g string, v int, id int").repartition(7)
+    indexed = ranking.row_index(df, [F.col("v").desc(), F.col("id")], by=["g"], name="i", bounded=bounded)
+    expected = []
+    for g in {r[0] for r in data}:
+        ordered = sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2]))
+        expected += [(g, r[2], i) for i, r in enumerate(ordered, 1)]
+    assert rows_of(indexed, "g", "id", "i") == sorted(expected)
+
+
+def test_average_ranks_share_the_mean_position(spark, bounded):
+    df = spark.createDataFrame([("a", 5), ("b", 7), ("c", 5), ("d", 1)], "id string, v int")
+    ranked = ranking.average_rank(df, "v", "id", bounded=bounded)
+    assert rows_of(ranked, "id", "average_rank") == [("a", 2.5), ("b", 1.0), ("c", 2.5), ("d", 4.0)]
+
+
+def test_average_percentile_both_directions_and_single_row(spark, bounded):
+    df = spark.createDataFrame([("a", 0), ("b", 0), ("c", 4)], "id string, v int")
+    low = ranking.average_percentile(df, "v", "id", higher_is_better=False, bounded=bounded)
+    assert rows_of(low, "id", "percentile") == [("a", 0.75), ("b", 0.75), ("c", 0.0)]
+    one = ranking.average_percentile(df.filter("id = 'c'"), "v", "id", bounded=bounded)
+    assert rows_of(one, "percentile") == [(1.0,)]
+
+
+def test_single_row_percentile_follows_its_use(spark):
+    df = spark.range(1).select(
+        ranking.ordinal_percentile(F.lit(1), F.lit(1), single=0.0).alias("a"),
+        ranking.ordinal_percentile(F.lit(1), F.lit(1), single=1.0).alias("b"),
+    )
+    assert tuple(df.first()) == (0.0, 1.0)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 10])
+def test_exact_median_interpolates(spark, bounded, n):
+    values = [float((i * 37) % 11) for i in range(n)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double")
+    got = ranking.exact_median(df, "v", "id", bounded=bounded).first()[0]
+    assert got == statistics.median(values)
+
+
+def test_bands_and_quartiles(spark):
+    df = spark.range(1, 11).select(
+        F.col("id").alias("rank"), ranking.band(F.col("id"), F.lit(10), ["high", "middle", "low"]).alias("band"),
+        ranking.rank_quartile(F.col("id"), F.lit(10)).alias("q"),
+    )
+    rows = {r["rank"]: (r["band"], r["q"]) for r in df.collect()}
+    labels = ["high", "middle", "low"]
+    assert rows == {p + 1: (labels[min(2, p * 3 // 10)], min(int(p // 2.5) + 1, 4)) for p in range(10)}
