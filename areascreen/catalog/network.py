@@ -156,7 +156,7 @@ def nearest_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return od.nearest_exit(pairs, exits(spark, sf_dir)).withColumn("nearest_distance", F.round("nearest_distance", 6))
 
 
-REACH = 4000.0
+REACH = 2000.0
 PLAN_SQL = f"""near AS (SELECT o.origin_id, e.node_id, min((o.x-e.x)*(o.x-e.x) + (o.y-e.y)*(o.y-e.y)) AS d2, arg_min(e.exit_id, ((o.x-e.x)*(o.x-e.x) + (o.y-e.y)*(o.y-e.y), e.exit_id)) AS exit_id, any_value(o.population) AS population
     FROM origins o JOIN exits e ON e.x BETWEEN o.x-{REACH} AND o.x+{REACH} AND e.y BETWEEN o.y-{REACH} AND o.y+{REACH} WHERE (o.x-e.x)*(o.x-e.x) + (o.y-e.y)*(o.y-e.y) <= {REACH * REACH} GROUP BY 1, 2),
   plan AS (SELECT *, 'OD_' || upper(substr(sha256(concat_ws('|', origin_id, node_id, exit_id, scenario_id)), 1, 16)) AS od_plan_id, sqrt(d2) AS nearest_distance
@@ -172,9 +172,9 @@ def routing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir).withColumn("nearest_distance", F.round("nearest_distance", 6))
 
 
-BANDS = [("near", 0.0, 1000.0), ("middle", 1000.0, 2500.0), ("far", 2500.0, None)]
+BANDS = [("near", 0.0, 600.0), ("middle", 600.0, 1200.0), ("far", 1200.0, None)]
 BALANCED_SQL = f"""{PLAN_SQL},
-  band AS (SELECT *, CASE WHEN nearest_distance < 1000 THEN 'near' WHEN nearest_distance < 2500 THEN 'middle' ELSE 'far' END AS band FROM plan WHERE scenario_id = '{SCENARIOS[0]}'),
+  band AS (SELECT *, CASE WHEN nearest_distance < 600 THEN 'near' WHEN nearest_distance < 1200 THEN 'middle' ELSE 'far' END AS band FROM plan WHERE scenario_id = '{SCENARIOS[0]}'),
   pick AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY sha256(concat_ws('|', 'seed-1', origin_id, node_id, exit_id)), origin_id, node_id, exit_id) AS r FROM band),
   bal AS (SELECT *, 'PAIR_' || upper(substr(sha256(concat_ws('|', origin_id, node_id, exit_id)), 1, 16)) AS sample_pair_id FROM pick WHERE r <= 12)"""
 

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from areascreen.operators.ranking import average_rank, exact_median
+from areascreen.operators.ranking import average_rank, exact_median, is_bounded
 from areascreen.operators.stats import null_if_constant
+from areascreen.session import cut_lineage
 
 #: Fixed vocabularies of outcome categories.
 WALK_FALLBACK_CATEGORIES = ["missing_route", "invalid_response"]
@@ -170,18 +171,19 @@ def transit_versus_proximity(metrics: DataFrame, scenario_id: str, *, materialit
     Median relative difference over nodes with a positive baseline, Spearman
     correlation of average ranks, and how many nodes move by ``rank_shift`` or more.
     """
-    chosen = metrics.filter((F.col("scenario_id") == scenario_id) & F.col("is_primary")).select(
+    chosen = cut_lineage(metrics.filter((F.col("scenario_id") == scenario_id) & F.col("is_primary")).select(
         "node_id", "accessible_population", "centroid_population"
-    )
+    ))  # one row per node, read by every statistic below
+    bounded = is_bounded(chosen)
     valid = chosen.filter(F.col("centroid_population") > 0).withColumn(
         "difference",
         F.abs(F.col("accessible_population") - F.col("centroid_population")) / F.col("centroid_population"),
     )
-    ranked = average_rank(valid, "accessible_population", "node_id", name="transit_rank")
-    ranked = average_rank(ranked, "centroid_population", "node_id", name="proximity_rank")
+    ranked = average_rank(valid, "accessible_population", "node_id", name="transit_rank", bounded=bounded)
+    ranked = average_rank(ranked, "centroid_population", "node_id", name="proximity_rank", bounded=bounded)
     moved = F.abs(F.col("transit_rank") - F.col("proximity_rank")) >= rank_shift
     total = chosen.agg(F.count(F.lit(1)).alias("n")).scalar()
-    median = exact_median(ranked, "difference", "node_id").scalar()
+    median = exact_median(valid, "difference", "node_id", bounded=bounded).scalar()
     return ranked.agg(
         F.count(F.lit(1)).alias("valid_node_count"),
         null_if_constant("transit_rank", "proximity_rank").alias("spearman"),

@@ -47,7 +47,7 @@ def pairs_within(centres: DataFrame, located: DataFrame, radius: float) -> DataF
     kept = [c for c in centres.columns if c not in ("x", "y")]
     spots = neighbours(centres, size, 2).select(*kept, F.col("x").alias("_x"), F.col("y").alias("_y"), "cx", "cy")
     dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
-    pairs = salted_join(placed, spots, ["cx", "cy"], spread=["x", "y"]).withColumn("d2", dx * dx + dy * dy)
+    pairs = salted_join(placed, spots, ["cx", "cy"], spread=["x", "y"], multiplies=True).withColumn("d2", dx * dx + dy * dy)
     return pairs.filter(F.col("d2") <= radius * radius).drop("cx", "cy", "_x", "_y")
 
 

@@ -62,13 +62,13 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, *, cell_size: float,
     )
     areas = box_cells(boxes(edges, key), cell_size)
     inside_box = F.col("x").between(F.col("lo_x"), F.col("hi_x")) & F.col("y").between(F.col("lo_y"), F.col("hi_y"))
-    candidates = salted_join(spots, areas, ["cx", "cy"], spread=["x", "y"], condition=inside_box).select(
+    candidates = salted_join(spots, areas, ["cx", "cy"], spread=["x", "y"], condition=inside_box, multiplies=True).select(
         "x", "y", key, F.col("cy").alias("band")
     )
     banded = edges.filter(F.col("y1") != F.col("y2")).withColumn(
         "band", F.explode(F.sequence(cell(F.least("y1", "y2"), cell_size), cell(F.greatest("y1", "y2"), cell_size)))
     ).select(key, "band", "x1", "y1", "x2", "y2")
-    crossing = salted_join(candidates, banded, [key, "band"], spread=["x", "y"], condition=crosses(F.col("x"), F.col("y")))
+    crossing = salted_join(candidates, banded, [key, "band"], spread=["x", "y"], condition=crosses(F.col("x"), F.col("y")), multiplies=True)
     return crossing.groupBy("x", "y", key).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") % 2 == 1).drop("_c")
 
 
@@ -117,7 +117,7 @@ def polygon_distances(centres: DataFrame, edges: DataFrame, radius: float, *, ke
     )
     near_cells = box_cells(boxed, radius, radius).drop("lo_x", "hi_x", "lo_y", "hi_y")
     placed = spots.withColumn("cx", cell(F.col("x"), radius)).withColumn("cy", cell(F.col("y"), radius))
-    close = salted_join(near_cells, placed, ["cx", "cy"], spread=[polygon, "x1", "y1"]).select(
+    close = salted_join(near_cells, placed, ["cx", "cy"], spread=[polygon, "x1", "y1"], multiplies=True).select(
         key, polygon, segment_distance(F.col("x"), F.col("y")).alias("distance")
     ).filter(F.col("distance") < radius)
     inside = points_in_polygons(spots, edges, cell_size=radius, key=polygon).join(spots, ["x", "y"]).select(

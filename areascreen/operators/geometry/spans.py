@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from areascreen.operators.skew import salted_join
+from areascreen.operators.skew import fan_out, salted_join
 from areascreen.session import cut_lineage
 
 
@@ -25,7 +25,8 @@ def _line_range(low: Column, high: Column, step: float) -> Column:
 
 def polygon_spans(edges: DataFrame, step: float, keys: Sequence[str]) -> DataFrame:
     """keys, k, x0, x1: the inside of each polygon along every scanline it meets."""
-    sliced = edges.filter(F.col("y1") != F.col("y2")).withColumn(
+    sloped = fan_out(edges.filter(F.col("y1") != F.col("y2")), [*keys, "y1", "y2"])
+    sliced = sloped.withColumn(
         "k", F.explode(_line_range(F.least("y1", "y2"), F.greatest("y1", "y2"), step))
     )
     y = (F.col("k") + 0.5) * step
@@ -85,7 +86,7 @@ def merge(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def disc_union(centres: DataFrame, radii: Sequence[float], *, key: str, step: float, width: float) -> DataFrame:
     """key, radius, k, column, x0, x1: union of the discs around the key's centres, per radius."""
-    spots = centres.select(key, "x", "y").distinct().withColumn(
+    spots = fan_out(centres.select(key, "x", "y"), [key, "x", "y"]).distinct().withColumn(
         "radius", F.explode(F.array(*[F.lit(int(r)) for r in radii]))
     )
     chords = disc_spans(spots, F.col("radius").cast("double"), step, [key, "radius"])
@@ -96,7 +97,7 @@ def overlap_areas(shapes: DataFrame, discs: DataFrame, *, shape_keys: Sequence[s
     """shape_keys, disc_keys, overlap_area of every pair that shares area."""
     right = discs.select(*disc_keys, "k", "column", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
     length = F.least("x1", "_x1") - F.greatest("x0", "_x0")
-    joined = salted_join(shapes, right, ["k", "column"], spread=[*shape_keys, "x0"], condition=length > 0)
+    joined = salted_join(shapes, right, ["k", "column"], spread=[*shape_keys, "x0"], condition=length > 0, multiplies=True)
     return joined.groupBy(*shape_keys, *disc_keys).agg((F.sum(length) * step).alias("overlap_area"))
 
 

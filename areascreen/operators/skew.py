@@ -15,6 +15,16 @@ HOT_SHARE = 1 / 512
 HOT_ROWS = 50_000
 
 
+def fan_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash the rows over all shuffle partitions ahead of a step that multiplies them.
+
+    Adaptive coalescing looks at the size of the input and would leave such a step to a few
+    tasks; an explicit number of partitions is kept. A join on the same keys reuses it.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys holding more than ``share`` of all rows, with the number of salts each needs."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -34,16 +44,19 @@ def salted_join(
     how: str = "inner",
     condition: Column | None = None,
     share: float = HOT_SHARE,
+    multiplies: bool = False,
 ) -> DataFrame:
     """Equi-join in which every hot key of ``left`` is split over several tasks.
 
     ``spread`` names columns of ``left`` whose hash decides the piece a row goes to.
     Only the rows of ``right`` that carry a hot key are copied, once per piece, so
-    the result is that of a plain join. Without hot keys it is a plain join.
+    the result is that of a plain join. Without hot keys it is a plain join. ``multiplies``
+    says that a row meets many rows, so that all tasks should share the join.
     """
     found = hot_keys(left, keys, share)
     rows = found.collect()  # at most 1 / share rows
     if not rows:
+        left = fan_out(left, keys) if multiplies else left
         joined = left.join(right, list(keys), how)
         return joined if condition is None else joined.filter(condition)
     hot = F.broadcast(left.sparkSession.createDataFrame(rows, found.schema))
@@ -54,6 +67,7 @@ def salted_join(
     small = right.join(hot, list(keys), "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     ).drop("_salts")
+    big = fan_out(big, [*keys, "_salt"]) if multiplies else big
     joined = big.join(small, [*keys, "_salt"], how)
     if condition is not None:
         joined = joined.filter(condition)
