@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from areascreen.operators.skew import first_by
+from areascreen.sources.writers import path_exists
 
 KEYS = ("od_plan_id", "method")
 
@@ -19,28 +20,29 @@ def new_rows(incoming: DataFrame, ledger: DataFrame, *, keys: Sequence[str] = KE
     )
 
 
-def read_ledger(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The ledger at ``path``, empty when nothing was written yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Ledger rows with the batch folder they lie in; empty when nothing was written yet."""
+    tagged = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], tagged)
+    return spark.read.schema(tagged).parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The ledger at ``path``."""
+    return _stored(spark, path, schema).drop("batch")
 
 
 def insert_if_absent(incoming: DataFrame, path: str, *, batch: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ("attempted_at",)) -> None:
     """Append the new keys of a batch in a folder of their own.
 
-    Repeating a batch after a failure replaces that folder and leaves the result unchanged.
+    Repeating a batch after a failure replaces that folder and leaves the result unchanged: the
+    folder is pruned from the rows the batch is compared with.
     """
-    spark = incoming.sparkSession
-    ledger = read_ledger(spark, path, incoming.schema)
-    folder = f"{path}/batch={batch}"
-    from pyspark.sql import functions as F
-
-    others = ledger.filter(~F.contains(F.input_file_name(), F.lit(f"/batch={batch}/")))
+    stored = _stored(incoming.sparkSession, path, incoming.schema)
+    others = stored.filter(F.col("batch") != batch).drop("batch")
     fresh = new_rows(incoming, others, keys=keys, order=order)
-    fresh.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    fresh.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch}")
 
 
 def stream_into_ledger(source: DataFrame, path: str, checkpoint: str, *, keys: Sequence[str] = KEYS, order: Sequence[str] = ("attempted_at",)) -> StreamingQuery:
