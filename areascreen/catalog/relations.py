@@ -243,10 +243,10 @@ def branch_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.branch_validations(members, links)
 
 
-TEMPLATES = [("directory", "T1", "{area} mathematics tuition"), ("directory", "T2", "{area} tuition centre"), ("web", "T1", "primary maths {area}")]
+TEMPLATES = [("directory", "T1", "{area} mathematics lessons"), ("directory", "T2", "{area} lesson centre"), ("web", "T1", "primary maths {area}")]
 PROTOCOL_SQL = """proto AS (SELECT c_custkey AS area_code, c_mktsegment || ' ' || c_custkey::VARCHAR AS area_name, channel, template, replace(pattern, '{area}', upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' ' || c_custkey::VARCHAR) AS query_text,
    'QRY_' || upper(substr(sha256(concat_ws(chr(31), c_custkey::VARCHAR, channel, template)), 1, 16)) AS query_id
-   FROM customer, (VALUES ('directory', 'T1', '{area} mathematics tuition'), ('directory', 'T2', '{area} tuition centre'), ('web', 'T1', 'primary maths {area}')) t(channel, template, pattern))"""
+   FROM customer, (VALUES ('directory', 'T1', '{area} mathematics lessons'), ('directory', 'T2', '{area} lesson centre'), ('web', 'T1', 'primary maths {area}')) t(channel, template, pattern))"""
 
 
 def protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
