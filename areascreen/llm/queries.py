@@ -5,14 +5,52 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from areascreen.llm.chat import format_conversations, read_back
 from areascreen.llm.common import read
 from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack
+from areascreen.llm.sharding import shard
 
 #: Tokenizer file of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A conversation whose texts look like marks of a template; it is formatted beside the table's own.
+_MARKS = "\\### Assistant: </turn> ok"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and digests of what reading the formatted text back gives."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(_MARKS).alias("text"))
+        for k, role in enumerate(("user", "assistant"))])).alias("row")).select("row.*")
+    back = read_back(format_conversations(turns.unionByName(added)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+_CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), n AS (
+  SELECT *, row_number() OVER w AS k, row_number() OVER w = 1 OR lag(role) OVER w <> role AS opens,
+    length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/')) AS body,
+    length(replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</', '<\/'), chr(10), '\n')) AS head
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(body + CASE WHEN opens THEN 4 + head + 1 + 8 ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, num=85, den=100)
@@ -25,5 +63,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op7_minhash_near_dedup, op8_packing)}
-ORACLES: dict[str, str] = {}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal row counts, equal texts together."""
+    return shard(read(spark, sf_dir, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding)}
+ORACLES: dict[str, str] = {"op6_chat_formatting": _CHAT_SQL}
