@@ -9,12 +9,23 @@ from areascreen.llm.chat import format_conversations, read_back
 from areascreen.llm.common import read
 from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack
+from areascreen.llm.quality import score_quality, with_fold
 from areascreen.llm.sharding import shard
 
 #: Tokenizer file of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Score from which a document counts as good.
+GOOD = 0.3
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_fold(score_quality(docs, read(spark, sf_dir, "labels")), "quality_score", GOOD)
+
+
 #: A conversation whose texts look like marks of a template; it is formatted beside the table's own.
 _MARKS = "\\### Assistant: </turn> ok"
 
@@ -69,5 +80,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding)}
 ORACLES: dict[str, str] = {"op6_chat_formatting": _CHAT_SQL}
