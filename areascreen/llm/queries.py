@@ -11,6 +11,7 @@ from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack
 from areascreen.llm.quality import score_quality, with_fold
 from areascreen.llm.sharding import shard
+from areascreen.llm.toxicity import score_toxicity
 
 #: Tokenizer file of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -80,5 +81,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding)}
+#: Score from which a document counts as toxic.
+TOXIC = 0.5
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_fold(score_toxicity(docs, read(spark, sf_dir, "labels")), "toxic_score", TOXIC)
+
+
+QUERIES = {f.__name__: f for f in (op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity)}
 ORACLES: dict[str, str] = {"op6_chat_formatting": _CHAT_SQL}
