@@ -20,9 +20,8 @@ from areascreen.llm.components import components
 #: Permutations, and signature values per band. Two values come from each permutation: 40 bands of 6 values. A pair of
 #: similarity 0.85 misses all bands with probability 6e-9, one of 0.8 with 5e-6.
 PERMUTATIONS, ROWS = 120, 6
-#: Rounds of one-leader comparisons before all pairs left are compared, and pairs left per member that end them early.
-LEADER_ROUNDS, LEFT_PER_MEMBER = 12, 4
-
+#: Shingles of a block's open members, and of the members that these are compared with.
+X_CELLS, Y_CELLS = 60_000, 200_000
 _RANDOM = np.random.Generator(np.random.PCG64(31337))
 _FACTOR = _RANDOM.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _SHIFT = _RANDOM.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -84,23 +83,14 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(compute, _SETS)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have num/den of their union in common; both sides join by key."""
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(right, "b").join(left, "a").filter(den * both >= num * (F.col("na") + F.col("nb") - both)).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Documents are linked if the intersection of their shingle sets is at least num/den of the union. component_id is the
     smallest doc_id reachable over links, the row's own included; ``kept`` is doc_id = component_id.
 
-    Documents with the same set are one class, so copies are never expanded into pairs. Buckets of equal band keys are
-    resolved by rounds: in each bucket that still holds several components, the head of every other component is compared
-    with the bucket's leader. Pairs of different components that stay uncompared at the end are all compared.
+    Documents with the same set are one class, so copies are never expanded into pairs. Classes that share buckets of
+    equal band keys form groups, and ``_links`` resolves these exactly without comparing all their pairs.
 
     Null or empty texts have no shingles and link with nothing. A row without doc_id links with nothing: its
     component_id is null and it is kept. Repeated rows get the same result each. Other columns are ignored. An empty
@@ -118,7 +108,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5)
     found = _sets(wanted, words).join(named.select("class"), "class", "left_semi")
     sets = materialise(found.groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
 
-    labels = _link(members, sets, num, den)
+    heads = members.groupBy("key").agg(F.min("class").alias("head"))
+    near = components(members.join(heads, "key").select("class", "head").filter("class != head").distinct(), "class", "head")
+    groups = near.withColumnRenamed("node", "class").join(sets.select("class", "n"), "class").select(F.col("label").alias("grp"), "class", "n")
+    labels = components(_links(groups, sets, num, den))
     smallest = classes.select("class", "smallest").join(labels.withColumnRenamed("node", "class"), "class", "left")
     smallest = smallest.select("class", "smallest", F.coalesce("label", "class").alias("label"))
     roots = smallest.groupBy("label").agg(F.min("smallest").alias("component"))
@@ -128,42 +121,71 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5)
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _link(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """node, label of the classes that have links."""
-    tested = None  # pairs compared so far
-    links = None
-    labels = members.select(F.col("class").alias("node"), F.col("class").alias("label")).distinct()
-    before = None
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left")
-        placed = placed.select("key", "class", "n", F.coalesce("label", "class").alias("label"))
-        heads = materialise(placed.groupBy("key", "label").agg(
-            F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "n")).alias("head"), F.count(F.lit(1)).alias("held")))
-        buckets = heads.groupBy("key").agg(
-            F.max_by(F.struct("label", "head"), F.struct("held", "label")).alias("lead"), F.count(F.lit(1)).alias("parts"),
-            F.sum("held").alias("all"), F.sum(F.col("held") * F.col("held")).alias("own")).filter("parts > 1")
-        buckets = materialise(buckets)
-        left, rows = buckets.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
-        if not left:
-            break
-        last = turn == LEADER_ROUNDS or left <= LEFT_PER_MEMBER * rows and turn or left == before
-        before = left
-        if last:
-            open_members = placed.join(buckets.select("key"), "key", "left_semi")
-            pairs = open_members.alias("x").join(open_members.alias("y"), "key").filter("x.label < y.label").select(
-                F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-        else:
-            pairs = heads.join(buckets.select("key", "lead"), "key").filter("label != lead.label").select(
-                F.least("head.class", "lead.head.class").alias("a"), F.greatest("head.class", "lead.head.class").alias("b"),
-                F.col("head.n").alias("na"), F.col("lead.head.n").alias("nb"))
-        pairs = pairs.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        fresh = materialise(_confirm(pairs, sets, num, den))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = fresh if links is None else links.union(fresh)
-        labels = components(links)
-        if last:
-            break
-    return labels
+def _links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links that connect all classes of a group (grp, class, n) which links of any kind connect.
+
+    Every group compares its members with one leader, its smallest set. Members linked to it need no comparison with
+    each other. The open ones meet all members of their group in blocks of bounded size, by group and block number, so
+    no task holds a group; a block returns a spanning forest of its links, never its pairs.
+    """
+    leaders = groups.groupBy("grp").agg(F.min(F.struct("n", "class")).alias("lead"))
+    pairs = groups.join(leaders, "grp").filter("class != lead.class").select("grp", "class", F.col("lead.class").alias("lead"))
+    member = sets.select("class", F.col("n"), F.col("shingles").alias("own"))
+    leader = sets.select(F.col("class").alias("lead"), F.col("n").alias("m"), F.col("shingles").alias("base"))
+    both = F.size(F.array_intersect("own", "base")).cast("long")
+    met = pairs.join(member, "class").join(leader, "lead").select("grp", "class", "lead", "n", (den * both >= num * (F.col("n") + F.col("m") - both)).alias("linked"))
+    met = materialise(met)
+    links = met.filter("linked").select(F.col("lead").alias("a"), F.col("class").alias("b"))
+
+    sizes = met.groupBy("grp").agg(F.sum("n").alias("all"), F.sum(F.when(~F.col("linked"), F.col("n"))).alias("open"), F.count_if(~F.col("linked")).alias("left"))
+    sizes = sizes.filter("left > 0 AND NOT (left = 1 AND all = open)").select(
+        "grp", F.ceil(F.col("open") / X_CELLS).cast("int").alias("xs"), F.ceil(F.col("all") / Y_CELLS).cast("int").alias("ys"))
+    placed = materialise(met.join(sizes, "grp").join(sets.select("class", "shingles"), "class").withColumns({
+        "x": F.pmod(F.xxhash64("class"), "xs").cast("int"), "y": F.pmod(F.xxhash64("class"), "ys").cast("int")}))
+    rows = placed.select("grp", "x", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), "linked", "class", "shingles").filter("NOT linked").withColumn("open", F.lit(True))
+    rows = rows.unionByName(placed.select(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), "y", "linked", "class", "shingles").withColumn("open", F.lit(False)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = _block_links(table, num, den)
+        return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
+
+    more = rows.select("grp", "x", "y", "open", "class", "shingles").groupBy("grp", "x", "y").applyInArrow(compare, "a binary, b binary")
+    return links.unionByName(more)
+
+
+def _block_links(table: pa.Table, num: int, den: int) -> list[tuple[bytes, bytes]]:
+    """Spanning forest of the links between the open rows of a block and its other rows."""
+    open_ = np.array(table.column("open").to_pylist(), bool)
+    names = table.column("class").to_pylist()
+    lists = table.column("shingles").combine_chunks()
+    values, bounds = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    sizes = np.diff(bounds)
+    parent: dict[bytes, bytes] = {}
+
+    def root(name: bytes) -> bytes:
+        while parent.get(name, name) != name:
+            name = parent[name]
+        return name
+
+    found = []
+    xs = np.flatnonzero(open_)
+    ys = np.flatnonzero(~open_)
+    for begin in range(0, len(xs), 128):
+        part = xs[begin : begin + 128]
+        for cut in np.array_split(part, max(1, int(sizes[part].sum() * len(part) // 32_000_000))):  # bounds the matrix below
+            known = np.unique(np.concatenate([sets[k] for k in cut]))
+            has = np.zeros((len(known), len(cut)), np.uint8)
+            for column, k in enumerate(cut):
+                has[np.searchsorted(known, sets[k]), column] = 1
+            for y in ys:
+                near = np.searchsorted(known, sets[y])
+                near[near == len(known)] = 0
+                both = has[near[known[near] == sets[y]]].sum(axis=0, dtype=np.int64)
+                for k in cut[den * both >= num * (sizes[cut] + sizes[y] - both)]:
+                    a, b = root(names[k]), root(names[y])
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        found.append((names[k], names[y]))
+    return found
