@@ -15,7 +15,7 @@ from areascreen.llm.bytetext import span_hashes, utf8, word_spans
 from areascreen.llm.common import labelled, text_batches
 
 #: Labelled documents that the model is fitted on, at most: a bounded sample in hash order of the id.
-TRAINING_ROWS = 6000
+TRAINING_ROWS = 3000
 #: Length of the subsequences, the most characters that one spans, and the weight of each of these.
 ORDER, SPAN, DECAY = 3, 5, 0.5
 #: Letters that the kernel compares at once. Longer strings are covered by windows of this length at half its distance.
@@ -72,11 +72,11 @@ class Words:
     ends: np.ndarray
     text: np.ndarray
     edges: tuple[np.ndarray, np.ndarray]
+    hashes: np.ndarray
 
     def unique(self) -> tuple[np.ndarray, np.ndarray]:
         """An example of each distinct string, and the string of each run."""
-        hashes = span_hashes(self.letters, self.starts, self.ends) ^ (self.edges[0] * 64 + self.edges[1]).astype(np.uint64)
-        _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, example, which = np.unique(self.hashes, return_index=True, return_inverse=True)
         return example, which
 
     def blocks(self, example: np.ndarray, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -114,7 +114,8 @@ def letter_strings(data: np.ndarray, offsets: np.ndarray) -> Words:
     begin = whole[0] + part * (WINDOW // 2)
     end = np.minimum(whole[1], begin + WINDOW)
     edges = (np.where(begin == whole[0], _BEGIN, _CUT).astype(np.uint8), np.where(end == whole[1], _END, _CUT).astype(np.uint8))
-    return Words(letters, begin, end, np.repeat(text, count), edges)
+    hashes = span_hashes(letters, begin, end) ^ (edges[0].astype(np.uint64) * np.uint64(64) + edges[1])
+    return Words(letters, begin, end, np.repeat(text, count), edges, hashes)
 
 
 @dataclass
@@ -189,7 +190,31 @@ def _with_insertions(words: Words, example: np.ndarray) -> tuple[Words, np.ndarr
     sizes = np.array([len(m) for m in made], np.int64)
     ends = np.cumsum(sizes)
     edges = (np.full(len(made), _BEGIN, np.uint8), np.full(len(made), _END, np.uint8))
-    return Words(np.concatenate(made) if made else np.zeros(0, np.uint8), ends - sizes, ends, np.zeros(len(made), np.int64), edges), np.array(source, np.int64)
+    return Words(np.concatenate(made) if made else np.zeros(0, np.uint8), ends - sizes, ends, np.zeros(len(made), np.int64), edges, np.zeros(len(made), np.uint64)), np.array(source, np.int64)
+
+
+def _all_strings(texts: list[str], rows: int = 256) -> Words:
+    """``letter_strings`` of a long list, a few texts at a time; each distinct string's letters are kept once."""
+    parts, held = [], {}
+    letters: list[np.ndarray] = []
+    size = 0
+    for at in range(0, len(texts), rows):
+        words = letter_strings(*utf8(pa.array(texts[at : at + rows], pa.string())))
+        example, which = words.unique()
+        starts = np.zeros(len(example), np.int64)
+        for k, w in enumerate(example.tolist()):
+            key = int(words.hashes[w])
+            if key not in held:
+                held[key] = size
+                letters.append(words.letters[words.starts[w] : words.ends[w]])
+                size += len(letters[-1])
+            starts[k] = held[key]
+        lengths = words.ends - words.starts
+        pairs = np.unique(words.text * len(example) + which) if len(which) else np.zeros(0, np.int64)  # a string counts once per text
+        kept = example[pairs % len(example)] if len(pairs) else pairs
+        parts.append((starts[pairs % len(example)] if len(pairs) else pairs, lengths[kept], pairs // max(1, len(example)) + at, words.edges[0][kept], words.edges[1][kept], words.hashes[kept]))
+    joined = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
+    return Words(np.concatenate(letters) if letters else np.zeros(0, np.uint8), joined[0], joined[0] + joined[1], joined[2], (joined[3], joined[4]), joined[5])
 
 
 def fit(texts: list[str], labels: list[int]) -> Machine:
@@ -201,7 +226,7 @@ def fit(texts: list[str], labels: list[int]) -> Machine:
     """
     toxic = np.array(labels, np.int64)
     share = float(toxic.mean()) if len(toxic) else 0.5
-    words = letter_strings(*utf8(pa.array(texts, pa.string())))
+    words = _all_strings(texts)
     example, which = words.unique()
     long_enough = (words.ends - words.starts)[example] >= ORDER
     if len(set(labels)) < 2 or not long_enough.any():
@@ -219,7 +244,7 @@ def fit(texts: list[str], labels: list[int]) -> Machine:
     root = (basis[:, kept] / np.sqrt(size[kept])) @ basis[:, kept].T
 
     negative = np.flatnonzero((clean > 0) & (clean > 0.02 * bad) & long_enough)
-    negative = negative[np.argsort(span_hashes(words.letters, words.starts[example[negative]], words.ends[example[negative]]))]  # hash order
+    negative = negative[np.argsort(words.hashes[example[negative]])]  # hash order
     inside = (toxic[doc] == 1) & long_enough[word] & (clean[word] <= 0.02 * bad[word])
     value, vector, machine = prior, np.zeros(len(chosen) + 1), None
     for turn in range(ROUNDS):
