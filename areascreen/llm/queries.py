@@ -9,14 +9,46 @@ from areascreen.llm.chat import format_conversations, read_back
 from areascreen.llm.common import read
 from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack
+from areascreen.llm.pii import KINDS, find, train
 from areascreen.llm.quality import score_quality, with_fold
 from areascreen.llm.sharding import shard
+from areascreen.llm.topk import top_k, usable
 from areascreen.llm.toxicity import score_toxicity
 
 #: Tokenizer file of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every row whose vec_id is divisible by 20, over all rows."""
+    whole = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("long"))
+    vectors = read(spark, sf_dir, "embeddings").filter(usable("embedding")).select("vec_id", whole.alias("vector"))
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.vector, c.vector), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts of the base kinds, a digest of the base spans, and all spans."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find(docs, train(docs))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("pii", lambda s: s["kind"].isin(*KINDS))
+    kinds = F.col("pii")["kind"]
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("pii")).alias("spans"))
+
+
 #: Score from which a document counts as good.
 GOOD = 0.3
 
@@ -91,5 +123,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(score_toxicity(docs, read(spark, sf_dir, "labels")), "toxic_score", TOXIC)
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity)}
-ORACLES: dict[str, str] = {"op6_chat_formatting": _CHAT_SQL}
+QUERIES = {f.__name__: f for f in (op2_exact_topk, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity)}
+ORACLES: dict[str, str] = {"op2_exact_topk": _TOPK_SQL, "op6_chat_formatting": _CHAT_SQL}
