@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from areascreen.llm.chat import format_conversations, read_back
 from areascreen.llm.common import read
+from areascreen.llm.decontaminate import find_leaks
 from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack
 from areascreen.llm.pii import KINDS, find, train
@@ -19,6 +20,12 @@ from areascreen.llm.toxicity import score_toxicity
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document holds: its passage, score and verified overlaps."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest integer inner products of every row whose vec_id is divisible by 20, over all rows."""
     whole = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("long"))
@@ -123,5 +130,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(score_toxicity(docs, read(spark, sf_dir, "labels")), "toxic_score", TOXIC)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_topk, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_topk, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_exact_topk": _TOPK_SQL, "op6_chat_formatting": _CHAT_SQL}
