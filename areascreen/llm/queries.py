@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from areascreen.llm.chat import format_conversations, read_back
 from areascreen.llm.common import read
 from areascreen.llm.decontaminate import find_leaks
+from areascreen.llm.licenses import scan_licenses
 from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack
 from areascreen.llm.pii import KINDS, find, train
@@ -45,6 +46,12 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 20
 """
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license statement that a document holds, with its place and containment."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs).select("doc_id", F.explode("licenses").alias("found")).select("doc_id", "found.*")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts of the base kinds, a digest of the base spans, and all spans."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -130,5 +137,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(score_toxicity(docs, read(spark, sf_dir, "labels")), "toxic_score", TOXIC)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_topk, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_license_scan, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_exact_topk": _TOPK_SQL, "op6_chat_formatting": _CHAT_SQL}

@@ -7,12 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from areascreen.llm.common import read
+from areascreen.llm.decontaminate import find_leaks
 from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack
-from areascreen.llm.queries import TOKENIZER
+from areascreen.llm.pii import find, redact, train
+from areascreen.llm.quality import score_quality
+from areascreen.llm.queries import GOOD, TOKENIZER
 from areascreen.session import checkpoint_dir
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a quality score of at least GOOD; rejected ones go."""
+    scored = score_quality(docs, read(spark, sf_dir, "labels"))
+    return scored.filter(F.col("quality_score") >= GOOD).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id.
 
@@ -28,12 +37,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return single.unionByName(first)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return find_leaks(docs, read(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every span of personal data replaced by its kind; n_chars counts the new text."""
+    clean = redact(find(docs, train(docs)))
+    return clean.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length with their token ids."""
     return pack(docs, TOKENIZER)
 
 
-STAGES = [("minhash_near_dedup", near_dedup), ("packing", packing)]
+STAGES = [
+    ("quality_classifier", quality), ("minhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination),
+    ("pii", personal_data), ("packing", packing),
+]
 
 #: No SQL: the classifier, the near-duplicate search and the tokenizer cannot be stated in it.
 ORACLE_SQL = None
