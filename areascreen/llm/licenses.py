@@ -55,7 +55,7 @@ class Scanner:
 
     def __post_init__(self) -> None:
         self.shingles = [_shingles(w) for w in self.words]
-        self.minima = np.array([[(w * a + b).min() for a, b in zip(_FACTOR, _SHIFT)] for w in self.words], np.uint64).reshape(len(self.words), -1)
+        self.minima = np.array([[(w * a + b).min() for a, b in zip(_FACTOR, _SHIFT)] for w in self.words], np.uint64).reshape(len(self.words), BANDS * ROWS)
         self.of_length: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
             self.of_length.setdefault(len(w), []).append(k)
