@@ -261,17 +261,16 @@ def protocol_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol(spark, sf_dir)
 
 
-ROLE_SQL = """roles AS (SELECT l_suppkey AS node_id, 'Node ' || l_suppkey::VARCHAR || CASE WHEN l_suppkey%19 = 0 AND l_linenumber = 7 THEN '!' ELSE '' END AS node_name, CASE WHEN l_linenumber <= 2 THEN 'candidate' WHEN l_linenumber <= 5 THEN 'outside_audit' ELSE 'benchmark' END AS role
-    FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09),
+ROLE_SQL = """roles AS (SELECT l_suppkey AS node_id, 'Node ' || l_suppkey::VARCHAR || CASE WHEN l_suppkey%19 = 0 AND l_linenumber = 7 THEN '!' ELSE '' END AS node_name, CASE WHEN l_suppkey%3 = 0 AND l_linenumber <= 2 THEN 'candidate' WHEN l_suppkey%2 = 0 AND l_linenumber <= 5 THEN 'outside_audit' ELSE 'benchmark' END AS role
+    FROM lineitem),
   merged AS (SELECT node_id, min(node_name) AS node_name, count(DISTINCT node_name) AS names, min(CASE role WHEN 'candidate' THEN 1 WHEN 'outside_audit' THEN 2 ELSE 3 END) AS p, count(DISTINCT role) AS role_count FROM roles GROUP BY 1)"""
 
 
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     node, line = F.col("l_suppkey"), F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.09))
-    return rows.select(
+    return table(spark, sf_dir, "lineitem").select(
         node.alias("node_id"), F.concat(F.lit("Node "), node, F.when((node % 19 == 0) & (line == 7), "!").otherwise("")).alias("node_name"),
-        F.when(line <= 2, "candidate").when(line <= 5, "outside_audit").otherwise("benchmark").alias("role"),
+        F.when((node % 3 == 0) & (line <= 2), "candidate").when((node % 2 == 0) & (line <= 5), "outside_audit").otherwise("benchmark").alias("role"),
     )
 
 
@@ -343,23 +342,24 @@ def review_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("U5_selection_change", """
-  WITH a AS (SELECT DISTINCT l_suppkey AS node_id FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), b AS (SELECT DISTINCT l_suppkey AS node_id FROM lineitem WHERE l_quantity = 49 AND l_discount = 0.1)
+  WITH a AS (SELECT DISTINCT l_suppkey AS node_id FROM lineitem WHERE (l_suppkey * 7 + l_linenumber) % 97 < 40 AND l_suppkey % 3 <> 0), b AS (SELECT DISTINCT l_suppkey AS node_id FROM lineitem WHERE NOT ((l_suppkey * 7 + l_linenumber) % 97 < 40 AND l_suppkey % 3 <> 0))
   SELECT node_id, CASE WHEN a.node_id IS NULL THEN 'entrant' WHEN b.node_id IS NULL THEN 'exit' ELSE 'kept' END AS change FROM a FULL JOIN b USING (node_id)""")
 def selection_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_discount = 0.1").select(F.col("l_suppkey").alias("node_id"), "l_quantity")
-    return selection.selection_change(lines.filter("l_quantity = 50"), lines.filter("l_quantity = 49"), "node_id")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node_id"), "l_linenumber")
+    side = (F.pmod(F.col("node_id") * 7 + F.col("l_linenumber"), F.lit(97)) < 40) & (F.col("node_id") % 3 != 0)  # every row is on one side
+    return selection.selection_change(lines.filter(side), lines.filter(~side), "node_id")
 
 
 @query("U6_partition", """
-  WITH e AS (SELECT o_orderkey AS id FROM orders), r AS (SELECT l_orderkey AS id FROM lineitem WHERE l_linenumber = 1), x AS (SELECT l_orderkey + 1 AS id FROM lineitem WHERE l_linenumber = 2),
+  WITH e AS (SELECT o_orderkey AS id FROM orders), r AS (SELECT l_orderkey AS id FROM lineitem WHERE l_linenumber % 2 = 1), x AS (SELECT l_orderkey + 1 AS id FROM lineitem WHERE l_linenumber % 2 = 0),
   s AS (SELECT id, count(*) AS n FROM (SELECT * FROM r UNION ALL SELECT * FROM x) GROUP BY 1), j AS (SELECT e.id IS NOT NULL AS wanted, coalesce(n, 0) AS n FROM e FULL JOIN s USING (id)),
   c AS (SELECT count(*) FILTER (wanted) AS expected, count(*) FILTER (wanted AND n = 1) AS exactly_once, count(*) FILTER (wanted AND n = 0) AS missing, count(*) FILTER (n > 1) AS duplicated, count(*) FILTER (NOT wanted) AS unexpected FROM j)
   SELECT *, missing = 0 AND duplicated = 0 AND unexpected = 0 AS valid FROM c""")
 def partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     return joins.partition_report(
-        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), lines.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id")),
-        lines.filter("l_linenumber = 2").select((F.col("l_orderkey") + 1).alias("id")), "id",
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), lines.filter("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("id")),
+        lines.filter("l_linenumber % 2 = 0").select((F.col("l_orderkey") + 1).alias("id")), "id",
     )
 
 
@@ -556,6 +556,6 @@ def ranking_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank() OVER (g ORDER BY competition) + (count(*) OVER (PARTITION BY threshold, day, cs, competition) - 1) / 2.0::DOUBLE AS rc, greatest(count(*) OVER g - 1, 1) AS d FROM cc WINDOW g AS (PARTITION BY threshold, day, cs)),
   sc AS (SELECT *, 1 - (rd-1)/d AS ds, 1 - (ra-1)/d AS sa, 1 - (rc-1)/d AS ks, NOT EXISTS (SELECT 1 FROM cc o WHERE o.threshold = a.threshold AND o.day = a.day AND o.cs = a.cs AND o.demand >= a.demand AND o.accessible >= a.accessible AND o.competition <= a.competition AND (o.demand > a.demand OR o.accessible > a.accessible OR o.competition < a.competition)) AS onf FROM avgs a),
   rn AS (SELECT threshold, day, cs, profile, node_id, onf, row_number() OVER (PARTITION BY threshold, day, cs, profile, onf ORDER BY w0*ds + w1*sa + w2*ks + w3*0.5::DOUBLE DESC, node_id) AS fr FROM sc, (SELECT profile, w0::DOUBLE AS w0, w1::DOUBLE AS w1, w2::DOUBLE AS w2, w3::DOUBLE AS w3 FROM (VALUES ('balanced', 0.25, 0.25, 0.25, 0.25), ('demand_led', 0.4, 0.2, 0.2, 0.2), ('accessibility_led', 0.2, 0.4, 0.2, 0.2), ('competition_led', 0.2, 0.2, 0.4, 0.2), ('finance_led', 0.2, 0.2, 0.2, 0.4)) p(profile, w0, w1, w2, w3)))
-  SELECT threshold, node_id, count(*) FILTER (onf AND fr <= 3) AS selection_count, count(*) FILTER (onf AND fr <= 3 AND cs LIKE 'confirmed%') AS observed_count, count(*) FILTER (onf AND fr <= 3 AND cs LIKE 'zero%') AS caution_count FROM rn GROUP BY 1, 2"""))
+  SELECT threshold, node_id, count(*) FILTER (onf AND fr <= 3) AS selection_count, count(*) FILTER (onf AND fr <= 3 AND cs LIKE 'confirmed%') AS observed_count, count(*) FILTER (onf AND fr <= 3 AND cs LIKE 'zero%') AS caution_count, 'combined' AS status FROM rn GROUP BY 1, 2"""))
 def combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision.combine_days(rerank(spark, sf_dir, "confirmed_15 >= 0")[0], by=["threshold"], day="day")
+    return decision.combine_days(rerank(spark, sf_dir, "confirmed_15 >= 0")[0], by=["threshold"], day="day", days=["weekday", "weekend"])

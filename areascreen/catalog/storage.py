@@ -31,7 +31,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.array("source").alias("tags"))
     writers.write_csv(documents, path, ["doc_id", "text", "lang", "tags"])
-    rows = readers.read_csv(spark, path, ["doc_id", "text", "lang", "tags"])
+    rows = readers.read_csv(spark, path, ["doc_id", "text", "lang", "tags"], multi_line=True)
     return rows.select("doc_id", F.sha2("text", 256).alias("digest"), "lang", "tags")
 
 

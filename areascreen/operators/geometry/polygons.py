@@ -22,19 +22,28 @@ def measures(edges: DataFrame, key: str = "geo_id") -> DataFrame:
     """Area, centroid, edge count, closure and degeneracy per polygon (shoelace sums).
 
     Positions are taken relative to the polygon's own box, so that the sums keep
-    their precision far from the origin.
+    their precision far from the origin. With ``part`` and ``ring`` columns every ring is
+    summed by itself: the first ring of a part counts, the others are holes and are taken
+    off, whichever way they are wound. A null ring counts as the first.
     """
     relative = edges.join(boxes(edges, key), key)
     x1, y1 = F.col("x1") - F.col("lo_x"), F.col("y1") - F.col("lo_y")
     x2, y2 = F.col("x2") - F.col("lo_x"), F.col("y2") - F.col("lo_y")
     cross = x1 * y2 - x2 * y1
-    sums = relative.groupBy(key).agg(
+    rings = [c for c in ("part", "ring") if c in edges.columns]
+    each = relative.groupBy(key, *rings).agg(
         F.first("lo_x").alias("lo_x"), F.first("lo_y").alias("lo_y"),
         F.sum(cross).alias("double_area"), F.sum((x1 + x2) * cross).alias("mx"), F.sum((y1 + y2) * cross).alias("my"),
         F.count(F.lit(1)).alias("edge_count"),
         F.count_if((F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2"))).alias("degenerate_edge_count"),
         (F.abs(F.sum(x2 - x1)) + F.abs(F.sum(y2 - y1))).alias("gap"),
     )
+    wound = F.when(F.col("double_area") < 0, -1).otherwise(1)
+    sign = wound * (F.when(F.col("ring") > 0, -1).otherwise(1) if "ring" in rings else F.lit(1))
+    sums = each.groupBy(key).agg(
+        F.first("lo_x").alias("lo_x"), F.first("lo_y").alias("lo_y"), *[F.sum(F.col(c) * sign).alias(c) for c in ("double_area", "mx", "my")],
+        F.sum("edge_count").alias("edge_count"), F.sum("degenerate_edge_count").alias("degenerate_edge_count"), F.max("gap").alias("gap"),
+    )
     return sums.select(
         key, F.abs(F.col("double_area") / 2).alias("area"),
         F.when(F.col("double_area") != 0, F.col("lo_x") + F.col("mx") / (F.col("double_area") * 3)).alias("centroid_x"),

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from areascreen.operators.ranking import group_size
+from areascreen.operators.skew import null_safe_join
 from areascreen.session import cut_lineage
 
 _BINS = 8
@@ -76,7 +77,7 @@ def pareto_frontier(df: DataFrame, dimensions: Sequence[str], *, by: Sequence[st
     # Cut points are approximate but fixed once written: binning is monotone, so the result is exact.
     ranges = cut_lineage(ranges).select(*by, *[f"cuts_{d}" for d in dimensions])
     if by:
-        binned = points.join(ranges, list(by))
+        binned = null_safe_join(points, ranges, by)
     else:
         row = ranges.first()
         binned = points
@@ -99,19 +100,19 @@ def pareto_frontier(df: DataFrame, dimensions: Sequence[str], *, by: Sequence[st
         return F.forall(F.zip_with(other, own, lambda a, b: a >= b), lambda x: x)
 
     def with_cells(left: DataFrame) -> DataFrame:
-        return left.join(filled, list(by)) if by else left.withColumn("cells", filled.scalar())
+        return null_safe_join(left, filled, by) if by else left.withColumn("cells", filled.scalar())
 
     own = celled.select(*by, "cell").distinct()
     living = with_cells(own).filter(~F.exists("cells", lambda c: above_everywhere(c, F.col("cell")))).select(*by, "cell")
-    survivors = cut_lineage(_thin(celled.join(living, [*by, "cell"], "left_semi"), by, dimensions))
+    survivors = cut_lineage(_thin(null_safe_join(celled, living, [*by, "cell"], "left_semi"), by, dimensions))
     if _fits(survivors, by):
         return _thin(survivors.drop("cell"), by, dimensions, fits=True)
 
     # Candidates for dominating a point lie in cells at least as high in every dimension.
     living_lists = living.groupBy(*by).agg(F.collect_set("cell").alias("cells"))
-    rivals_of = living.join(living_lists, list(by)) if by else living.withColumn("cells", living_lists.scalar())
+    rivals_of = null_safe_join(living, living_lists, by) if by else living.withColumn("cells", living_lists.scalar())
     rivals_of = rivals_of.select(*by, "cell", F.filter("cells", lambda c: at_least(c, F.col("cell"))).alias("rivals"))
-    seekers = survivors.join(rivals_of, [*by, "cell"]).withColumn("rival", F.explode("rivals")).drop("rivals")
+    seekers = null_safe_join(survivors, rivals_of, [*by, "cell"]).withColumn("rival", F.explode("rivals")).drop("rivals")
     others = survivors.select(*by, F.col("cell").alias("rival"), *[F.col(d).alias(f"_{d}") for d in dimensions])
     keys = [*by, "rival"]
     better = F.lit(True)
@@ -123,7 +124,7 @@ def pareto_frontier(df: DataFrame, dimensions: Sequence[str], *, by: Sequence[st
     for k in keys:
         condition = condition & F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}"))
     beaten = seekers.alias("s").join(others.alias("o"), condition, "left_semi").select(*by, *dimensions).distinct()
-    return survivors.select(*by, *dimensions).join(beaten, [*by, *dimensions], "left_anti")
+    return null_safe_join(survivors.select(*by, *dimensions), beaten, [*by, *dimensions], "left_anti")
 
 
 def frontier_flag(df: DataFrame, dimensions: Sequence[str], *, by: Sequence[str] = (), name: str = "on_frontier") -> DataFrame:
@@ -134,7 +135,7 @@ def frontier_flag(df: DataFrame, dimensions: Sequence[str], *, by: Sequence[str]
     )
     condition = F.lit(True)
     for c in by:
-        condition = condition & (F.col(c) == F.col(f"_{c}"))
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}"))
     for d in dimensions:
         condition = condition & (F.col(d).cast("double") == F.col(f"_{d}"))
     joined = df.join(aliased, condition, "left")

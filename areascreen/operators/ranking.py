@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from areascreen.operators.skew import salted_join
+from areascreen.operators.skew import null_safe_join
 from areascreen.session import cut_lineage
 
 #: Largest group that one task may sort.
@@ -36,7 +36,7 @@ def group_size(df: DataFrame, by: Sequence[str] = (), name: str = "group_size",
     if bounded:
         return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*by)))
     if by:
-        return df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)), list(by))
+        return null_safe_join(df, df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)), by)
     return df.withColumn(name, df.agg(F.count(F.lit(1)).alias(name)).scalar())
 
 
@@ -58,7 +58,7 @@ def row_index(
     indexed = numbered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + within + 1)
     if by:
         starts = indexed.groupBy(*by).agg(F.min(name).alias("_start"))
-        indexed = indexed.join(starts, list(by)).withColumn(name, F.col(name) - F.col("_start") + 1)
+        indexed = null_safe_join(indexed, starts, by).withColumn(name, F.col(name) - F.col("_start") + 1)
     return indexed.select(*df.columns, F.col(name).cast("bigint").alias(name))
 
 
@@ -105,7 +105,7 @@ def average_rank(
         return df.withColumn(name, first + (ties - 1) / 2)
     indexed = row_index(df, [direction, F.col(key).asc()], by=by, name="_index", bounded=False)
     ties = indexed.groupBy(*by, value).agg(((F.min("_index") + F.max("_index")) / 2).alias(name))
-    return salted_join(indexed, ties, [*by, value], spread=[key]).select(*df.columns, name)
+    return null_safe_join(indexed, ties, [*by, value]).select(*df.columns, name)
 
 
 def average_percentile(
@@ -123,8 +123,8 @@ def average_percentile(
 def exact_median(
     df: DataFrame, value: str, key: str, *, by: Sequence[str] = (), name: str = "median", bounded: bool | None = None
 ) -> DataFrame:
-    """Interpolated median of the non-null values of each group."""
-    known = df.filter(F.col(value).isNotNull()).select(*by, key, value)
+    """Interpolated median of the non-null values of each group, as a double."""
+    known = df.filter(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias(value))
     if is_bounded(known, by) if bounded is None else bounded:
         return known.groupBy(*by).agg(F.median(value).alias(name))
     indexed = group_size(row_index(known, [F.col(value), F.col(key)], by=by, name="_index", bounded=False), by, "_size")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from areascreen.functions.finance import competition_value
 from areascreen.operators.pareto import frontier_flag
 from areascreen.operators.ranking import average_percentile, is_bounded, row_index
+from areascreen.operators.skew import null_safe_join
 from areascreen.session import cut_lineage
 
 #: Competition case, walking minutes, zero-confirmed caution.
@@ -152,13 +153,21 @@ def with_competition(cells: DataFrame, competition: DataFrame, *, by: Sequence[s
     )
 
 
-def combine_days(results: DataFrame, *, by: Sequence[str], day: str) -> DataFrame:
-    """Add the selection counts of a node's days; only nodes ranked on every day are combined."""
-    days = results.select(day).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    return results.groupBy(*by, "node_id").agg(
+def combine_days(results: DataFrame, *, by: Sequence[str], day: str, days: Sequence[str]) -> DataFrame:
+    """Add the selection counts of a node's days, with a status per group of ``by``.
+
+    A group in which a day of ``days`` was not ranked is one row with null counts and the status
+    ``unavailable_missing_day``. In the others, nodes ranked on every day are combined.
+    """
+    wanted = results.filter(F.col(day).isin(*days))
+    held = results.groupBy(*by).agg(F.countDistinct(F.when(F.col(day).isin(*days), F.col(day))).alias("_held"))
+    complete = held.filter(F.col("_held") == len(days)).drop("_held")
+    combined = null_safe_join(wanted, complete, by, "left_semi").groupBy(*by, "node_id").agg(
         F.sum("selection_count").alias("selection_count"), F.sum("observed_count").alias("observed_count"),
         F.sum("caution_count").alias("caution_count"), F.countDistinct(day).alias("_days"),
-    ).filter(F.col("_days") == days).drop("_days")
+    ).filter(F.col("_days") == len(days)).drop("_days").withColumn("status", F.lit("combined"))
+    missing = held.filter(F.col("_held") < len(days)).drop("_held").withColumn("status", F.lit("unavailable_missing_day"))
+    return combined.unionByName(missing, allowMissingColumns=True)
 
 
 def rank_movement(left: DataFrame, right: DataFrame, *, key: str = "node_id") -> DataFrame:

@@ -21,10 +21,15 @@ def run_id(prefix: str, fingerprints: DataFrame, config: Mapping, decisions: Seq
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, byte_size, sha256 of every data file below a path; hashing runs in the tasks."""
+    """file_name, byte_size, sha256 of every data file below a path; hashing runs in the tasks.
+
+    ``file_name`` is the path below the root, so equal names in different folders stay apart.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = path.split(":", 1)[-1].strip("/") + "/"
+    below = F.substr("path", F.instr("path", root) + len(root))
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256")
+        below.alias("file_name"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256")
     )
 
 

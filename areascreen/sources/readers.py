@@ -8,14 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 
 POINT_FEATURES = "features array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: array<double>>>>"
-POLYGON_FEATURES = (
-    "features array<struct<type: string, properties: map<string, string>, "
-    "geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
-)
-MULTIPOLYGON_FEATURES = (
-    "features array<struct<type: string, properties: map<string, string>, "
-    "geometry: struct<type: string, coordinates: array<array<array<array<double>>>>>>>"
-)
+#: Coordinates stay text until the type of the geometry is known.
+POLYGON_FEATURES = "features array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+RINGS = "array<array<array<double>>>"
 RECORDS = "success boolean, result struct<records: array<map<string, string>>>"
 
 
@@ -24,10 +19,13 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str, col
     return spark.read.schema(schema).parquet(path).select(*columns)
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Header CSV with every column as text; a malformed row fails the read."""
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str], *, multi_line: bool = False) -> DataFrame:
+    """Header CSV with every column as text; a malformed row fails the read.
+
+    Large files are split over tasks. ``multi_line`` allows line breaks inside quotes and reads a file in one task.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False, multiLine=True, escape='"')
+    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False, multiLine=multi_line, escape='"')
 
 
 def _features(spark: SparkSession, path: str, schema: str, *, lines: bool) -> DataFrame:
@@ -80,19 +78,21 @@ def _ring_edges(ring: Column) -> Column:
 
 
 def read_polygon_features(
-    spark: SparkSession, path: str, *, identifier: str, required: Sequence[str], multi: bool = False, lines: bool = False
+    spark: SparkSession, path: str, *, identifier: str, required: Sequence[str], lines: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(attributes, edges): one attribute row per feature, one edge row per ring segment.
 
-    A feature without a required property fails the read.
+    A feature without a required property fails the read. Polygon and MultiPolygon features
+    may stand in one file.
     """
-    rows = _features(spark, path, MULTIPOLYGON_FEATURES if multi else POLYGON_FEATURES, lines=lines)
+    rows = _features(spark, path, POLYGON_FEATURES, lines=lines)
     for name in required:
         value = F.col("properties").getItem(name)
         rows = require(rows, value.isNotNull() & (F.trim(value) != ""), f"a feature lacks the property {name}")
     key = F.col("properties").getItem(identifier).alias("geo_id")
     attributes = rows.select(key, *[F.col("properties").getItem(p).alias(p) for p in required if p != identifier])
-    parts = F.col("geometry.coordinates") if multi else F.array("geometry.coordinates")
+    text = F.col("geometry.coordinates")
+    parts = F.when(F.col("geometry.type") == "MultiPolygon", F.from_json(text, f"array<{RINGS}>")).otherwise(F.array(F.from_json(text, RINGS)))
     rings = rows.select(key, F.posexplode(parts).alias("part", "rings")).select("geo_id", "part", F.posexplode("rings").alias("ring", "corners"))
     edges = rings.select("geo_id", "part", "ring", F.posexplode(_ring_edges(F.col("corners"))).alias("seq", "e")).select(
         "geo_id", "part", "ring", "seq", "e.*"

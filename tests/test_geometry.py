@@ -124,3 +124,19 @@ def test_demand_ranks_and_gates(spark):
     assert got == [(1, "A", 1.0, 4), (2, "B", 0.5, 3), (3, "C", 0.0, 1)]
     checks = {r["check_id"]: r["violations"] for r in proximity_checks(df, radii=(800, 1200), expected_nodes=3, national_population=8.0).collect()}
     assert checks == {"row_count": 0, "duplicate_nodes": 0, "negative_population": 0, "above_national": 1, "not_monotone": 1}
+
+
+def test_area_of_a_ring_with_a_hole_wound_either_way(spark, tmp_path):
+    import json
+
+    from areascreen.operators.geometry.polygons import measures
+    from areascreen.sources import readers
+
+    shell, hole = [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]], [[4, 4], [6, 4], [6, 6], [4, 6], [4, 4]]
+    shapes = [("a", "Polygon", [shell, hole]), ("b", "Polygon", [shell, hole[::-1]]), ("c", "MultiPolygon", [[shell[::-1], hole], [[[20, 0], [22, 0], [22, 2], [20, 2], [20, 0]]]])]
+    features = [{"type": "Feature", "properties": {"ID": i}, "geometry": {"type": t, "coordinates": c}} for i, t, c in shapes]
+    (tmp_path / "mixed.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    _, edges = readers.read_polygon_features(spark, str(tmp_path / "mixed.json"), identifier="ID", required=["ID"])
+    got = {r.geo_id: r for r in measures(edges).collect()}
+    assert {k: round(r.area, 9) for k, r in got.items()} == {"a": 96.0, "b": 96.0, "c": 100.0}
+    assert round(got["a"].centroid_x, 9) == round(got["b"].centroid_x, 9) == 5.0 and got["c"].closed

@@ -74,3 +74,38 @@ def test_bands_and_quartiles(spark):
     rows = {r["rank"]: (r["band"], r["q"]) for r in df.collect()}
     labels = ["high", "middle", "low"]
     assert rows == {p + 1: (labels[min(2, p * 3 // 10)], min(int(p // 2.5) + 1, 4)) for p in range(10)}
+
+
+def test_both_sizes_of_group_give_the_same_rows(spark):
+    from decimal import Decimal
+
+    from areascreen.operators import ranking
+    from areascreen.operators.pareto import frontier_flag
+
+    rows = [(1, "a", Decimal("2.50")), (2, "a", Decimal("2.50")), (3, None, Decimal("1.00")), (4, None, None), (5, None, Decimal("4.25"))]
+    df = spark.createDataFrame(rows, "id long, grp string, value decimal(10,2)")
+    for function in (
+        lambda b: ranking.group_size(df, ["grp"], bounded=b), lambda b: ranking.descending_rank(df, "value", "id", by=["grp"], bounded=b),
+        lambda b: ranking.average_rank(df, "value", "id", by=["grp"], bounded=b), lambda b: ranking.average_percentile(df, "value", "id", by=["grp"], bounded=b),
+        lambda b: ranking.exact_median(df, "value", "id", by=["grp"], bounded=b),
+    ):
+        small, large = function(True), function(False)
+        assert [f.dataType for f in small.schema] == [f.dataType for f in large.schema]
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    points = spark.createDataFrame([(None, k % 40, (k * 7) % 41) for k in range(80)] + [("a", 1, 1)], "grp string, x int, y int")
+    one = sorted(map(str, frontier_flag(points, ["x", "y"], by=["grp"]).collect()))
+    import areascreen.operators.pareto as pareto
+    held, pareto._CHUNK_ROWS = pareto._CHUNK_ROWS, 8
+    try:
+        assert sorted(map(str, frontier_flag(points, ["x", "y"], by=["grp"]).collect())) == one
+    finally:
+        pareto._CHUNK_ROWS = held
+
+
+def test_days_that_cannot_be_combined_are_reported(spark):
+    from areascreen.plans.decision import combine_days
+
+    rows = [("t1", "n1", "weekday", 1), ("t1", "n1", "weekend", 2), ("t1", "n2", "weekday", 5), ("t2", "n1", "weekday", 3)]
+    results = spark.createDataFrame(rows, "threshold string, node_id string, day string, selection_count int").selectExpr("*", "1 AS observed_count", "0 AS caution_count")
+    got = combine_days(results, by=["threshold"], day="day", days=["weekday", "weekend"]).select("threshold", "node_id", "selection_count", "status")
+    assert sorted(map(tuple, got.collect()), key=str) == [("t1", "n1", 3, "combined"), ("t2", None, None, "unavailable_missing_day")]

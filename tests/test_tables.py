@@ -163,3 +163,19 @@ def test_ledger_keeps_the_first_write_in_batch_and_stream(spark, tmp_path):
     ledger.insert_if_absent(spark.createDataFrame([outcome("t9", "x", day(5))], OUTCOMES), path, batch="seed9")
     ledger.insert_if_absent(spark.createDataFrame([outcome("t9", "x", day(5))], OUTCOMES), path, batch="seed9")
     assert ledger.read_ledger(spark, path, OUTCOMES).count() == 4
+
+
+def test_equal_file_names_in_two_folders_stay_apart(spark, tmp_path):
+    from areascreen.sources.manifest import file_manifest, verify_manifest
+
+    for folder, text in (("a", "one"), ("b", "two")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part-0").write_text(text)
+    first = file_manifest(spark, str(tmp_path))
+    recorded = spark.createDataFrame(first.collect())
+    assert {r.file_name for r in recorded.collect()} == {"a/part-0", "b/part-0"}
+    assert {r.status for r in verify_manifest(first, recorded).collect()} == {"match"}
+    (tmp_path / "b" / "part-0").write_text("three")
+    (tmp_path / "c").write_text("new")
+    statuses = {r.file_name: r.status for r in verify_manifest(file_manifest(spark, str(tmp_path)), recorded).collect()}
+    assert statuses == {"a/part-0": "match", "b/part-0": "changed", "c": "unexpected"}
