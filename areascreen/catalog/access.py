@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from areascreen.catalog.registry import query
-from areascreen.catalog.views import SCENARIOS, THRESHOLD_CASES, outcomes_of, trip_outcomes, trip_plan, with_views
+from areascreen.catalog.views import SCENARIOS, THRESHOLD_CASES, nodes, outcomes_of, trip_outcomes, trip_plan, with_views
 from areascreen.operators import access, ranking
 from areascreen.session import cut_lineage
 
@@ -64,6 +64,12 @@ def node_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.accessibility_metrics(resolved, plan, THRESHOLD_CASES, proximity_metres=PROXIMITY_METRES)
 
 
+@query("F16_threshold_cases", with_views("nodes cases", "SELECT node_id, threshold_case_id, pt_minutes, walk_minutes, is_primary FROM nodes CROSS JOIN cases"))
+def threshold_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = access.threshold_cases(20, 10, [15, 25], [5, 15])
+    return nodes(spark, sf_dir).select("node_id", F.explode(access.case_column(cases)).alias("c")).select("node_id", "c.*")
+
+
 @query("A4_accessibility_sums", with_views("trip_outcomes cases", f"""WITH {METRICS}
   SELECT * EXCLUDE (is_primary), is_primary,
          round(transport_population / national_population, 9) AS transit_reach_share,

@@ -175,14 +175,14 @@ def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("X5_U3_U4_outside_sample", with_views("nodes", f"""WITH {SAMPLE_SQL}
-  SELECT node_id, region, screen_band, round(population_count / sample_count, 9)::DOUBLE AS design_weight FROM (
+  SELECT node_id, region, screen_band, round(population_count / sample_count, 9)::DOUBLE AS design_weight, false AS is_candidate FROM (
     SELECT u.*, population_count, sample_count, row_number() OVER (PARTITION BY u.region, u.screen_band ORDER BY sha256('20260918|' || node_id::VARCHAR), node_id) AS place
     FROM universe u JOIN strata s ON u.region = s.region AND u.screen_band = s.screen_band) WHERE place <= sample_count"""))
 def outside_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates, sample, _ = sampled(spark, sf_dir)
-    overlapping = sample.join(candidates.select("node_id"), "node_id", "left_semi")
-    return sample.join(overlapping.select("node_id"), "node_id", "left_anti").select(
-        "node_id", "region", "screen_band", F.round("design_weight", 9).alias("design_weight")
+    marked = sample.join(candidates.select("node_id", F.lit(True).alias("_candidate")), "node_id", "left")
+    return marked.select(
+        "node_id", "region", "screen_band", F.round("design_weight", 9).alias("design_weight"), F.coalesce("_candidate", F.lit(False)).alias("is_candidate")
     )
 
 
