@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from areascreen.llm.common import materialise
 
 #: Rounds of propagation, and parts into which priorities and numberings are cut (fixed sizes of small tables).
-ROUNDS, PARTS = 6, 4096
+ROUNDS, PARTS = 12, 4096
 
 
 def _sums(values: list[int]) -> list[int]:
@@ -45,7 +45,7 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
     """Move linked rows (rid, grp, shard) towards the shard that holds most of their group; no shard exceeds ``quota``
     by moves.
 
-    Each round counts rows per group and shard, picks for every group the fullest shard that still has room, and lets
+    Each round counts rows per group and shard, picks for every group the fullest shard whose room exceeds four deviations, and lets
     rows with fewer neighbours where they are ask to move there. Requests are ranked by the neighbours gained. A
     histogram of the ranks, of fixed size, gives each shard the rank up to which all requests fit its room; of the first
     rank that does not fit whole, a share of the rows moves.
@@ -57,7 +57,7 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
         inside = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per shard
         room = [max(0, quota - inside.get(s, 0)) for s in range(shards)]
         held = linked.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("held")).withColumn("weight", F.struct("held", F.xxhash64("grp", "shard").alias("tie")))
-        best = held.filter(F.col("shard").isin([s for s in range(shards) if room[s]])).groupBy("grp").agg(
+        best = held.filter(F.col("shard").isin([s for s in range(shards) if room[s] > 4 * quota**0.5])).groupBy("grp").agg(
             F.max_by("shard", "weight").alias("to"), F.max("weight").alias("most"))
         wanted = held.join(best, "grp").filter("shard != to AND weight < most").select(
             "grp", "shard", "to", (F.col("most.held") - F.col("held")).alias("gain"))
@@ -65,7 +65,8 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
         asked = materialise(linked.join(wanted, ["grp", "shard"]).select("rid", "to", rank.alias("rank")))
         ranks = asked.groupBy("to", "rank").agg(F.count(F.lit(1)).alias("n"))
         upto = ranks.withColumn("upto", F.sum("n").over(W.partitionBy("to").orderBy("rank"))).withColumn("room", by_shard(room))
-        share = (F.col("room") - F.col("upto") + F.col("n")) / F.col("n")
+        left = F.col("room") - F.col("upto") + F.col("n")
+        share = F.greatest(F.lit(0.0), left - 3 * F.sqrt(left)) / F.col("n")  # three deviations below the room, so it holds
         cut = upto.filter("upto > room").groupBy("to").agg(F.min_by(F.struct("rank", share.alias("share")), "rank").alias("cut"))
         fits = {r["to"]: r["cut"] for r in cut.collect()}  # at most one row per shard
         limit = by_shard([fits[s]["rank"] if s in fits else 2 * PARTS for s in range(shards)])
@@ -82,7 +83,8 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
 
     Rows with equal texts are linked. Linked rows start at a hash of the row, propagate under quotas, and rows without
     links fill the shards up. Linked rows over a shard's count go to shards with room, those of a group near each other.
-    A group larger than a shard fills several.
+    A group larger than a shard fills several. Moves need room: where linked rows alone fill the shards, some copies
+    stay apart.
     ``size`` is the text's UTF-8 bytes plus 8; ``slot`` numbers a shard's rows gapless from 0.
 
     A null text equals an empty one. Null ids stay null; repeated rows are rows of their own. Other columns are ignored.
