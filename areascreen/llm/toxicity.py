@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -22,6 +23,8 @@ ORDER, SPAN, DECAY = 3, 5, 0.5
 WINDOW = 16
 #: Landmarks, clean words among them, rounds of choosing the toxic sentences, steps of each fit, clean strings in it.
 LANDMARKS, CLEAN_LANDMARKS, ROUNDS, STEPS, CLEAN = 160, 48, 5, 300, 16_000
+#: One training document in so many is left out of the fit and turns decision values into scores.
+CALIBRATION = 4
 #: Toxic documents that share a string before it counts beside their most toxic one.
 SUPPORT = 5
 #: Weight of known strings with one letter inserted, beside the strings themselves, in the fit.
@@ -222,8 +225,15 @@ def fit(texts: list[str], labels: list[int]) -> Machine:
 
     A sentence is as toxic as its most toxic string, a document as its most toxic sentence. Sentences of clean
     documents are clean. Which sentences of a toxic document are toxic is learned: first those with strings that toxic
-    documents alone use, then, round by round, those that the machine finds, at least one in each document.
+    documents alone use, then, round by round, those that the machine finds. A string of one document teaches nothing.
     """
+    unique = dict(zip(texts, labels))  # copies of a document say nothing more about its strings
+    aside = {t: y for t, y in unique.items() if zlib.crc32(t.encode()) % CALIBRATION == 0}
+    if len(set(aside.values())) == 2 and len(set(unique.values())) == 2:
+        unique = {t: y for t, y in unique.items() if t not in aside} if len({y for t, y in unique.items() if t not in aside}) == 2 else unique
+    else:
+        aside = unique
+    texts, labels = list(unique), list(unique.values())
     toxic = np.array(labels, np.int64)
     share = float(toxic.mean()) if len(toxic) else 0.5
     words = _all_strings(texts)
@@ -251,7 +261,7 @@ def fit(texts: list[str], labels: list[int]) -> Machine:
         held = np.full(len(texts), -np.inf)
         np.maximum.at(held, doc[inside], value[word[inside]])
         over = 2.0 if turn == 0 else 0.0
-        positive = np.unique(word[inside & ((value[word] >= held[doc]) | ((value[word] > over) & (bad[word] >= SUPPORT)))])
+        positive = np.unique(word[inside & (bad[word] > 1) & ((value[word] >= held[doc]) | ((value[word] > over) & (bad[word] >= SUPPORT)))])
         if not len(positive):
             break
         hardest = negative[np.argsort(-value[negative], kind="stable")[:CLEAN]]
@@ -277,7 +287,8 @@ def fit(texts: list[str], labels: list[int]) -> Machine:
         value = machine.distinct(words, example)
     if machine is None:
         return Machine(np.zeros(_SIZE**ORDER), FLOOR, share=share)
-    raw = machine.raw(words, len(texts))
+    toxic = np.array(list(aside.values()), np.int64)
+    raw = machine.raw(_all_strings(list(aside)), len(aside))
     known = ~np.isnan(raw)
     slope, shift = 1.0, 0.0
     for _ in range(2000):
