@@ -143,9 +143,16 @@ def _ascend(weights: np.ndarray, gradient, steps: int) -> np.ndarray:
 def fit(texts: list[str], labels: list[int]) -> Field:
     """Fit the field to labelled documents. All lines of a good document are good. Lines of a bad one start as bad; then
     those that the model holds good are relabelled, but for the worst line of each document."""
-    data, offsets = utf8(pa.array(texts, pa.string()))
-    starts, ends, first = lines(data, offsets)
-    features, size = line_features(data, starts, ends, first).astype(np.float64), (ends - starts).astype(np.float64)
+    made, sizes, ends_of = [], [], [np.zeros(1, np.int64)]
+    for at in range(0, len(texts), 128):  # a few texts at a time: features are small beside what makes them
+        data, offsets = utf8(pa.array(texts[at : at + 128], pa.string()))
+        starts, ends, part = lines(data, offsets)
+        made.append(line_features(data, starts, ends, part))
+        sizes.append(ends - starts)
+        ends_of.append(part[1:] + ends_of[-1][-1])
+    if not made:
+        return Field(np.zeros(0), np.zeros((2, 2)))
+    features, size, first = np.concatenate(made).astype(np.float64), np.concatenate(sizes).astype(np.float64), np.concatenate(ends_of)
     quality, counts = np.array(labels, np.int64), np.diff(first)
     share = float(quality.mean()) if len(quality) else 0.5
     field = Field(np.zeros(features.shape[1]), np.zeros((2, 2)), share=share)
