@@ -13,7 +13,7 @@ from areascreen.llm.common import materialise
 
 #: Entries of a page, vectors of a tree, and queries that a task searches at once. Trees and blocks of queries grow in
 #: number with the tables; none grows in size.
-PAGE, TREE_ROWS, QUERY_ROWS = 64, 8192, 512
+PAGE, TREE_ROWS, QUERY_ROWS = 256, 8192, 512
 
 _PAGES = "tree int, page int, leaf boolean, ids array<long>, vectors array<long>, children array<int>, radius array<double>, above array<double>"
 _SLACK = 1e-6
@@ -81,7 +81,8 @@ class Tree:
         for row in pages.itertuples(index=False):
             ids = np.asarray(row.ids, np.int64)
             vectors = np.asarray(row.vectors, np.int64).reshape(len(ids), -1)
-            self.pages[row.page] = (row.leaf, ids, vectors, _lift(vectors, largest), np.asarray(row.children, np.int64), np.asarray(row.radius, float), np.asarray(row.above, float))
+            exact = vectors.astype(np.float64) if largest < 2**52 else vectors  # sums of whole numbers below 2**53 are exact
+            self.pages[row.page] = (row.leaf, ids, exact, _lift(vectors, largest), np.asarray(row.children, np.int64), np.asarray(row.radius, float), np.asarray(row.above, float))
 
     def search(self, query: np.ndarray, own: int, k: int, largest: float) -> tuple[list[tuple[int, int]], int]:
         """The k best (score, -id) but for the query's own row, and the number of distances computed.
@@ -102,8 +103,13 @@ class Tree:
             near = np.arange(len(ids)) if math.isnan(parent) else np.flatnonzero(np.abs(parent - above) - radius <= bound)
             computed += len(near)
             if leaf:
-                scores = vectors[near] @ query
-                for score, name in zip(scores.tolist(), ids[near].tolist()):
+                kind = vectors.dtype if square < 2**52 else np.int64
+                scores = vectors[near].astype(kind) @ query.astype(kind)
+                names = ids[near]
+                if len(best) == k:
+                    good = scores >= best[0][0]
+                    scores, names = scores[good], names[good]
+                for score, name in zip(map(int, scores.tolist()), names.tolist()):
                     if name != own and (len(best) < k or (score, -name) > best[0]):
                         (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (score, -name))
                 if len(best) == k:
