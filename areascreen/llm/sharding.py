@@ -46,7 +46,8 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
     by moves.
 
     Each round counts rows per group and shard, picks for every group the fullest shard whose room exceeds four deviations, and lets
-    rows with fewer neighbours where they are ask to move there. Requests are ranked by the neighbours gained. A
+    rows with fewer neighbours where they are ask to move there. A group that fits whole into that room also leaves
+    shards without such room, however many it has there; if it is in none with room, a hash picks one. Requests are ranked by the neighbours gained. A
     histogram of the ranks, of fixed size, gives each shard the rank up to which all requests fit its room; of the first
     rank that does not fit whole, a share of the rows moves.
     """
@@ -57,10 +58,17 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
         inside = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per shard
         room = [max(0, quota - inside.get(s, 0)) for s in range(shards)]
         held = linked.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("held")).withColumn("weight", F.struct("held", F.xxhash64("grp", "shard").alias("tie")))
-        best = held.filter(F.col("shard").isin([s for s in range(shards) if room[s] > 4 * quota**0.5])).groupBy("grp").agg(
-            F.max_by("shard", "weight").alias("to"), F.max("weight").alias("most"))
-        wanted = held.join(best, "grp").filter("shard != to AND weight < most").select(
-            "grp", "shard", "to", (F.col("most.held") - F.col("held")).alias("gain"))
+        open_ = [s for s in range(shards) if room[s] > 4 * quota**0.5]
+        if not open_:
+            break
+        split = held.groupBy("grp").agg(F.sum("held").alias("copies"), F.count(F.lit(1)).alias("spots")).filter("spots > 1")
+        best = held.filter(F.col("shard").isin(open_)).groupBy("grp").agg(F.max_by("shard", "weight").alias("to"), F.max("weight").alias("most"))
+        any_open = F.element_at(F.array(*[F.lit(s) for s in open_]), F.floor(_unit("grp", F.lit(turn)) * len(open_)).cast("int") + 1)
+        best = split.join(best, "grp", "left").withColumn("to", F.coalesce("to", any_open)).withColumn("there", F.coalesce(F.col("most.held"), F.lit(0)))
+        fits = F.col("copies") - F.col("there") <= by_shard([max(0.0, r - 4 * quota**0.5) for r in room])
+        leaves = (F.col("weight") < F.col("most")) | (~F.col("shard").isin(open_) & fits)
+        wanted = held.join(best, "grp").filter((F.col("shard") != F.col("to")) & leaves).select(
+            "grp", "shard", "to", F.greatest(F.col("there") - F.col("held"), F.lit(0)).alias("gain"))
         rank = F.floor(PARTS / (1 + F.col("gain").cast("double")) + _unit("grp", F.lit(turn)) * 64).cast("int")
         asked = materialise(linked.join(wanted, ["grp", "shard"]).select("rid", "to", rank.alias("rank")))
         ranks = asked.groupBy("to", "rank").agg(F.count(F.lit(1)).alias("n"))

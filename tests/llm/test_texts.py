@@ -128,6 +128,18 @@ def test_shards_of_one_huge_group(spark):
     assert len({r.shard for r in rows if r.doc_id < 500}) <= 5  # fills whole shards
 
 
+def test_a_hot_text_does_not_cut_pairs(spark):
+    text = F.when(F.col("id") < 3000, "hot").when(F.col("id") < 9000, F.concat(F.lit("pair"), F.floor(F.col("id") / 2))).when(
+        F.col("id") < 12000, F.concat(F.lit("three"), F.floor(F.col("id") / 3))).otherwise(F.concat(F.lit("t"), F.col("id")))
+    rows = shard(spark.range(24000).select(F.col("id").alias("doc_id"), text.alias("text")), 12).collect()
+    check_shards(rows, 12)
+    homes: dict = {}
+    for r in rows:
+        if 3000 <= r.doc_id < 12000:
+            homes.setdefault(("pair", r.doc_id // 2) if r.doc_id < 9000 else ("three", r.doc_id // 3), set()).add(r.shard)
+    assert sum(len(h) > 1 for h in homes.values()) == 0
+
+
 @pytest.mark.parametrize(("name", "score", "least"), [("quality", score_quality, 0.95), ("toxic", score_toxicity, 0.95)])
 def test_held_out_accuracy(spark, odd, none, name, score, least):
     medium = "/root/testdata/sf0.01"
