@@ -146,6 +146,23 @@ def test_licenses_equal_exact_containment(spark, small, odd, none):
     assert [[x.template for x in r.licenses] for r in scan_licenses(short).orderBy("doc_id").collect()] == [[], ["MIT"]]
 
 
+def test_licenses_by_notice_body_and_every_place(spark):
+    texts = {name: " ".join(text.split()) for name, text in TEMPLATES.items()}
+    gpl = texts["GPL-notice"]
+    rest = {name: " ".join(texts[f"{name}-text"].split()[60:]) for name in ("Apache-2.0", "MPL-2.0", "LGPL-2.1", "CC-BY-SA-4.0", "MIT", "BSD-3-Clause")}
+    filler = "the old man said that he would go down to the sea again and wait there for the boats "
+    docs = [(0, filler * 9 + gpl + " " + filler * 3), *((k + 1, filler * 4 + text) for k, text in enumerate(rest.values()))]
+    docs += [(20, f"{filler}{TEMPLATES['MIT']} " * 3), (21, f"{rest['MIT']} {rest['MIT']}"), (22, filler * 200)]
+    found = {r.doc_id: r.licenses for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(x.template, x.word) for x in found[0] if x.template == "GPL-notice"] == [("GPL-notice", 9 * 19)]
+    for k, name in enumerate(rest):
+        own = [x for x in found[k + 1] if x.template == f"{name}-text"]
+        assert len(own) == 1 and abs(own[0].word - 4 * 19) < 20 and own[0].containment > 0.95, (name, own)
+    assert [x.word for x in found[20] if x.template == "MIT"] == [19, 43, 67]
+    assert len([x for x in found[21] if x.template == "MIT-text"]) == 2
+    assert found[22] == []
+
+
 def test_top_k_equals_sql(spark, small):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
