@@ -15,9 +15,11 @@ from areascreen.llm.common import materialise, text_batches
 #: Words of an indexed part of an item, and of the steps between passages. A passage is two steps long, so every part of
 #: a copied item lies whole in one passage.
 PART = 64
-#: Constants of BM25, share of its own best score at which an item is retrieved, and share of the trigrams of its question
-#: and of its answer that verifies it.
+#: Constants of BM25, share of its own best score at which an item is retrieved, and share of the trigrams, or of the words
+#: in order, of its question and of its answer that verifies it.
 K1, B, RETRIEVED, VERIFIED = 1.2, 0.75, 0.5, 0.6
+#: Words of the longest answer of which half is enough, so that no one or two edits empty it.
+SHORT = 4
 #: Parts per posting block, and postings of one index. More postings make more indexes, which are searched one by one.
 BLOCK, INDEX_POSTINGS = 4, 200_000
 
@@ -45,6 +47,30 @@ def _trigrams(words: np.ndarray) -> np.ndarray:
     return np.unique(total)
 
 
+def _in_order(words: np.ndarray, others: np.ndarray) -> float:
+    """Share of the words that stand in ``others`` in the same order (longest common subsequence, one bit per word)."""
+    places: dict[int, int] = {}
+    for k, word in enumerate(words.tolist()):
+        places[word] = places.get(word, 0) | 1 << k
+    whole = left = (1 << len(words)) - 1
+    for word in others.tolist():
+        met = left & places.get(word, 0)
+        left = ((left + met) | (left - met)) & whole
+    return 1 - left.bit_count() / len(words) if len(words) else 1.0
+
+
+def _aligned(words: np.ndarray, passage: np.ndarray) -> tuple[float, float]:
+    """Shares of the question's and of the answer's words in order, at the shift at which most words meet. A few words
+    more or less before a word (a seventh of the part and two) are allowed."""
+    at, there = np.nonzero(words[:, None] == passage[None, :])
+    if not len(at):
+        return 0.0, 0.0
+    shifts, counts = np.unique(there - at, return_counts=True)
+    shift, cut, slack = int(shifts[np.argmax(counts)]), -(-2 * len(words) // 3), 2 + len(words) // 7
+    near = lambda a, b: passage[max(0, shift + a - slack) : max(0, shift + b + slack)]
+    return _in_order(words[:cut], near(0, cut)), _in_order(words[cut:], near(cut, len(words)))
+
+
 def _parts(items: DataFrame) -> DataFrame:
     """item_id, part, words (hashes in order) of every item; an item without words has none."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +100,7 @@ class Index:
     blocks: np.ndarray  # [term][block]
     questions: list[np.ndarray]
     answers: list[np.ndarray]
+    words: list[np.ndarray]
 
     @staticmethod
     def build(items: np.ndarray, words: list[np.ndarray], frequency: dict[int, int], count: int, mean: float) -> Index:
@@ -92,7 +119,7 @@ class Index:
             np.maximum.at(blocks[k], p // BLOCK, w)
         cuts = [-(-2 * len(own) // 3) for own in words]
         return Index(items, terms, parts, weights, blocks.max(axis=1) if len(terms) else np.zeros(0), blocks,
-                     [_trigrams(own[:c]) for own, c in zip(words, cuts)], [_trigrams(own[c:]) for own, c in zip(words, cuts)])
+                     [_trigrams(own[:c]) for own, c in zip(words, cuts)], [_trigrams(own[c:]) for own, c in zip(words, cuts)], words)
 
     def __post_init__(self) -> None:
         self.inside: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(self.blocks.shape[1])]
@@ -170,11 +197,15 @@ class Index:
             return
         at = int(owner[passage])
         begin = int(first[at]) + (passage - int(base[at])) * PART
-        grams = _trigrams(hashes[begin : min(begin + 2 * PART, int(first[at + 1]))])
+        held = hashes[begin : min(begin + 2 * PART, int(first[at + 1]))]
+        grams = _trigrams(held)
         for part, score in hits:
             question = float(np.isin(self.questions[part], grams).mean())
             answer = float(np.isin(self.answers[part], grams).mean()) if len(self.answers[part]) else question
-            if question >= verified and answer >= verified:
+            if question < 1 or answer < 1:
+                ordered = _aligned(self.words[part], held)
+                question, answer = max(question, ordered[0]), max(answer, ordered[1]) if len(self.answers[part]) else max(question, ordered[0])
+            if question >= verified and answer >= (verified if len(self.words[part]) // 3 > SHORT else min(verified, 0.5)):
                 item = int(self.items[part])
                 same = next((k for k, leak in enumerate(out) if leak["item_id"] == item), None)
                 leak = {"item_id": item, "passage": begin - int(first[at]), "score": score, "question": question, "answer": answer}
@@ -190,7 +221,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVED,
 
     Every passage of 128 words, every 64 words, of every whole text is a query. All parts of items (item_id, text) at or
     above ``threshold`` are retrieved; a part whose question (its first two thirds) and answer (the rest) both have at
-    least ``verified`` of their trigrams in the passage is a leak. Document frequencies count all items. Items fall into
+    least ``verified`` of their trigrams in the passage, or of their words in order near one place of it, is a leak; of an
+    answer of up to SHORT words half is enough. ``question`` and ``answer`` are the larger shares. Document frequencies count all items. Items fall into
     indexes of bounded size, which search one after the other.
 
     Null or empty texts and items without words match nothing; items with null ids take no part; items repeated under one

@@ -124,6 +124,22 @@ def test_question_without_answer_is_no_leak(spark):
     assert [r.doc_id for r in find_leaks(docs, items).filter("size(leaks) > 0").collect()] == [1]
 
 
+def test_items_with_one_or_two_edited_words_are_leaks(spark):
+    rng = np.random.Generator(np.random.PCG64(11))
+    items, docs = [], []
+    for size in (12, 15, 20, 28, 29, 36, 45):
+        words = [f"w{size}x{k}" for k in range(size)]
+        items.append((size, " ".join(words)))
+        cut = -(-2 * size // 3)
+        for n, places in enumerate([(cut + (size - cut) // 2,), (size - 2,), (cut, size - 1), (cut // 2, cut + 1), (cut + 1, size - 2)]):
+            edited = [f"e{rng.integers(10**6)}" if k in places else w for k, w in enumerate(words)]
+            docs.append((100 * size + n, "clean words stand here " * int(rng.integers(1, 40)) + " ".join(edited) + " and more follows " * 30))
+        docs.append((100 * size + 50, " ".join(words[:cut]) + " and more follows here with other words for an answer " * 9))
+    rows = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    wrong = [(r.doc_id, [x.item_id for x in r.leaks]) for r in rows if [x.item_id for x in r.leaks] != ([] if r.doc_id % 100 == 50 else [r.doc_id // 100])]
+    assert not wrong
+
+
 def test_licenses_equal_exact_containment(spark, small, odd, none):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
 
