@@ -32,6 +32,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialise`` wrote, once what was made from it is written itself."""
+    spark = df.sparkSession
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("llm-"):
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each hold at most ``limit`` bytes, or one row."""
     for batch in batches:

@@ -16,6 +16,7 @@ from areascreen.llm.quality import score_quality, with_fold
 from areascreen.llm.sharding import shard
 from areascreen.llm.topk import top_k, usable
 from areascreen.llm.toxicity import score_toxicity
+from areascreen.llm.vector_codes import compress, hex_code, with_group_error
 
 #: Tokenizer file of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -137,5 +138,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(score_toxicity(docs, read(spark, sf_dir, "labels")), "toxic_score", TOXIC)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_license_scan, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity)}
-ORACLES: dict[str, str] = {"op2_exact_topk": _TOPK_SQL, "op6_chat_formatting": _CHAT_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in four parts, their errors, the errors of their labels, and the digest of the codebooks."""
+    found = compress(read(spark, sf_dir, "embeddings"), keep=("vec_id", "label"))
+    return with_group_error(found.codes, "label", "label_error").select(
+        "vec_id", hex_code("codes").alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """Plain Lloyd rounds: every part meets every entry each time."""
+    near = """
+a{k} AS (
+  SELECT vec_id, part, v, entry, d FROM (
+    SELECT p.vec_id, p.part, p.v, c.entry, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM p JOIN c{k} c USING (part))
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1
+)"""
+    step = """
+m{k} AS (
+  SELECT part, entry, list(m ORDER BY place) AS v FROM (
+    SELECT part, entry, place, CAST(floor(CAST(sum(v[place]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+    FROM a{k}, range(1, 17) r(place) GROUP BY part, entry, place)
+  GROUP BY part, entry
+), c{n} AS (SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m USING (part, entry))"""
+    turns = [near.format(k=k) + "," + step.format(k=k, n=k + 1) for k in range(rounds)] + [near.format(k=rounds)]
+    return """
+WITH e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (SELECT vec_id, part, v[16 * part + 1 : 16 * part + 16] AS v FROM e, range(4) r(part)
+), c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < 256
+),""" + ",".join(turns) + """, book AS (
+  SELECT sha256(string_agg(x, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM (SELECT part, entry, array_to_string(v, ',') AS x FROM c{k})
+), code AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{k} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM code JOIN e USING (vec_id), book
+""".replace("{k}", str(rounds))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_license_scan, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity,
+    op11_vector_codes)}
+ORACLES: dict[str, str] = {"op2_exact_topk": _TOPK_SQL, "op6_chat_formatting": _CHAT_SQL, "op11_vector_codes": _vector_codes_sql()}
