@@ -17,6 +17,7 @@ from areascreen.llm.sharding import shard
 from areascreen.llm.topk import top_k, usable
 from areascreen.llm.toxicity import score_toxicity
 from areascreen.llm.vector_codes import compress, hex_code, with_group_error
+from areascreen.llm.weighted_hash import edited_fingerprints
 
 #: Tokenizer file of the packing query; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -178,6 +179,12 @@ FROM code JOIN e USING (vec_id), book
 """.replace("{k}", str(rounds))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like it is to that and to the next document."""
+    found = edited_fingerprints(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], "near_edited", "near_next")
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_license_scan, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity,
-    op11_vector_codes)}
+    op11_vector_codes, op12_document_fingerprints)}
 ORACLES: dict[str, str] = {"op2_exact_topk": _TOPK_SQL, "op6_chat_formatting": _CHAT_SQL, "op11_vector_codes": _vector_codes_sql()}
