@@ -12,6 +12,7 @@ from areascreen.llm.licenses import scan_licenses
 from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack
 from areascreen.llm.pii import KINDS, find, train
+from areascreen.llm.prefix_trie import prefix_trie
 from areascreen.llm.quality import score_quality, with_fold
 from areascreen.llm.sharding import shard
 from areascreen.llm.topk import top_k, usable
@@ -185,6 +186,54 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], "near_edited", "near_next")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of the conversations rebuilt on the heads of every fifth one."""
+    c = F.col("conv_id")
+    return prefix_trie(read(spark, sf_dir, "conversations"), base=c - c % 5, head=F.crc32(F.encode(c.cast("string"), "UTF-8")) % 9)
+
+
+_TRIE_SQL = r"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS steps
+), own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256('0:' || length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda r, x: xor(r >> 8, steps[(xor(r, x) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), bits
+), heads AS (
+  SELECT c.conv_id, o.k AS d, o.role, o.text FROM conv c JOIN own o ON o.conv_id = c.base AND o.k <= c.h
+), rebuilt AS (
+  SELECT * FROM heads
+  UNION ALL
+  SELECT c.conv_id, o.k - c.h + (SELECT count(*) FROM heads x WHERE x.conv_id = c.conv_id), o.role, o.text FROM conv c JOIN own o ON o.conv_id = c.conv_id AND o.k > c.h
+), prefix AS (
+  SELECT conv_id, d, octet_length(encode(text)) AS n_bytes,
+    list(length(role) || ':' || role || text) OVER (PARTITION BY conv_id ORDER BY d) AS turns, d = max(d) OVER (PARTITION BY conv_id) AS ends
+  FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, [], NOT EXISTS (FROM rebuilt r WHERE r.conv_id = conv.conv_id) FROM conv
+), member AS (
+  SELECT conv_id, d, n_bytes, ends, sha256(array_to_string(list_transform(turns, lambda t: sha256(t)), '')) AS node,
+    sha256(array_to_string(list_transform(turns[1:len(turns) - 1], lambda t: sha256(t)), '')) AS parent FROM prefix
+), nodes AS (
+  SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM member GROUP BY d, node
+), children AS (
+  SELECT d - 1 AS d, parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), subtree AS (
+  SELECT m.d, m.node, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.n_bytes) AS saved
+  FROM nodes x LEFT JOIN children c USING (d, node) JOIN member m ON m.conv_id = x.conv_id AND m.d <= x.d GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtree s USING (d, node) LEFT JOIN children c USING (d, node) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.parent
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_license_scan, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_minhash_near_dedup, op8_packing, op9_sharding, op10_toxicity,
-    op11_vector_codes, op12_document_fingerprints)}
-ORACLES: dict[str, str] = {"op2_exact_topk": _TOPK_SQL, "op6_chat_formatting": _CHAT_SQL, "op11_vector_codes": _vector_codes_sql()}
+    op11_vector_codes, op12_document_fingerprints, op13_prefix_trie)}
+ORACLES: dict[str, str] = {"op2_exact_topk": _TOPK_SQL, "op6_chat_formatting": _CHAT_SQL, "op11_vector_codes": _vector_codes_sql(), "op13_prefix_trie": _TRIE_SQL}
