@@ -4,31 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from areascreen.catalog import slabs
 from areascreen.catalog.registry import query
 from areascreen.catalog.views import exits, nodes, origins, places, region_edges, with_views, zone_edges
-from areascreen.operators.geometry import grid, nearest, polygons, spans
+from areascreen.operators.geometry import areas, grid, nearest, polygons
 from areascreen.plans import proximity
 
-STEP = 20.0
 RADII = (800, 1200)
 
-ZONE_SPANS_SQL = f"""zs AS (SELECT geo_id, category, population, x1, y1, x2, y2,
-    unnest(range(ceil(least(y1,y2)/{STEP}-0.5)::BIGINT, ceil(greatest(y1,y2)/{STEP}-0.5)::BIGINT)) AS k FROM zone_edges WHERE y1 <> y2),
-  zx AS (SELECT geo_id, category, population, k, x1 + ((k+0.5)*{STEP} - y1)*(x2-x1)/(y2-y1) AS x FROM zs),
-  zp AS (SELECT *, (row_number() OVER (PARTITION BY geo_id, k ORDER BY x) - 1)//2 AS p FROM zx),
-  zspan AS (SELECT geo_id, category, population, k, min(x) AS x0, max(x) AS x1 FROM zp GROUP BY geo_id, category, population, k, p)"""
-DISC_SQL = f"""dk AS (SELECT node_id, radius, x, y, unnest(range(ceil((y-radius)/{STEP}-0.5)::BIGINT, ceil((y+radius)/{STEP}-0.5)::BIGINT)) AS k
-    FROM (SELECT DISTINCT node_id, x, y FROM exits), (VALUES (800), (1200)) v(radius)),
-  dc AS (SELECT node_id, radius, k, x - h AS x0, x + h AS x1 FROM (SELECT *, sqrt(greatest(0, (radius*radius)::DOUBLE - ((k+0.5)*{STEP}-y)*((k+0.5)*{STEP}-y))) AS h FROM dk)),
-  dn AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY node_id, radius, k ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM dc),
-  di AS (SELECT *, sum(fresh) OVER (PARTITION BY node_id, radius, k ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS island FROM dn),
-  disc AS (SELECT node_id, radius, k, min(x0) AS x0, max(x1) AS x1 FROM di GROUP BY node_id, radius, k, island)"""
-POPULATION_SQL = f"""{ZONE_SPANS_SQL}, {DISC_SQL},
-  za AS (SELECT geo_id, sum(x1-x0)*{STEP} AS area FROM zspan GROUP BY 1),
-  ov AS (SELECT geo_id, any_value(population) AS population, node_id, radius, sum(least(z.x1,d.x1)-greatest(z.x0,d.x0))*{STEP} AS overlap
-    FROM zspan z JOIN disc d ON z.k = d.k AND z.x0 < d.x1 AND d.x0 < z.x1 GROUP BY geo_id, node_id, radius),
-  pop AS (SELECT node_id, radius, sum(population * least(1, greatest(0, overlap/area))) AS population, count(*) AS zone_count FROM ov JOIN za USING (geo_id) GROUP BY 1, 2)"""
 CROSS = "(y1 <= py) <> (y2 <= py) AND px < x1 + (py-y1)*(x2-x1)/(y2-y1)"
+#: A polygon covers its border: edges that a point crosses or lies on, and the groups of them that say it is covered.
+ON = "(px BETWEEN least(x1,x2) AND greatest(x1,x2) AND py BETWEEN least(y1,y2) AND greatest(y1,y2) AND (x2-x1)*(py-y1) = (y2-y1)*(px-x1))"
+MEET, COVERED = f"(({CROSS}) OR {ON})", f"count(*) FILTER ({CROSS}) % 2 = 1 OR bool_or({ON})"
 
 
 @query("F9_polygon_measures", with_views("zone_edges", """
@@ -44,7 +31,7 @@ def polygon_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J5_point_in_polygon", with_views("origins region_edges zone_edges", f"""
   WITH p AS (SELECT DISTINCT x AS px, y AS py FROM origins),
-  m AS (SELECT px, py, geo_id FROM p, region_edges WHERE {CROSS} GROUP BY ALL HAVING count(*) % 2 = 1),
+  m AS (SELECT px, py, geo_id FROM p, region_edges WHERE {MEET} GROUP BY ALL HAVING {COVERED}),
   n AS (SELECT px, py, min(name) AS anchor_area, count(*) AS match_count FROM m JOIN (SELECT DISTINCT geo_id, name FROM region_edges) USING (geo_id) GROUP BY 1, 2)
   SELECT origin_id, anchor_area, coalesce(match_count, 0) AS match_count FROM origins LEFT JOIN n ON x = px AND y = py"""))
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +45,7 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J5_unique_zone", with_views("places zone_edges", f"""
   WITH p AS (SELECT DISTINCT x AS px, y AS py FROM places),
-  m AS (SELECT px, py, geo_id FROM p JOIN zone_edges ON {CROSS} GROUP BY ALL HAVING count(*) % 2 = 1),
+  m AS (SELECT px, py, geo_id FROM p JOIN zone_edges ON {MEET} GROUP BY ALL HAVING {COVERED}),
   n AS (SELECT px, py, min(geo_id) AS zone, count(*) AS match_count FROM m GROUP BY 1, 2)
   SELECT place_id, CASE WHEN match_count = 1 THEN zone END AS zone, coalesce(match_count, 0) AS match_count
   FROM places LEFT JOIN n ON x = px AND y = py"""))
@@ -71,6 +58,23 @@ def unique_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned.select("place_id", "zone", "match_count")
 
 
+@query("J5_border_points", with_views("region_edges", f"""
+  WITH p AS (SELECT geo_id AS own, seq, along, x1 + along*(x2-x1) AS px, y1 + along*(y2-y1) AS py FROM region_edges, (VALUES (0.0::DOUBLE), (0.5), (0.625)) v(along)),
+  m AS (SELECT px, py, geo_id, name FROM (SELECT DISTINCT px, py FROM p), region_edges WHERE {MEET} GROUP BY ALL HAVING {COVERED}),
+  n AS (SELECT px, py, min(name) AS name, count(*) AS match_count FROM m GROUP BY 1, 2)
+  SELECT own, seq, along, CASE WHEN match_count = 1 THEN name END AS only_area, name AS first_area, match_count FROM p LEFT JOIN n USING (px, py)"""))
+def border_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners and points on the borders of all regions, under the policies of one and of the least match."""
+    edges = region_edges(spark, sf_dir)
+    names = edges.select("geo_id", "name").distinct()
+    along = F.explode(F.array(*[F.lit(t) for t in (0.0, 0.5, 0.625)])).alias("along")
+    points = edges.select(F.col("geo_id").alias("own"), "seq", "x1", "y1", "x2", "y2", along)
+    points = points.select("own", "seq", "along", (F.col("x1") + F.col("along") * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("along") * (F.col("y2") - F.col("y1"))).alias("y"))
+    only = polygons.assign_polygon(points, edges, names, policy="unique", cell_size=2000.0, attributes=["name"]).withColumnRenamed("name", "only_area")
+    both = polygons.assign_polygon(only.drop("match_count"), edges, names, policy="least", cell_size=2000.0, attributes=["name"])
+    return both.select("own", "seq", "along", "only_area", F.col("name").alias("first_area"), "match_count")
+
+
 @query("J6_points_within_union", with_views("exits places", """
   WITH n AS (SELECT node_id, place_id, min((e.x-p.x)*(e.x-p.x) + (e.y-p.y)*(e.y-p.y)) AS d2 FROM (SELECT DISTINCT node_id, x, y FROM exits) e
      JOIN places p ON p.x BETWEEN e.x-1200 AND e.x+1200 AND p.y BETWEEN e.y-1200 AND e.y+1200 GROUP BY 1, 2)
@@ -80,12 +84,10 @@ def points_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.counts_within(exits(spark, sf_dir), places(spark, sf_dir), [800.0, 1200.0], key="node_id", prefix="places")
 
 
-@query("J7_area_weighted_population", with_views("exits zone_edges", f"""WITH {POPULATION_SQL}
+@query("J7_area_weighted_population", with_views("exits zone_edges", f"""WITH {slabs.POPULATION}
   SELECT node_id, radius::BIGINT AS radius, round(population, 3) AS population, zone_count FROM pop"""))
 def weighted_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = spans.area_weighted_population(
-        exits(spark, sf_dir), zone_edges(spark, sf_dir), RADII, key="node_id", step=STEP, width=2000.0
-    )
+    people = areas.area_weighted_population(exits(spark, sf_dir), zone_edges(spark, sf_dir), RADII, key="node_id")
     return people.select("node_id", F.col("radius").cast("bigint").alias("radius"), F.round("population", 3).alias("population"), "zone_count")
 
 
@@ -101,18 +103,12 @@ def zones_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.groupBy("node_id").agg(F.count(F.lit(1)).alias("zone_count"))
 
 
-@query("J8_category_overlap", with_views("exits zone_edges", f"""WITH {ZONE_SPANS_SQL}, {DISC_SQL},
-  lab AS (SELECT category, k, x0, x1 FROM zspan UNION ALL SELECT 'all', k, x0, x1 FROM zspan),
-  ln AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY category, k ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM lab),
-  li AS (SELECT *, sum(fresh) OVER (PARTITION BY category, k ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS island FROM ln),
-  cov AS (SELECT category, k, min(x0) AS x0, max(x1) AS x1 FROM li GROUP BY category, k, island),
-  buf AS (SELECT node_id, radius, sum(x1-x0)*{STEP} AS buffer_area FROM disc GROUP BY 1, 2)
-  SELECT category, node_id, radius::BIGINT AS radius, round(sum(least(c.x1,d.x1)-greatest(c.x0,d.x0))*{STEP}, 2) AS area,
-    round(any_value(buffer_area), 2) AS buffer_area, round(sum(least(c.x1,d.x1)-greatest(c.x0,d.x0))*{STEP}/any_value(buffer_area), 6) AS area_share
-  FROM cov c JOIN disc d ON c.k = d.k AND c.x0 < d.x1 AND d.x0 < c.x1 JOIN buf USING (node_id, radius) GROUP BY ALL"""))
+@query("J8_category_overlap", with_views("exits zone_edges", f"""WITH {slabs.CATEGORIES}
+  SELECT category, node_id, radius::BIGINT AS radius, round(area, 2) AS area, round(buffer_area, 2) AS buffer_area, round(area/buffer_area, 6) AS area_share
+  FROM cov JOIN buf USING (node_id, radius) WHERE area > 1e-6"""))
 def category_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = spans.category_overlap(exits(spark, sf_dir), zone_edges(spark, sf_dir), RADII, key="node_id", step=STEP, width=2000.0)
-    return areas.select(
+    found = areas.category_overlap(exits(spark, sf_dir), zone_edges(spark, sf_dir), RADII, key="node_id")
+    return found.select(
         F.coalesce("category", F.lit("all")).alias("category"), "node_id", F.col("radius").cast("bigint").alias("radius"),
         F.round("area", 2).alias("area"), F.round("buffer_area", 2).alias("buffer_area"), F.round("area_share", 6).alias("area_share"),
     )
@@ -138,11 +134,11 @@ def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ANCHOR_SQL = f"""ap AS (SELECT DISTINCT x AS px, y AS py FROM nodes),
-  am AS (SELECT px, py, geo_id FROM ap, region_edges WHERE {CROSS} GROUP BY ALL HAVING count(*) % 2 = 1),
+  am AS (SELECT px, py, geo_id FROM ap, region_edges WHERE {MEET} GROUP BY ALL HAVING {COVERED}),
   an AS (SELECT px, py, min(name) AS anchor_area, min(r.region) AS anchor_region, count(*) AS match_count FROM am JOIN (SELECT DISTINCT geo_id, name, region FROM region_edges) r USING (geo_id) GROUP BY 1, 2)"""
 
 
-@query("X1_proximity_baseline", with_views("nodes exits places zone_edges region_edges", f"""WITH {POPULATION_SQL}, {ANCHOR_SQL},
+@query("X1_proximity_baseline", with_views("nodes exits places zone_edges region_edges", f"""WITH {slabs.POPULATION}, {ANCHOR_SQL},
   ee AS (SELECT DISTINCT node_id, x AS px, y AS py FROM exits),
   nd AS (SELECT node_id, geo_id, sqrt((px-(x1+t*(x2-x1)))*(px-(x1+t*(x2-x1))) + (py-(y1+t*(y2-y1)))*(py-(y1+t*(y2-y1)))) AS d FROM (
       SELECT *, greatest(0, least(1, coalesce(((px-x1)*(x2-x1)+(py-y1)*(y2-y1)) / nullif((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1), 0), 0))) AS t
@@ -165,7 +161,7 @@ ANCHOR_SQL = f"""ap AS (SELECT DISTINCT x AS px, y AS py FROM nodes),
 def proximity_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proximity.proximity_baseline(
         nodes(spark, sf_dir), exits(spark, sf_dir), zone_edges(spark, sf_dir), {"places": places(spark, sf_dir)},
-        region_edges(spark, sf_dir), radii=RADII, step=STEP,
+        region_edges(spark, sf_dir), radii=RADII,
     )
 
 

@@ -59,12 +59,19 @@ def crosses(px: Column, py: Column) -> Column:
     return F.when(straddles, px < at).otherwise(F.lit(False))
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, *, cell_size: float, key: str = "geo_id") -> DataFrame:
+def on_edge(px: Column, py: Column) -> Column:
+    """Whether the point lies on the edge, its ends included."""
+    ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    between = px.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & py.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
+    return between & (ex * (py - F.col("y1")) == ey * (px - F.col("x1")))
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, *, cell_size: float, key: str = "geo_id", border: bool = False) -> DataFrame:
     """x, y, key: every distinct position and each polygon that contains it.
 
     Positions meet polygons through the cells of the bounding boxes; the surviving pairs
-    meet only the edges of their own horizontal band. A position on a shared border
-    belongs to one polygon.
+    meet only the edges of their own horizontal band. With ``border`` a position on an edge or
+    corner belongs to every polygon that has it there; otherwise one on a shared border belongs to one.
     """
     spots = points.select("x", "y").distinct().withColumn("cx", cell(F.col("x"), cell_size)).withColumn(
         "cy", cell(F.col("y"), cell_size)
@@ -74,11 +81,14 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, *, cell_size: float,
     candidates = salted_join(spots, areas, ["cx", "cy"], spread=["x", "y"], condition=inside_box, multiplies=True).select(
         "x", "y", key, F.col("cy").alias("band")
     )
-    banded = edges.filter(F.col("y1") != F.col("y2")).withColumn(
+    banded = (edges if border else edges.filter(F.col("y1") != F.col("y2"))).withColumn(
         "band", F.explode(F.sequence(cell(F.least("y1", "y2"), cell_size), cell(F.greatest("y1", "y2"), cell_size)))
     ).select(key, "band", "x1", "y1", "x2", "y2")
-    crossing = salted_join(candidates, banded, [key, "band"], spread=["x", "y"], condition=crosses(F.col("x"), F.col("y")), multiplies=True)
-    return crossing.groupBy("x", "y", key).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") % 2 == 1).drop("_c")
+    crossing = crosses(F.col("x"), F.col("y"))
+    touching = on_edge(F.col("x"), F.col("y")) if border else F.lit(False)
+    met = salted_join(candidates, banded, [key, "band"], spread=["x", "y"], condition=crossing | touching, multiplies=True)
+    found = met.groupBy("x", "y", key).agg(F.count_if(crossing).alias("_c"), F.max(touching).alias("_on"))
+    return found.filter((F.col("_c") % 2 == 1) | F.col("_on")).drop("_c", "_on")
 
 
 def assign_polygon(
@@ -87,14 +97,17 @@ def assign_polygon(
 ) -> DataFrame:
     """Add the attributes of the containing polygon to every point.
 
-    ``least`` takes the match with the least attributes; ``unique`` gives null unless
-    exactly one polygon matches. Points without a match keep null.
+    A polygon covers its border, so a point on a shared border has several matches. ``least``
+    takes the match with the least attributes; ``unique`` gives null unless exactly one polygon
+    matches; ``inside`` is ``unique`` with every border point in one polygon only. Points without
+    a match keep null.
     """
-    matches = points_in_polygons(points, edges, cell_size=cell_size, key=key).join(names.select(key, *attributes), key)
+    found = points_in_polygons(points, edges, cell_size=cell_size, key=key, border=policy != "inside")
+    matches = found.join(names.select(key, *attributes), key)
     chosen = matches.groupBy("x", "y").agg(
         F.min(F.struct(*attributes, key)).alias("_match"), F.count(F.lit(1)).alias("match_count")
     )
-    if policy == "unique":
+    if policy in ("unique", "inside"):
         chosen = chosen.withColumn("_match", F.when(F.col("match_count") == 1, F.col("_match")))
     elif policy != "least":
         raise ValueError(f"unknown policy: {policy}")

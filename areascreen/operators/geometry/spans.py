@@ -1,52 +1,10 @@
-"""Overlap areas on a global raster of scanlines.
-
-Shapes become horizontal spans ``(k, x0, x1)`` on the lines ``y = (k + 1/2) * step``.
-Spans are clipped to columns of ``width`` metres, so that two shapes meet through the
-equi-key ``(k, column)`` and every piece of overlap is counted once. Areas are sums of
-span lengths times the step: exact in x, a midpoint rule in y.
-"""
+"""Unions of intervals on many lines, without a line in one task's memory."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from areascreen.operators.skew import fan_out, salted_join
-from areascreen.session import cut_lineage
-
-
-def _line_range(low: Column, high: Column, step: float) -> Column:
-    """Scanlines with ``low <= y < high``; empty when there is none."""
-    first = F.ceil(low / step - 0.5)
-    last = F.ceil(high / step - 0.5) - 1
-    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-
-def polygon_spans(edges: DataFrame, step: float, keys: Sequence[str]) -> DataFrame:
-    """keys, k, x0, x1: the inside of each polygon along every scanline it meets."""
-    sloped = fan_out(edges.filter(F.col("y1") != F.col("y2")), [*keys, "y1", "y2"])
-    sliced = sloped.withColumn(
-        "k", F.explode(_line_range(F.least("y1", "y2"), F.greatest("y1", "y2"), step))
-    )
-    y = (F.col("k") + 0.5) * step
-    crossings = sliced.select(
-        *keys, "k", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("x")
-    )
-    # The crossings of one polygon on one line: a handful, whatever the number of polygons.
-    order = Window.partitionBy(*keys, "k").orderBy("x")
-    paired = crossings.withColumn("_pair", F.floor((F.row_number().over(order) - 1) / 2))
-    return paired.groupBy(*keys, "k", "_pair").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_pair")
-
-
-def disc_spans(centres: DataFrame, radius: Column, step: float, keys: Sequence[str]) -> DataFrame:
-    """keys, k, x0, x1: chords of the disc around each centre."""
-    rows = centres.withColumn("_r", radius).withColumn(
-        "k", F.explode(_line_range(F.col("y") - F.col("_r"), F.col("y") + F.col("_r"), step))
-    )
-    dy = (F.col("k") + 0.5) * step - F.col("y")
-    half = F.sqrt(F.greatest(F.lit(0.0), F.col("_r") * F.col("_r") - dy * dy))
-    return rows.select(*keys, "k", (F.col("x") - half).alias("x0"), (F.col("x") + half).alias("x1"))
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def condense(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,16 +22,6 @@ def condense(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def clip(spans: DataFrame, width: float) -> DataFrame:
-    """Cut spans at the column borders and name the column."""
-    cut = spans.withColumn(
-        "column", F.explode(F.sequence(F.floor(F.col("x0") / width), F.floor(F.col("x1") / width)))
-    )
-    return cut.withColumn("x0", F.greatest(F.col("x0"), F.col("column") * width)).withColumn(
-        "x1", F.least(F.col("x1"), (F.col("column") + 1) * width)
-    ).filter(F.col("x1") > F.col("x0"))
-
-
 def merge(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Union of the clipped spans of each key, line and column (gaps and islands)."""
     group = [*keys, "k", "column"]
@@ -82,62 +30,3 @@ def merge(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     starts = spans.withColumn("_new", F.when(F.col("x0") <= reach, 0).otherwise(1))
     islands = starts.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy(*group, "_island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_island")
-
-
-def disc_union(centres: DataFrame, radii: Sequence[float], *, key: str, step: float, width: float) -> DataFrame:
-    """key, radius, k, column, x0, x1: union of the discs around the key's centres, per radius."""
-    spots = fan_out(centres.select(key, "x", "y"), [key, "x", "y"]).distinct().withColumn(
-        "radius", F.explode(F.array(*[F.lit(int(r)) for r in radii]))
-    )
-    chords = disc_spans(spots, F.col("radius").cast("double"), step, [key, "radius"])
-    return merge(clip(condense(chords, [key, "radius"]), width), [key, "radius"])
-
-
-def overlap_areas(shapes: DataFrame, discs: DataFrame, *, shape_keys: Sequence[str], disc_keys: Sequence[str], step: float) -> DataFrame:
-    """shape_keys, disc_keys, overlap_area of every pair that shares area."""
-    right = discs.select(*disc_keys, "k", "column", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
-    length = F.least("x1", "_x1") - F.greatest("x0", "_x0")
-    joined = salted_join(shapes, right, ["k", "column"], spread=[*shape_keys, "x0"], condition=length > 0, multiplies=True)
-    return joined.groupBy(*shape_keys, *disc_keys).agg((F.sum(length) * step).alias("overlap_area"))
-
-
-def span_area(spans: DataFrame, keys: Sequence[str], step: float, name: str = "area") -> DataFrame:
-    return spans.groupBy(*keys).agg((F.sum(F.col("x1") - F.col("x0")) * step).alias(name))
-
-
-def area_weighted_population(
-    centres: DataFrame, zones: DataFrame, radii: Sequence[float], *, key: str, step: float = 5.0, width: float = 1000.0
-) -> DataFrame:
-    """key, radius, population: zone population allocated by the share of zone area covered.
-
-    ``zones`` are edge rows with ``geo_id`` and ``population``. Zone areas come from the same
-    scanlines as the overlaps, so that a share stays within 0 and 1.
-    """
-    spans = cut_lineage(polygon_spans(zones, step, ["geo_id", "population"]))  # read for areas and overlaps
-    areas = span_area(spans, ["geo_id"], step)
-    discs = disc_union(centres, radii, key=key, step=step, width=width)
-    overlaps = overlap_areas(clip(spans, width), discs, shape_keys=["geo_id", "population"], disc_keys=[key, "radius"], step=step)
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("overlap_area") / F.col("area")))
-    return overlaps.join(areas, "geo_id").groupBy(key, "radius").agg(
-        F.sum(F.col("population") * share).alias("population"), F.count(F.lit(1)).alias("zone_count")
-    )
-
-
-def category_overlap(
-    centres: DataFrame, parcels: DataFrame, radii: Sequence[float], *, key: str, step: float = 5.0, width: float = 1000.0
-) -> DataFrame:
-    """key, radius, category, area, buffer_area, area_share: parcel area inside the buffer.
-
-    Parcels that overlap count once per category; the row with a null category is the union
-    over all categories.
-    """
-    spans = clip(polygon_spans(parcels, step, ["geo_id", "category"]), width)
-    labelled = spans.withColumn("category", F.explode(F.array(F.col("category"), F.lit(None).cast("string"))))
-    covered = merge(labelled, ["category"])
-    discs = disc_union(centres, radii, key=key, step=step, width=width)
-    buffers = span_area(discs, [key, "radius"], step, "buffer_area")
-    overlaps = overlap_areas(covered, discs, shape_keys=["category"], disc_keys=[key, "radius"], step=step)
-    return overlaps.join(buffers, [key, "radius"]).select(
-        key, "radius", "category", F.col("overlap_area").alias("area"), "buffer_area",
-        (F.col("overlap_area") / F.col("buffer_area")).alias("area_share"),
-    )

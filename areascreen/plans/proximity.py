@@ -7,18 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from areascreen.functions.documents import flag_array
-from areascreen.operators.geometry import grid, nearest, polygons, spans
+from areascreen.operators.geometry import areas, grid, nearest, polygons
 from areascreen.operators.ranking import descending_rank, group_size, is_bounded, ordinal_percentile, quartile_from_percentile
 from areascreen.session import cut_lineage
 
 
 def proximity_baseline(
     nodes: DataFrame, exits: DataFrame, zones: DataFrame, points: dict[str, DataFrame], regions: DataFrame,
-    *, radii: Sequence[int] = (800, 1200), step: float = 5.0, width: float = 2000.0, cell_size: float = 2000.0,
+    *, radii: Sequence[int] = (800, 1200), cell_size: float = 2000.0,
 ) -> DataFrame:
     """One row per node: population and points near its exits, anchor region, rank and quartile."""
     # Node-level tables are small next to their inputs and are read more than once: written.
-    people = cut_lineage(spans.area_weighted_population(exits, zones, radii, key="node_id", step=step, width=width))
+    people = cut_lineage(areas.area_weighted_population(exits, zones, radii, key="node_id"))
     reached = polygons.polygon_distances(exits, zones, float(max(radii)), key="node_id").groupBy("node_id").agg(
         *[F.count_if(F.col("distance") < r).alias(f"zone_count_{r}m") for r in radii]
     )

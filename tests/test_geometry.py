@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from areascreen.functions.projection import TransverseMercator, to_degrees, to_metres
-from areascreen.operators.geometry import grid, nearest, polygons, spans
+from areascreen.operators.geometry import areas, grid, nearest, polygons
 from areascreen.operators.ranking import quartile_from_percentile  # noqa: F401
 from areascreen.plans.proximity import add_demand_ranks, proximity_checks
 
@@ -57,43 +57,127 @@ def test_point_in_polygon_policies(spark):
         assert got == {"p": "a", "q": q, "q2": q, "r": None, "s": "u", "t": None}
 
 
-def test_a_border_point_lies_in_one_polygon(spark):
-    edges = edges_of(spark, {"a": (box(0, 0, 10, 10),), "b": (box(10, 0, 20, 10),)})
-    assert polygons.points_in_polygons(points(spark, [("p", 10.0, 5.0)]), edges, cell_size=5.0).count() == 1
-
-
-def test_population_is_allocated_by_area(spark):
-    zones = edges_of(spark, {"a": (box(0, 0, 1000, 1000), 100.0), "b": (box(1000, 0, 2000, 1000), 200.0)}, ", population double")
-    exits = points(spark, [("n", 0.0, 500.0)])
-    row = spans.area_weighted_population(exits, zones, [1500], key="node_id", step=2.0).first()
-    # Disc of radius 1500 around (0, 500): all of the first zone, part of the second.
-    n = 400
-    inside = sum(math.hypot(1000 + (i + 0.5) * 1000 / n, (j + 0.5) * 1000 / n - 500) <= 1500 for i in range(n) for j in range(n))
-    assert row["zone_count"] == 2
-    assert row["population"] == pytest.approx(100 + 200 * inside / n**2, rel=1e-4)
+def test_border_points_under_three_policies(spark):
+    edges = edges_of(spark, {"a": (box(0, 0, 10, 10),), "b": (box(10, 0, 20, 10),), "c": ([(0, 10), (10, 10), (5, 20)],)})
+    names = edges.select("geo_id", F.col("geo_id").alias("name")).distinct()
+    pts = points(spark, [("side", 10.0, 5.0), ("low", 5.0, 0.0), ("corner", 10.0, 10.0), ("end", 20.0, 10.0), ("slant", 7.5, 15.0), ("flat", 4.0, 10.0), ("in", 1.0, 1.0), ("out", 21.0, 10.0), ("beside", 30.0, 0.0)])
+    want = {  # policy least, policy unique, number of matches
+        "side": ("a", None, 2), "low": ("a", "a", 1), "corner": ("a", None, 3), "end": ("b", "b", 1), "slant": ("c", "c", 1), "flat": ("a", None, 2), "in": ("a", "a", 1), "out": (None, None, 0), "beside": (None, None, 0)}
+    for k, policy in enumerate(("least", "unique")):
+        got = {r["node_id"]: (r["name"], r["match_count"]) for r in polygons.assign_polygon(pts, edges, names, policy=policy, cell_size=4.0, attributes=["name"]).collect()}
+        assert got == {n: (w[k], w[2]) for n, w in want.items()}
+    one = {r["node_id"]: r["match_count"] for r in polygons.assign_polygon(pts, edges, names, policy="inside", cell_size=4.0, attributes=["name"]).collect()}
+    assert one["side"] == one["flat"] == one["in"] == 1 and one["corner"] <= 1 and one["out"] == 0
+    with pytest.raises(ValueError):
+        polygons.assign_polygon(pts, edges, names, policy="any", cell_size=4.0, attributes=["name"])
+
+
+def lens(r, d):
+    return 2 * r * r * math.acos(d / (2 * r)) - d / 2 * math.sqrt(4 * r * r - d * d)
+
+
+def test_population_is_allocated_by_exact_area(spark):
+    zones = edges_of(spark, {"a": (box(0, 0, 1000, 1000), 100.0), "b": (box(1000, 0, 2000, 1000), 200.0), "thin": (box(0, 100.25, 500, 100.5), 500.0), "far": (box(9000, 0, 9001, 1), 7.0), "flat": ([(0, 0), (5, 5)], 3.0)}, ", population double")
+    row = areas.area_weighted_population(points(spark, [("n", 0.0, 500.0)]), zones, [1500], key="node_id").first()
+    # Area of the second zone inside the disc of radius 1500 around (0, 500), by slices in closed form.
+    strip = lambda y: (y * math.sqrt(1500**2 - y * y) + 1500**2 * math.asin(y / 1500)) / 2 - 1000 * y
+    assert row["zone_count"] == 3
+    assert row["population"] == pytest.approx(100 + 500 + 200 * 2 * strip(500) / 1e6, rel=1e-12)
+
+
+def test_exact_overlaps_of_hard_shapes(spark):
+    shapes = {
+        "inside": (box(0, 0, 100, 100),), "clockwise": (box(0, 0, 100, 100)[::-1],), "around": (box(-5000, -5000, 5000, 5000),),
+        "corner_on_circle": (box(480, 640, 900, 900),), "touching": (box(800, -50, 900, 50),), "through_corner": ([(480, 640), (-480, 640), (0, 0)],),
+        "inscribed": ([(800, 0), (0, 800), (-800, 0), (0, -800)],), "twice_in_and_out": ([(-900, 700), (900, 700), (900, 710), (-900, 710)],), "away": (box(2000, 0, 2001, 1),)}
+    got = {r["geo_id"]: r["overlap_area"] for r in areas.overlap_areas(points(spark, [("n", 0.0, 0.0)] * 3), edges_of(spark, shapes), [800], key="node_id").collect()}
+    half = lambda y: (y * math.sqrt(800**2 - y * y) + 800**2 * math.asin(y / 800)) / 2
+    assert got == pytest.approx({
+        "inside": 1e4, "clockwise": 1e4, "around": math.pi * 640000, "through_corner": 480 * 640.0, "inscribed": 1280000.0, "twice_in_and_out": 2 * (half(710) - half(700))}, rel=1e-12)
+
+
+def test_a_hole_and_a_second_part_count(spark):
+    rows = [("a", 0, 0, *map(float, p), *map(float, q)) for c in [box(0, 0, 100, 100)] for p, q in zip(c, c[1:] + c[:1])]
+    rows += [("a", 0, 1, *map(float, p), *map(float, q)) for c in [box(40, 40, 60, 60)] for p, q in zip(c, c[1:] + c[:1])]
+    rows += [("a", 1, 0, *map(float, p), *map(float, q)) for c in [box(200, 0, 210, 10)[::-1]] for p, q in zip(c, c[1:] + c[:1])]
+    edges = spark.createDataFrame(rows, "geo_id string, part int, ring int, x1 double, y1 double, x2 double, y2 double")
+    found = areas.overlap_areas(points(spark, [("n", 50.0, 50.0), ("m", 50.0, 1050.0)]), edges, [5, 800, 1000], key="node_id").collect()
+    got = {(r["node_id"], int(r["radius"])): r["overlap_area"] for r in found}
+    assert got.keys() == {("n", 800), ("n", 1000), ("m", 1000)} and got["n", 800] == got["n", 1000] == pytest.approx(9700.0, rel=1e-12)
+
+
+def test_random_overlaps_against_slices(spark):
+    """Many discs and a star: areas by a fine midpoint rule over exact widths."""
+    rng = random.Random(8)
+    centres = [("n", rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(25)] + [("m", rng.uniform(0, 300), rng.uniform(0, 300)) for _ in range(120)]
+    star = [(450 + (700 if k % 2 else 150) * math.cos(k * math.pi / 7 + 0.1), 450 + (700 if k % 2 else 150) * math.sin(k * math.pi / 7 + 0.1)) for k in range(14)]
+    frame = points(spark, centres)
+    got = {(r["node_id"], int(r["radius"])): r["overlap_area"] for r in areas.overlap_areas(frame, edges_of(spark, {"s": (star,)}), [90, 200], key="node_id").collect()}
+    whole = {(r["node_id"], int(r["radius"])): r["area"] for r in areas.union_area(areas.union_arcs(frame, [90, 200], key="node_id"), "node_id").collect()}
+
+    def merged(parts):
+        out = []
+        for a, b in sorted(parts):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return out
+
+    n, low, high = 20_000, -400.0, 1400.0
+    for key in ("n", "m"):
+        for r in (90, 200):
+            overlap = total = 0.0
+            for k in range(n):
+                y = low + (k + 0.5) * (high - low) / n
+                discs = merged((x - math.sqrt(r * r - (y - v) ** 2), x + math.sqrt(r * r - (y - v) ** 2)) for c, x, v in centres if c == key and abs(y - v) < r)
+                xs = sorted(a + (y - b) * (c - a) / (d - b) for (a, b), (c, d) in zip(star, star[1:] + star[:1]) if (b <= y) != (d <= y))
+                total += sum(b - a for a, b in discs)
+                overlap += sum(max(0.0, min(b, d) - max(a, c)) for a, b in discs for c, d in zip(xs[::2], xs[1::2]))
+            assert got[key, r] == pytest.approx(overlap * (high - low) / n, rel=1e-5) and whole[key, r] == pytest.approx(total * (high - low) / n, rel=1e-5)
 
 
 def test_copies_of_an_exit_add_no_area(spark):
-    one = points(spark, [("n", 0.0, 0.0)])
-    many = points(spark, [("n", 0.0, 0.0)] * 50 + [("n", 0.001, 0.0)])
-    area = lambda df: spans.span_area(spans.disc_union(df, [800], key="node_id", step=5.0, width=1000.0), ["node_id"], 5.0).first()["area"]
-    assert area(one) == pytest.approx(math.pi * 800**2, rel=2e-4)
-    assert area(many) == pytest.approx(area(one), rel=1e-5)
+    one, many = points(spark, [("n", 0.0, 0.0)]), points(spark, [("n", 0.0, 0.0)] * 50 + [("n", 0.001, 0.0)])
+    area = lambda df: areas.union_area(areas.union_arcs(df, [800], key="node_id"), "node_id").first()["area"]
+    assert area(one) == pytest.approx(math.pi * 800**2, rel=1e-12)
+    assert area(many) == pytest.approx(2 * math.pi * 800**2 - lens(800, 0.001), rel=1e-9)
 
 
-def test_union_of_two_discs(spark):
-    got = spans.span_area(
-        spans.disc_union(points(spark, [("n", 0.0, 0.0), ("n", 300.0, 0.0)]), [800], key="node_id", step=5.0, width=700.0), ["node_id"], 5.0
-    ).first()["area"]
-    r, d = 800.0, 300.0
-    lens = 2 * r * r * math.acos(d / (2 * r)) - d / 2 * math.sqrt(4 * r * r - d * d)
-    assert got == pytest.approx(2 * math.pi * r * r - lens, rel=2e-4)
+def test_union_of_two_discs_and_a_ring_with_a_gap_inside(spark):
+    rows = [("n", 0.0, 0.0), ("n", 300.0, 0.0)] + [("ring", 1000 * math.cos(k * math.pi / 6), 1000 * math.sin(k * math.pi / 6)) for k in range(12)] + [("inner", 0.0, 0.0)]
+    got = {r["node_id"]: r["area"] for r in areas.union_area(areas.union_arcs(points(spark, rows), [400], key="node_id"), "node_id").collect()}
+    side = 2 * 1000 * math.sin(math.pi / 12)
+    assert got == pytest.approx({"n": 2 * math.pi * 400**2 - lens(400, 300), "ring": 12 * (math.pi * 400**2 - lens(400, side)), "inner": math.pi * 400**2}, rel=1e-9)
 
 
 def test_overlapping_parcels_count_once(spark):
-    parcels = edges_of(spark, {"a": (box(0, 0, 100, 100), "shop"), "b": (box(50, 0, 150, 100), "shop"), "c": (box(50, 0, 100, 100), "office")}, ", category string")
-    got = {r["category"]: r["area"] for r in spans.category_overlap(points(spark, [("n", 75.0, 50.0)]), parcels, [400], key="node_id", step=1.0, width=60.0).collect()}
-    assert got == pytest.approx({"shop": 15000.0, "office": 5000.0, None: 15000.0})
+    parcels = edges_of(spark, {
+        "a": (box(0, 0, 100, 100), "shop"), "b": (box(50, 0, 150, 100), "shop"), "c": (box(50, 0, 100, 100), "office"), "d": (box(100, 20, 150, 80), "shop"),
+        "e": (box(0, 100, 50, 120), "shop"), "copy": (box(0, 0, 100, 100), "shop"), "none": (box(-50, 0, -40, 10), None)}, ", category string")
+    found = areas.category_overlap(points(spark, [("n", 75.0, 50.0)]), parcels, [400], key="node_id", cell_size=60.0).collect()
+    got = {r["category"]: r["area"] for r in found}
+    assert got == pytest.approx({"shop": 16000.0, "office": 5000.0, "": 100.0, None: 16100.0}, rel=1e-9)
+    assert found[0]["buffer_area"] == pytest.approx(math.pi * 400**2, rel=1e-12)
+
+
+def test_borders_of_a_union(spark):
+    from areascreen.operators.geometry.unions import union_edges
+
+    ring = {f"r{k}": (c, "x") for k, c in enumerate([box(0, 0, 30, 10), box(0, 20, 30, 30), box(0, 10, 10, 20), box(20, 10, 30, 20)])}  # leaves a hole
+    edges, _, _ = union_edges(edges_of(spark, {**ring, "cross": ([(-5, -5), (40, -5), (40, 5)], "y"), "cut": ([(-5, 5), (-5, -6), (40, -6)], "y")}, ", category string"), "category", cell_size=7.0)
+    area = {r["category"]: r["a"] for r in edges.groupBy("category").agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("a")).collect()}
+    assert area["x"] == pytest.approx(900 - 100) and edges.filter("category = 'x'").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0] == pytest.approx(160)
+    assert area["y"] == pytest.approx(225 + 247.5 - _shared(), rel=1e-6)
+
+
+def _shared(n=400_000):
+    """Overlap of the two triangles by slices along x."""
+    total = 0.0
+    for k in range(n):
+        x = -5 + 45 * (k + 0.5) / n
+        total += max(0.0, min(-5 + (x + 5) / 45 * 10, 5 - (x + 5) / 45 * 11) - max(-5.0, -6.0))
+    return total * 45 / n
 
 
 def test_counts_within_a_union_of_buffers(spark):
