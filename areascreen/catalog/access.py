@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from areascreen.catalog.registry import query
-from areascreen.catalog.views import SCENARIOS, THRESHOLD_CASES, nodes, outcomes_of, trip_outcomes, trip_plan, with_views
+from areascreen.catalog.views import SCENARIOS, THRESHOLD_CASES, nodes, outcomes_of, trip_outcomes, trip_plan, with_views, table
 from areascreen.operators import access, ranking
 from areascreen.session import cut_lineage
 
@@ -165,6 +165,29 @@ def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.average_rank(counts, "n", "origin_id")
 
 
+_NEAR_TIES = "floor(c_acctbal::DOUBLE / 500.0) * 500.0 * (1.0::DOUBLE + (c_custkey % 7) * 3e-10::DOUBLE)"
+
+
+@query("W4_tolerance_ties", f"""
+  WITH RECURSIVE v AS (SELECT c_custkey, c_nationkey, {_NEAR_TIES} AS value FROM customer),
+  d AS (SELECT DISTINCT c_nationkey, value FROM v),
+  runs AS (SELECT c_nationkey, max(value) AS first FROM d GROUP BY 1
+    UNION ALL
+    SELECT d.c_nationkey, max(d.value) FROM runs r JOIN d ON d.c_nationkey = r.c_nationkey AND d.value < r.first AND r.first - d.value > 1e-9::DOUBLE * greatest(abs(r.first), abs(d.value)) GROUP BY 1),
+  m AS (SELECT v.*, (SELECT min(first) FROM runs r WHERE r.c_nationkey = v.c_nationkey AND r.first >= v.value) AS first FROM v)
+  SELECT c_custkey, c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY first DESC) + (count(*) OVER (PARTITION BY c_nationkey, first) - 1) / 2 AS average_rank,
+    dense_rank() OVER (PARTITION BY c_nationkey ORDER BY first DESC) AS run FROM m""")
+def tolerance_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks within a nation of balances that differ in the tenth digit: chains of nearly equal values."""
+    value = F.floor(F.col("c_acctbal").cast("double") / 500.0) * 500.0 * (1.0 + (F.col("c_custkey") % 7) * F.lit(3e-10))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", value.alias("value"))
+    ranked = ranking.average_rank(rows, "value", "c_custkey", by=["c_nationkey"], tolerance=1e-9)
+    runs = ranking.close_runs(rows, "value", by=["c_nationkey"])
+    firsts = runs.select("c_nationkey", "run_first").distinct()
+    firsts = ranking.row_index(firsts, [F.col("run_first").desc()], by=["c_nationkey"], name="run")
+    return ranked.join(runs, ["c_nationkey", "value"]).join(firsts, ["c_nationkey", "run_first"]).select("c_custkey", "c_nationkey", "average_rank", "run")
+
+
 @query("A17_rank_correlation", with_views("trip_plan", """
   WITH per AS (SELECT origin_id, count(*) AS n, min(population) AS population FROM trip_plan GROUP BY 1),
   ranked AS (SELECT *, rank() OVER (ORDER BY n DESC) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS rn,

@@ -22,6 +22,10 @@ FINAL_WALK_CATEGORIES = ["success", "missing_route", "http_error", "invalid_resp
 Case = tuple[str, int, int, bool]
 
 
+#: Sums that differ relatively by no more than this are one rank: rounding must not part them.
+TIE = 1e-9
+
+
 def threshold_cases(pt_minutes: int, walk_minutes: int, pt_variants: Sequence[int], walk_variants: Sequence[int]) -> list[Case]:
     """The primary case and one-way variations of either threshold; ids must be unique."""
     cases: list[Case] = [(f"pt{pt_minutes}_walk{walk_minutes}_primary", pt_minutes, walk_minutes, True)]
@@ -179,8 +183,8 @@ def transit_versus_proximity(metrics: DataFrame, scenario_id: str, *, materialit
         "difference",
         F.abs(F.col("accessible_population") - F.col("centroid_population")) / F.col("centroid_population"),
     )
-    ranked = average_rank(valid, "accessible_population", "node_id", name="transit_rank", bounded=bounded)
-    ranked = average_rank(ranked, "centroid_population", "node_id", name="proximity_rank", bounded=bounded)
+    ranked = average_rank(valid, "accessible_population", "node_id", name="transit_rank", bounded=bounded, tolerance=TIE)
+    ranked = average_rank(ranked, "centroid_population", "node_id", name="proximity_rank", bounded=bounded, tolerance=TIE)
     moved = F.abs(F.col("transit_rank") - F.col("proximity_rank")) >= rank_shift
     total = chosen.agg(F.count(F.lit(1)).alias("n")).scalar()
     median = exact_median(valid, "difference", "node_id", bounded=bounded).scalar()

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from areascreen.operators.skew import null_safe_join
@@ -93,13 +95,91 @@ def rank_quartile(rank: Column, size: Column) -> Column:
     return F.least(F.floor((rank - 1) / (size / F.lit(4.0))) + 1, F.lit(4)).cast("bigint")
 
 
+def _is_close(a: float, b: float, tolerance: float) -> bool:
+    return a == b or abs(a - b) <= tolerance * max(abs(a), abs(b))
+
+
+def _run_firsts(values: Sequence[float], tolerance: float, first: float | None) -> list[float]:
+    """First value of the run of each of the descending values; ``first`` is the run that is open before them."""
+    found = []
+    for value in values:
+        if first is None or not _is_close(value, first, tolerance):
+            first = value
+        found.append(first)
+    return found
+
+
+def close_runs(df: DataFrame, value: str, *, by: Sequence[str] = (), tolerance: float = 1e-9, bounded: bool | None = None, name: str = "run_first") -> DataFrame:
+    """by, value, name: every distinct non-null value of a group and the first value of its run.
+
+    Runs go from the largest value down; a value stays in the run while it is within ``tolerance`` (relative to the larger
+    of both) of the run's first. Where a run ends thus depends on where it began. Groups too large for one task are
+    sorted by ranges: a partition in which two neighbours are not close knows its last run whatever came before; only
+    where partitions lie within one chain of close neighbours does the open run pass on, from one to the next.
+    """
+    values = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value)).distinct()
+    schema = values.select(*by, value, F.col(value).alias(name)).schema
+    if is_bounded(values, by) if bounded is None else bounded:
+        def runs(table: pa.Table) -> pa.Table:
+            table = table.sort_by([(value, "descending")])
+            return table.append_column(name, pa.array(_run_firsts(table.column(value).to_pylist(), tolerance, None), pa.float64()))
+
+        return values.groupBy(*by).applyInArrow(runs, schema)
+
+    order = [*[F.col(c) for c in by], F.col(value).desc()]
+    placed = cut_lineage(values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    key = F.struct(F.lit(0).alias("_"), *by)
+    ends = placed.groupBy("_part").agg(
+        F.min_by(key, F.struct(*by, -F.col(value))).alias("low_key"), F.max_by(key, F.struct(*by, -F.col(value))).alias("high_key"),
+        F.min(F.struct(*by, (-F.col(value)).alias("_v")))["_v"].alias("low"), F.max(F.struct(*by, (-F.col(value)).alias("_v")))["_v"].alias("high"))
+    borders = sorted(ends.collect(), key=lambda r: r["_part"])  # one row a partition
+    inherits = {b["_part"]: a["_part"] for a, b in zip(borders, borders[1:]) if a["high_key"] == b["low_key"] and _is_close(-a["high"], -b["low"], tolerance)}
+
+    def marked(opened: dict[int, float | None], exits: bool):
+        def compute(table: pa.Table) -> pa.Table:
+            table = table.take(pc.sort_indices(table, [*[(c, "ascending") for c in by], (value, "descending")], null_placement="at_start"))
+            part = table.column("_part")[0].as_py()
+            keys = list(zip(*[table.column(c).to_pylist() for c in by])) if by else [()] * table.num_rows
+            held, found, before, settled, last = table.column(value).to_pylist(), [], opened.get(part), False, None
+            for k, own in enumerate(held):
+                if k and (keys[k] != keys[k - 1] or not _is_close(own, held[k - 1], tolerance)):
+                    before, settled = None, True
+                before = _run_firsts([own], tolerance, before)[0]
+                found.append(before)
+            if exits:
+                return pa.table({"_part": pa.array([part], pa.int32()), "settled": [settled], "first": pa.array([before], pa.float64())})
+            return table.drop_columns("_part").append_column(name, pa.array(found, pa.float64()))
+
+        return compute
+
+    opened: dict[int, float | None] = {}
+    heirs = set(inherits.values())
+    pending = sorted(heirs)
+    while pending:
+        told = placed.filter(F.col("_part").isin(pending)).groupBy("_part").applyInArrow(marked(opened, True), "_part int, settled boolean, first double")
+        known = {r["_part"]: r["first"] for r in told.collect() if r["settled"] or r["_part"] not in inherits or r["_part"] in opened}
+        opened |= {b: known[a] for b, a in inherits.items() if a in known}
+        pending = sorted(p for p in pending if p not in known)
+    return placed.groupBy("_part").applyInArrow(marked(opened, False), schema)
+
+
 def average_rank(
     df: DataFrame, value: str, key: str, *, by: Sequence[str] = (), descending: bool = True,
-    name: str = "average_rank", bounded: bool | None = None,
+    name: str = "average_rank", bounded: bool | None = None, tolerance: float | None = None,
 ) -> DataFrame:
-    """Rank in which rows of equal value share the mean of their positions."""
+    """Rank in which rows of equal value share the mean of their positions.
+
+    With ``tolerance`` (descending only) rows of one run of nearly equal values (``close_runs``) share it.
+    """
     direction = F.col(value).desc() if descending else F.col(value).asc()
-    if is_bounded(df, by) if bounded is None else bounded:
+    bounded = is_bounded(df, by) if bounded is None else bounded
+    if tolerance is not None:
+        if not descending:
+            raise ValueError("runs of nearly equal values are formed from the largest value down")
+        runs = close_runs(df, value, by=by, tolerance=tolerance, bounded=bounded, name="_first").withColumnRenamed(value, "_value")
+        firsts = null_safe_join(df.withColumn("_value", F.col(value).cast("double")), runs, [*by, "_value"], "left")
+        return average_rank(firsts, "_first", key, by=by, name=name, bounded=bounded).select(*df.columns, name)
+    if bounded:
         first = F.rank().over(Window.partitionBy(*by).orderBy(direction))
         ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
         return df.withColumn(name, first + (ties - 1) / 2)
