@@ -143,6 +143,18 @@ def corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("J17_register_values", with_views("exits", f"""WITH {STATUS_SQL},
+  reg AS (SELECT 'STATION ' || (l_suppkey + 50)::VARCHAR AS base_name, CASE WHEN l_linenumber > 5 THEN '' ELSE 'C' || l_linenumber::VARCHAR END AS code, l_returnflag AS line FROM lineitem),
+  val AS (SELECT base_name, field, value, count(*) AS rows FROM (SELECT base_name, 'code' AS field, code AS value FROM reg UNION ALL SELECT base_name, 'line', line FROM reg) WHERE value <> '' GROUP BY 1, 2, 3)
+  SELECT complex_name, field, value, rows FROM opst JOIN val USING (base_name)"""))
+def register_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    register = lines.select(
+        F.concat(F.lit("STATION "), F.col("l_suppkey") + 50).alias("base_name"),
+        F.when(F.col("l_linenumber") > 5, "").otherwise(F.concat(F.lit("C"), F.col("l_linenumber"))).alias("code"), F.col("l_returnflag").alias("line"))
+    return stations.register_values(stations.rollup(named_exits(spark, sf_dir)), register, ["code", "line"])
+
+
 NEAREST_SQL = """d AS (SELECT p.origin_id, p.node_id, e.exit_id, (o.x-e.x)*(o.x-e.x) + (o.y-e.y)*(o.y-e.y) AS d2
     FROM (SELECT DISTINCT origin_id, node_id FROM trip_plan) p JOIN origins o USING (origin_id) JOIN exits e USING (node_id)),
   best AS (SELECT origin_id, node_id, min(d2) AS d2, arg_min(exit_id, (d2, exit_id)) AS exit_id FROM d GROUP BY 1, 2)"""

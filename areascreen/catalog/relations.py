@@ -9,6 +9,8 @@ from areascreen.catalog.registry import query
 from areascreen.catalog.views import nodes, origins, table, trip_plan, with_views
 from areascreen.operators import joins, population, quality, selection, stats
 from areascreen.plans import competition, decision, sensitivity, signals
+from areascreen.plans.proximity import proximity_checks
+from areascreen.sources import manifest
 
 RAW_SQL = r"""raw AS (SELECT planning_area, subzone, age, sex, CASE WHEN n%17 = 0 THEN '-' WHEN n%101 = 0 THEN 'n.a.' ELSE n::VARCHAR END AS count_raw FROM (
    SELECT ' AREA ' || (c_nationkey)::VARCHAR AS planning_area, 'ZONE ' || (c_custkey%400)::VARCHAR || ' ' AS subzone, (c_custkey//400 % 5 + 7)::VARCHAR AS age, s.sex, (floor(abs(c_acctbal)/10)::BIGINT * 10 + c_custkey%3) // s.d AS n
@@ -424,17 +426,7 @@ def threshold_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.withColumn("observed", F.round("observed", 9)).withColumn("accepted", quality.all_gates_met(gates).select("accepted").scalar())
 
 
-@query("Q4_branch_gates", """
-  WITH b AS (SELECT o_orderkey AS branch_id, CASE WHEN o_orderkey%200 = 0 THEN 'ftp://x' WHEN o_orderkey%3 = 0 THEN NULL ELSE 'https://a/b' END AS url, CASE WHEN o_orderkey%5 = 0 THEN NULL ELSE 'p' END AS postal_code, CASE WHEN o_orderkey%2 = 0 THEN NULL ELSE 'u' END AS unit,
-    o_orderkey%30 <> 0 AS exact_address, CASE WHEN o_orderkey%4 = 0 THEN NULL ELSE 'NATION_' || (o_custkey%25)::VARCHAR END AS planning_area, CASE WHEN o_orderkey%4 = 0 THEN 'unresolved_no_coordinate' WHEN o_orderkey%97 = 1 THEN 'searched' ELSE 'coordinate_derived' END AS src,
-    (['confirmed', 'possible', 'unresolved'])[1 + o_orderkey%3] AS es, o_orderkey%7 <> 0 AS fresh, CASE WHEN o_orderstatus = 'O' THEN 'current' ELSE 'closed' END AS status, o_orderkey%3 = 0 OR o_orderkey%100 = 1 AS prim, o_orderpriority AS pr FROM orders),
-  rv AS (SELECT branch_id, 'evidence_status_' || es AS issue FROM b WHERE pr <> '5-LOW')
-  SELECT 'urls_valid' AS gate, count(*) FILTER (url IS NOT NULL AND NOT regexp_matches(url, '^https?://')) AS violations FROM b UNION ALL SELECT 'no_placeholder_branches', count(*) FILTER (postal_code IS NULL AND unit IS NULL AND NOT exact_address) FROM b
-  UNION ALL SELECT 'planning_areas_derived_or_unresolved', count(*) FILTER (planning_area IS NOT NULL AND src <> 'coordinate_derived') FROM b UNION ALL SELECT 'confirmed_have_fresh_evidence', count(*) FILTER (es = 'confirmed' AND NOT fresh) FROM b
-  UNION ALL SELECT 'primary_is_confirmed_current', count(*) FILTER ((prim AND es <> 'confirmed') OR (status = 'current' AND es = 'unresolved')) FROM b UNION ALL SELECT 'possible_not_primary', count(*) FILTER (es = 'possible' AND prim) FROM b
-  UNION ALL SELECT 'resolved_within_selected_areas', count(*) FILTER (src = 'coordinate_derived' AND planning_area NOT IN ('NATION_1', 'NATION_2', 'NATION_3')) FROM b
-  UNION ALL SELECT 'review_items_enumerated', count(*) FROM b WHERE es <> 'confirmed' AND (branch_id, 'evidence_status_' || es) NOT IN (SELECT branch_id, issue FROM rv)""")
-def branch_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def branches_and_reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = F.col("o_orderkey")
     labels = F.array(F.lit("confirmed"), F.lit("possible"), F.lit("unresolved"))
     branches = table(spark, sf_dir, "orders").select(
@@ -448,9 +440,105 @@ def branch_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = branches.filter("o_orderpriority <> '5-LOW'").select(
         F.col("branch_id").cast("string").alias("entity_reference"), F.concat(F.lit("evidence_status_"), "evidence_status").alias("issue_category")
     )
+    return branches, reviews
+
+
+_BRANCH_GATES_SQL = """
+  WITH b AS (SELECT o_orderkey AS branch_id, CASE WHEN o_orderkey%200 = 0 THEN 'ftp://x' WHEN o_orderkey%3 = 0 THEN NULL ELSE 'https://a/b' END AS url, CASE WHEN o_orderkey%5 = 0 THEN NULL ELSE 'p' END AS postal_code, CASE WHEN o_orderkey%2 = 0 THEN NULL ELSE 'u' END AS unit,
+    o_orderkey%30 <> 0 AS exact_address, CASE WHEN o_orderkey%4 = 0 THEN NULL ELSE 'NATION_' || (o_custkey%25)::VARCHAR END AS planning_area, CASE WHEN o_orderkey%4 = 0 THEN 'unresolved_no_coordinate' WHEN o_orderkey%97 = 1 THEN 'searched' ELSE 'coordinate_derived' END AS src,
+    (['confirmed', 'possible', 'unresolved'])[1 + o_orderkey%3] AS es, o_orderkey%7 <> 0 AS fresh, CASE WHEN o_orderstatus = 'O' THEN 'current' ELSE 'closed' END AS status, o_orderkey%3 = 0 OR o_orderkey%100 = 1 AS prim, o_orderpriority AS pr FROM orders),
+  rv AS (SELECT branch_id, 'evidence_status_' || es AS issue FROM b WHERE pr <> '5-LOW')
+  SELECT 'urls_valid' AS gate, count(*) FILTER (url IS NOT NULL AND NOT regexp_matches(url, '^https?://')) AS violations FROM b UNION ALL SELECT 'no_placeholder_branches', count(*) FILTER (postal_code IS NULL AND unit IS NULL AND NOT exact_address) FROM b
+  UNION ALL SELECT 'planning_areas_derived_or_unresolved', count(*) FILTER (planning_area IS NOT NULL AND src <> 'coordinate_derived') FROM b UNION ALL SELECT 'confirmed_have_fresh_evidence', count(*) FILTER (es = 'confirmed' AND NOT fresh) FROM b
+  UNION ALL SELECT 'primary_is_confirmed_current', count(*) FILTER ((prim AND es <> 'confirmed') OR (status = 'current' AND es = 'unresolved')) FROM b UNION ALL SELECT 'possible_not_primary', count(*) FILTER (es = 'possible' AND prim) FROM b
+  UNION ALL SELECT 'resolved_within_selected_areas', count(*) FILTER (src = 'coordinate_derived' AND planning_area NOT IN ('NATION_1', 'NATION_2', 'NATION_3')) FROM b
+  UNION ALL SELECT 'review_items_enumerated', count(*) FROM b WHERE es <> 'confirmed' AND (branch_id, 'evidence_status_' || es) NOT IN (SELECT branch_id, issue FROM rv)"""
+
+
+@query("Q4_branch_gates", _BRANCH_GATES_SQL)
+def branch_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    branches, reviews = branches_and_reviews(spark, sf_dir)
     return quality.branch_gates(branches, reviews, ["NATION_1", "NATION_2", "NATION_3"])
 
 
+@query("Q4_acceptance_gates", f"""WITH g AS ({_BRANCH_GATES_SQL}),
+  silent AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 3 = 1 AND o_orderpriority = '5-LOW'),
+  m AS (SELECT gate, violations + CASE WHEN gate = 'possible_not_primary' THEN (SELECT n FROM silent) ELSE 0 END AS violations FROM g
+    UNION ALL SELECT 'all_queries_logged', count(*) FROM orders WHERE o_orderkey % 50 = 0
+    UNION ALL SELECT 'query_integrity_reconciled', count(*) FROM orders WHERE o_orderkey % 50 <> 0 AND o_totalprice < 2000
+    UNION ALL SELECT 'validation_attempts_complete', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT 'csv_parquet_parity', 0
+    UNION ALL SELECT 'checksums_verify', count(*) FROM supplier WHERE s_suppkey % 9 = 0
+    UNION ALL SELECT 'secret_scan_pass', CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM part WHERE contains(p_name, 'password=')
+    UNION ALL SELECT 'geocoding_executed_or_validated_cache', 0
+    UNION ALL SELECT 'exact_observation_provenance_partition_complete', CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM customer WHERE c_custkey % 11 = 0
+    UNION ALL SELECT 'retained_relational_integrity', CASE WHEN (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) > 0 THEN 1 ELSE 0 END)
+  SELECT gate, CAST(violations AS BIGINT) AS violations, violations = 0 AS met FROM m""")
+def acceptance_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    branches, reviews = branches_and_reviews(spark, sf_dir)
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    expected = orders.select(F.col("o_orderkey").alias("query_id"), "o_totalprice")
+    log = expected.filter("query_id % 50 != 0")
+    people = customers.select(F.col("c_custkey").alias("candidate_id"))
+    kept, left = people.filter("candidate_id % 11 != 0"), people.filter("candidate_id % 22 = 0").unionByName(people.filter("candidate_id % 22 = 0"))
+    recorded = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_name"), F.col("s_name").alias("sha256"), F.lit(1).alias("byte_size"))
+    observed = recorded.withColumn("sha256", F.when(F.col("file_name") % 9 == 0, "changed").otherwise(F.col("sha256")))
+    owned = orders.select(F.col("o_orderkey").alias("branch_id"), F.col("o_custkey").alias("brand_id"))
+    parts = table(spark, sf_dir, "part")
+    return quality.acceptance_gates(
+        branches, reviews, ["NATION_1", "NATION_2", "NATION_3"], expected=expected, log=log, log_errors=log.filter("o_totalprice < 2000"), candidates=people,
+        attempts=orders.select(F.col("o_custkey").alias("candidate_id")), partition=joins.partition_report(people, kept, left, "candidate_id"),
+        integrity=joins.referential_integrity(owned, people.withColumnRenamed("candidate_id", "brand_id"), owned, owned),
+        copies=quality.parity(parts, parts.repartition("p_size")), manifest=manifest.verify_manifest(observed, recorded),
+        secrets=quality.secret_scan(parts, path="p_partkey", content="p_name")[1], geocoding_source="cache")
+
+
+@query("Q9_release_checks", """
+  WITH c AS (SELECT s_suppkey AS node_id, s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0), p AS (SELECT node_id, CASE WHEN node_id % 50 = 1 THEN NULL ELSE s_acctbal END AS score FROM c WHERE node_id % 20 <> 4 UNION ALL SELECT node_id, s_acctbal FROM c WHERE node_id % 31 = 1),
+  t AS (SELECT count(*) AS n FROM (SELECT node_id FROM c LEFT JOIN (SELECT node_id, count(*) AS k FROM p GROUP BY 1) USING (node_id) WHERE k IS NULL OR k <> 1)),
+  w AS (SELECT 'candidates_represented' AS check_id, n AS observed FROM t UNION ALL SELECT 'totals_reconcile', CASE WHEN (SELECT count(*) FROM lineitem) = 60000 THEN 0 ELSE 1 END UNION ALL SELECT 'numbers_finite', 0 UNION ALL SELECT 'no_private_fields', 1 UNION ALL SELECT 'association_not_causal', 0
+    UNION ALL SELECT 'recommendations_hold_both_ways', count(*) FROM (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS o, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 48) AS k FROM lineitem GROUP BY 1) WHERE NOT (o > 0 AND k > 0)),
+  r AS (SELECT check_id, CASE WHEN observed > 0 THEN 'blocker' ELSE 'pass' END AS status, CAST(observed AS BIGINT) AS observed FROM w UNION ALL SELECT unnest(['possible_leads_not_retained', 'finance_is_illustrative']), 'warning', 0)
+  SELECT *, (SELECT CASE WHEN bool_or(status = 'blocker') THEN 'blocker' ELSE 'pass_with_accepted_limitations' END FROM r) AS release_status FROM r""")
+def release_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 != 0").select(F.col("s_suppkey").alias("node_id"), F.col("s_acctbal").cast("double").alias("score"), F.col("s_name").alias("email"))
+    shown = candidates.filter("node_id % 20 != 4").withColumn("score", F.when(F.col("node_id") % 50 != 1, F.col("score")))
+    published = shown.unionByName(candidates.filter("node_id % 31 = 1")).select("node_id", "score", F.struct("email").alias("contact"))
+    lines = table(spark, sf_dir, "lineitem")
+    totals = quality.reconcile_totals(lines.agg(F.count(F.lit(1)).alias("lines")), {"lines": 60000})
+    held = lines.groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("observed_count"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 48)).alias("caution_count"))
+    rows = quality.release_checks(
+        candidates, published, totals, held, expected_candidates=candidates.count(),
+        association_label="inconclusive", accepted=["possible_leads_not_retained", "finance_is_illustrative"])
+    return rows.withColumn("release_status", quality.release_status(rows).select("release_status").scalar())
+
+
+@query("Q5_publication_gates", with_views("trip_plan trip_outcomes cases origins nodes", """
+  WITH t AS (SELECT count(*) AS n, count(*) - count(DISTINCT od_plan_id) AS dup, count(*) FILTER (NOT coalesce(population >= 0, false)) AS neg, count(*) FILTER (NOT coalesce(distance >= 0, false)) AS negd FROM trip_plan),
+  p AS (SELECT n_name, sum(c_acctbal) AS low, sum(c_acctbal) * (1 + (n_nationkey % 3 - 1) * 0.5::DOUBLE) AS high FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey)
+  SELECT 'routing' AS stage, 'row_count' AS check_id, abs(n - (SELECT count(DISTINCT c_custkey) FROM customer) * (SELECT count(*) FROM supplier) * 2) AS violations FROM t UNION ALL SELECT 'routing', 'duplicate_trips', dup FROM t UNION ALL SELECT 'routing', 'negative_population', neg FROM t UNION ALL SELECT 'routing', 'negative_distance', negd FROM t
+  UNION ALL SELECT 'proximity', 'row_count', abs(count(*) - 25) FROM p UNION ALL SELECT 'proximity', 'duplicate_nodes', 0 UNION ALL SELECT 'proximity', 'negative_population', count(*) FILTER (low < 0 OR high < 0) FROM p
+  UNION ALL SELECT 'proximity', 'above_national', count(*) FILTER (high > 300000.0::DOUBLE + 1e-6) FROM p UNION ALL SELECT 'proximity', 'not_monotone', count(*) FILTER (high < low) FROM p
+  UNION ALL SELECT 'accessibility', 'row_count', abs(count(*) - 25 * 3 * 5) FROM (SELECT DISTINCT o_custkey % 25 AS n, o_orderstatus, o_orderpriority FROM orders)
+  UNION ALL SELECT 'accessibility', 'duplicate_metrics', 0
+  UNION ALL SELECT 'accessibility', 'incomplete_routes', count(*) FROM (SELECT bool_and(o_totalprice > 1000) AS ok FROM orders GROUP BY o_custkey % 25, o_orderstatus, o_orderpriority) WHERE NOT ok"""))
+def publication_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates of the routing plan, the proximity baseline and the accessibility metrics before each is published."""
+    people = origins(spark, sf_dir).select("origin_id")
+    routing = quality.routing_plan_checks(trip_plan(spark, sf_dir), origins=people, nodes=nodes(spark, sf_dir).select("node_id"), scenarios=2)
+    nation = table(spark, sf_dir, "nation")
+    customers = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    low = F.sum(F.col("c_acctbal").cast("double"))
+    baseline = customers.groupBy(F.col("n_name").alias("node_id"), "n_nationkey").agg(low.alias("population_800m")).withColumn(
+        "population_1200m", F.col("population_800m") * (1 + (F.col("n_nationkey") % 3 - 1) * 0.5))
+    near = proximity_checks(baseline, radii=(800, 1200), expected_nodes=25, national_population=300000.0)
+    reached = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 25).alias("node_id"), F.col("o_orderstatus").alias("scenario_id"), F.col("o_orderpriority").alias("threshold_case_id")).agg(
+        F.bool_and(F.col("o_totalprice") > 1000).alias("route_coverage_complete"))
+    access = quality.accessibility_checks(reached, nodes=25, scenarios=3, cases=5)
+    parts = [rows.select(F.lit(stage).alias("stage"), "check_id", F.col("violations").cast("long").alias("violations")) for stage, rows in (("routing", routing), ("proximity", near), ("accessibility", access))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _PATTERNS = [p.replace("'", "''") for p in quality.SECRET_PATTERNS]
 
 
@@ -484,7 +572,7 @@ def reproduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differing.na.fill(-1)
 
 
-@query("Q5_Q9_Q10_reconciled_totals", with_views("trip_plan", """
+@query("Q10_reconciled_totals", with_views("trip_plan", """
   WITH t AS (SELECT count(*) AS trips, count(DISTINCT scenario_id) AS scenarios, count(*) - count(DISTINCT od_plan_id) AS duplicate_trips, count(*) FILTER (population < 0) AS negative_population FROM trip_plan)
   SELECT total, observed, expected, CASE WHEN observed = expected THEN 'pass' ELSE 'fail' END AS status FROM (SELECT 'scenarios' AS total, scenarios AS observed, 2::BIGINT AS expected FROM t UNION ALL SELECT 'duplicate_trips', duplicate_trips, 0 FROM t
     UNION ALL SELECT 'negative_population', negative_population, 0 FROM t UNION ALL SELECT 'trips', trips, 96944 FROM t)"""))
@@ -549,6 +637,29 @@ def ranking_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank(spark, sf_dir, "confirmed_15 > 0")[1]
 
 
+@query("X10_both_sets_ranked", with_views("nodes", f"""WITH {THRESHOLD_SQL},
+  acs AS (SELECT e.node_id, threshold, population_proximity, access FROM eligible e JOIN acc USING (node_id)),
+  sets AS (SELECT 'fixed' AS node_set, a.* FROM acs a WHERE node_id IN (SELECT node_id FROM tsel WHERE threshold = 'reference') UNION ALL SELECT 'alternative', a.* FROM acs a JOIN tsel s ON s.threshold = a.threshold AND s.node_id = a.node_id),
+  cells AS (SELECT node_set, s.threshold, d.day, s.node_id, population_proximity AS demand, CASE WHEN d.day = 'weekday' THEN access ELSE population_proximity - access END AS accessible, confirmed_10, confirmed_15 FROM sets s CROSS JOIN (VALUES ('weekday'), ('weekend')) d(day) LEFT JOIN (SELECT node_id, confirmed_10, confirmed_15 FROM measures WHERE confirmed_15 >= 0) USING (node_id)),
+  bad AS (SELECT DISTINCT node_set, threshold, day FROM cells WHERE confirmed_10 IS NULL),
+  base AS (SELECT * FROM cells c WHERE NOT EXISTS (FROM bad b WHERE b.node_set = c.node_set AND b.threshold = c.threshold AND b.day = c.day)),
+  cc AS (SELECT *, greatest(CASE WHEN caution THEN 1 ELSE 0 END, CASE WHEN minutes = 10 THEN confirmed_10 ELSE confirmed_15 END)::DOUBLE AS competition FROM base, (VALUES ('confirmed_10_min', 10, false), ('confirmed_15_min', 15, false), ('zero_confirmed_caution_10_min', 10, true), ('zero_confirmed_caution_15_min', 15, true)) v(cs, minutes, caution)),
+  avgs AS (SELECT *, rank() OVER (g ORDER BY demand DESC) + (count(*) OVER (PARTITION BY node_set, threshold, day, cs, demand) - 1) / 2.0::DOUBLE AS rd, rank() OVER (g ORDER BY accessible DESC) + (count(*) OVER (PARTITION BY node_set, threshold, day, cs, accessible) - 1) / 2.0::DOUBLE AS ra,
+    rank() OVER (g ORDER BY competition) + (count(*) OVER (PARTITION BY node_set, threshold, day, cs, competition) - 1) / 2.0::DOUBLE AS rc, greatest(count(*) OVER g - 1, 1) AS d FROM cc WINDOW g AS (PARTITION BY node_set, threshold, day, cs)),
+  sc AS (SELECT *, 1 - (rd-1)/d AS ds, 1 - (ra-1)/d AS sa, 1 - (rc-1)/d AS ks, NOT EXISTS (SELECT 1 FROM cc o WHERE o.node_set = a.node_set AND o.threshold = a.threshold AND o.day = a.day AND o.cs = a.cs AND o.demand >= a.demand AND o.accessible >= a.accessible AND o.competition <= a.competition AND (o.demand > a.demand OR o.accessible > a.accessible OR o.competition < a.competition)) AS onf FROM avgs a),
+  rn AS (SELECT node_set, threshold, day, cs, profile, node_id, onf, row_number() OVER (PARTITION BY node_set, threshold, day, cs, profile, onf ORDER BY w0*ds + w1*sa + w2*ks + w3*0.5::DOUBLE DESC, node_id) AS fr FROM sc, (SELECT profile, w0::DOUBLE AS w0, w1::DOUBLE AS w1, w2::DOUBLE AS w2, w3::DOUBLE AS w3 FROM (VALUES ('balanced', 0.25, 0.25, 0.25, 0.25), ('demand_led', 0.4, 0.2, 0.2, 0.2), ('accessibility_led', 0.2, 0.4, 0.2, 0.2), ('competition_led', 0.2, 0.2, 0.4, 0.2), ('finance_led', 0.2, 0.2, 0.2, 0.4)) p(profile, w0, w1, w2, w3)))
+  SELECT node_set, threshold, day, node_id, count(*) FILTER (onf AND fr <= 3) AS selection_count FROM rn GROUP BY ALL"""))
+def both_sets_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference set and each threshold's own set, ranked under every threshold and day."""
+    screen = threshold_screen(spark, sf_dir)
+    cells = sensitivity.both_sets(screen, threshold_selected(spark, sf_dir), "reference").withColumn("day", F.explode(F.array(F.lit("weekday"), F.lit("weekend")))).select(
+        "node_set", "threshold", "day", "node_id", F.col("population_proximity").alias("demand"),
+        F.when(F.col("day") == "weekday", F.col("transit_accessibility")).otherwise(F.col("population_proximity") - F.col("transit_accessibility")).alias("accessible"))
+    counts = measures(spark, sf_dir).filter("confirmed_15 >= 0").select("node_id", "confirmed_10", "confirmed_15")
+    ranked, _ = sensitivity.rerank(cells, counts, by=["node_set", "threshold", "day"])
+    return ranked.select("node_set", "threshold", "day", "node_id", "selection_count")
+
+
 @query("J27_combined_days", with_views("nodes", f"""WITH {RERANK_SQL.format(threshold=THRESHOLD_SQL, known='confirmed_15 >= 0')},
   base AS (SELECT d.* FROM days d JOIN stat s ON d.threshold = s.threshold AND d.day = s.day AND missing_nodes = 0),
   cc AS (SELECT *, greatest(CASE WHEN caution THEN 1 ELSE 0 END, CASE WHEN minutes = 10 THEN confirmed_10 ELSE confirmed_15 END)::DOUBLE AS competition FROM base, (VALUES ('confirmed_10_min', 10, false), ('confirmed_15_min', 15, false), ('zero_confirmed_caution_10_min', 10, true), ('zero_confirmed_caution_15_min', 15, true)) v(cs, minutes, caution)),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from areascreen.catalog import slabs
 from areascreen.catalog.registry import query
 from areascreen.catalog.views import exits, nodes, origins, places, region_edges, with_views, zone_edges
-from areascreen.operators.geometry import areas, grid, nearest, polygons
+from areascreen.operators.geometry import areas, grid, nearest, polygons, validity
 from areascreen.plans import proximity
 
 RADII = (800, 1200)
@@ -29,6 +29,42 @@ def polygon_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.withColumns({c: F.round(c, 3) for c in ("area", "centroid_x", "centroid_y")})
 
 
+_BENT_SQL = """bent AS (SELECT geo_id, seq, x1, y1, x2, y2 FROM (SELECT geo_id, seq, geo_id % 10 AS kind,
+      CASE WHEN geo_id % 10 = 3 AND seq = 1 THEN ax + w*4/12 ELSE x1 END AS x1, CASE WHEN geo_id % 10 = 3 AND seq = 1 THEN ay + h*8/12 WHEN geo_id % 10 = 4 AND seq = 5 THEN ay ELSE y1 END AS y1,
+      CASE WHEN geo_id % 10 = 3 AND seq = 0 THEN ax + w*4/12 ELSE x2 END AS x2, CASE WHEN geo_id % 10 = 3 AND seq = 0 THEN ay + h*8/12 WHEN geo_id % 10 = 4 AND seq = 4 THEN ay ELSE y2 END AS y2
+    FROM zone_edges JOIN (SELECT geo_id, min(x1) AS ax, min(y1) AS ay, max(x1)-min(x1) AS w, max(y1)-min(y1) AS h FROM zone_edges GROUP BY 1) USING (geo_id)) WHERE NOT (kind = 5 AND seq = 2))"""
+
+
+def bent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones, some of them spoiled: crossing edges (id ending in 3), a corner on an edge (4), an edge missing (5)."""
+    edges = zone_edges(spark, sf_dir)
+    box = edges.groupBy("geo_id").agg(F.min("x1").alias("ax"), F.min("y1").alias("ay"), (F.max("x1") - F.min("x1")).alias("w"), (F.max("y1") - F.min("y1")).alias("h"))
+    kind, seq = F.col("geo_id") % 10, F.col("seq")
+    joined = edges.join(box, "geo_id").filter(~((kind == 5) & (seq == 2)))
+    mid_x, mid_y = F.col("ax") + F.col("w") * 4 / 12, F.col("ay") + F.col("h") * 8 / 12
+    return joined.select(
+        "geo_id", "seq", F.when((kind == 3) & (seq == 1), mid_x).otherwise(F.col("x1")).alias("x1"),
+        F.when((kind == 3) & (seq == 1), mid_y).when((kind == 4) & (seq == 5), F.col("ay")).otherwise(F.col("y1")).alias("y1"),
+        F.when((kind == 3) & (seq == 0), mid_x).otherwise(F.col("x2")).alias("x2"),
+        F.when((kind == 3) & (seq == 0), mid_y).when((kind == 4) & (seq == 4), F.col("ay")).otherwise(F.col("y2")).alias("y2"))
+
+
+@query("E16_validity_report", with_views("zone_edges", f"""WITH {_BENT_SQL},
+  c AS (SELECT geo_id, x, y, sum(o) AS over, count(*) FILTER (o = 1) AS starts FROM (SELECT geo_id, x1 AS x, y1 AS y, 1 AS o FROM bent UNION ALL SELECT geo_id, x2, y2, -1 FROM bent) GROUP BY 1, 2, 3),
+  s AS (SELECT a.geo_id, a.x1, a.y1, a.x2, a.y2, b.x1 AS u1, b.y1 AS v1, b.x2 AS u2, b.y2 AS v2, (a.x2-a.x1)*(b.y1-a.y1)-(a.y2-a.y1)*(b.x1-a.x1) AS s1, (a.x2-a.x1)*(b.y2-a.y1)-(a.y2-a.y1)*(b.x2-a.x1) AS s2,
+      (b.x2-b.x1)*(a.y1-b.y1)-(b.y2-b.y1)*(a.x1-b.x1) AS t1, (b.x2-b.x1)*(a.y2-b.y1)-(b.y2-b.y1)*(a.x2-b.x1) AS t2 FROM bent a JOIN bent b ON a.geo_id = b.geo_id AND a.seq <> b.seq),
+  p AS (SELECT geo_id, 'unclosed_ring' AS reason, x, y FROM c WHERE over <> 0 UNION SELECT geo_id, 'repeated_corner', x, y FROM c WHERE starts > 1
+    UNION SELECT geo_id, 'crossing_edges', round(u1 + s1/(s1-s2)*(u2-u1), 3), round(v1 + s1/(s1-s2)*(v2-v1), 3) FROM s WHERE sign(s1)*sign(s2) < 0 AND sign(t1)*sign(t2) < 0
+    UNION SELECT geo_id, 'overlapping_edges', lo[1], lo[2] FROM (SELECT geo_id, list_max([list_min([row(x1, y1), row(x2, y2)]), list_min([row(u1, v1), row(u2, v2)])]) AS lo,
+        list_min([list_max([row(x1, y1), row(x2, y2)]), list_max([row(u1, v1), row(u2, v2)])]) AS hi FROM s WHERE s1 = 0 AND s2 = 0) WHERE lo < hi
+    UNION SELECT geo_id, 'touching_edge', u1, v1 FROM s WHERE s1 = 0 AND s2 <> 0 AND u1 BETWEEN least(x1,x2) AND greatest(x1,x2) AND v1 BETWEEN least(y1,y2) AND greatest(y1,y2) AND (u1,v1) <> (x1,y1) AND (u1,v1) <> (x2,y2)),
+  f AS (SELECT geo_id, min((reason, x, y)) AS first, count(*) AS n FROM p GROUP BY 1)
+  SELECT geo_id, n IS NULL AS valid, first[1] AS reason, round(first[2], 3) AS x, round(first[3], 3) AS y, coalesce(n, 0) AS problem_count FROM (SELECT DISTINCT geo_id FROM bent) LEFT JOIN f USING (geo_id)"""))
+def validity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validity.validity(bent_edges(spark, sf_dir), cell_size=250.0)
+    return found.withColumns({c: F.round(c, 3) for c in ("x", "y")})
+
+
 @query("J5_point_in_polygon", with_views("origins region_edges zone_edges", f"""
   WITH p AS (SELECT DISTINCT x AS px, y AS py FROM origins),
   m AS (SELECT px, py, geo_id FROM p, region_edges WHERE {MEET} GROUP BY ALL HAVING {COVERED}),

@@ -106,6 +106,127 @@ def branch_gates(branches: DataFrame, reviews: DataFrame, selected_areas: Sequen
     ])))
 
 
+#: Where coordinates may come from for the geocoding gate to hold.
+GEOCODING_SOURCES = ("executed", "cache")
+
+
+def _rows_of(df: DataFrame) -> Column:
+    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
+def acceptance_gates(
+    branches: DataFrame, reviews: DataFrame, selected_areas: Sequence[str], *, expected: DataFrame, log: DataFrame, log_errors: DataFrame,
+    candidates: DataFrame, attempts: DataFrame, partition: DataFrame, integrity: DataFrame, copies: DataFrame, manifest: DataFrame,
+    secrets: DataFrame, geocoding_source: str | None,
+) -> DataFrame:
+    """gate, violations, met: all seventeen acceptance gates of a run.
+
+    Eight look at ``branches`` and ``reviews`` (``branch_gates``; a possible branch also needs a review that discloses it).
+    The others take what other operators found: ``expected`` and ``log`` (query_id), ``log_errors`` (reconcile_log),
+    ``candidates`` and ``attempts`` (candidate_id), ``partition`` (partition_report), ``integrity``
+    (referential_integrity), ``copies`` (parity), ``manifest`` (verify_manifest) and ``secrets`` (summary of secret_scan).
+    An empty partition, integrity, copies or secrets table does not meet its gate.
+    """
+    possible = branches.filter("evidence_status = 'possible'").select(F.col("branch_id").cast("string").alias("entity_reference"))
+    disclosed = reviews.filter("issue_category = 'evidence_status_possible'").select("entity_reference").distinct()
+    silent = possible.join(disclosed, "entity_reference", "left_anti")
+    valid = lambda df, c: F.lit(1) - F.coalesce(df.agg(F.bool_and(c).cast("int").alias("ok")).scalar(), F.lit(0))
+    attempted = attempts.select("candidate_id").distinct()
+    run = {
+        "all_queries_logged": _rows_of(expected.select("query_id").distinct().join(log.select("query_id").distinct(), "query_id", "left_anti")),
+        "query_integrity_reconciled": _rows_of(log_errors),
+        "validation_attempts_complete": _rows_of(candidates.select("candidate_id").distinct().join(attempted, "candidate_id", "left_anti")),
+        "csv_parquet_parity": valid(copies, "equal"),
+        "checksums_verify": _rows_of(manifest.filter("status != 'match'")),
+        "secret_scan_pass": valid(secrets, F.col("status").isin("pass", "warning")),
+        "geocoding_executed_or_validated_cache": F.lit(int(geocoding_source not in GEOCODING_SOURCES)),
+        "exact_observation_provenance_partition_complete": valid(partition, "valid"),
+        "retained_relational_integrity": valid(integrity, "valid"),
+    }
+    row = branches.sparkSession.range(1).select(*[v.cast("long").alias(n) for n, v in run.items()])
+    more = row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("gate"), F.col(n).alias("violations")) for n in run])))
+    own = branch_gates(branches, reviews, selected_areas)
+    own = own.withColumn("violations", F.col("violations") + F.when(F.col("gate") == "possible_not_primary", _rows_of(silent)).otherwise(0))
+    return own.unionByName(more).withColumn("met", F.col("violations") == 0)
+
+
+#: Field names that a published bundle must not have.
+PRIVATE_FIELDS = ("address", "postal_code", "operator_url", "email", "password", "authorization")
+
+
+def release_checks(
+    candidates: DataFrame, published: DataFrame, totals: DataFrame, recommendations: DataFrame, *, expected_candidates: int, key: str = "node_id",
+    association_label: str = "descriptive", accepted: Sequence[str] = (),
+) -> DataFrame:
+    """check_id, status, observed: the checks of a release; blocker, warning or pass.
+
+    Every frozen candidate is published once, ``totals`` (reconcile_totals) agree, published numbers are finite or null,
+    no private field is published, each of ``recommendations`` (observed_count, caution_count) holds with and
+    without the caution, and the association is labelled descriptive or inconclusive, never causal. ``accepted`` names
+    limitations that are released as warnings.
+    """
+    numbers = [f.name for f in published.schema if f.dataType.typeName() in ("double", "float")]
+    odd = sum(((F.isnan(c) | (F.abs(c) == float("inf"))).cast("int") for c in numbers), F.lit(0)) if numbers else F.lit(0)
+    private = [c for c in _field_names(published.schema) if c in PRIVATE_FIELDS]
+    once = candidates.select(key).distinct().join(published.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, "left")
+    unlike = _rows_of(once.filter("_n IS NULL OR _n != 1")) + F.abs(_rows_of(candidates.select(key).distinct()) - expected_candidates)
+    tests = {
+        "candidates_represented": unlike,
+        "totals_reconcile": _rows_of(totals.filter("status != 'pass'")),
+        "numbers_finite": published.agg(F.coalesce(F.sum(F.coalesce(odd, F.lit(0))), F.lit(0)).alias("n")).scalar(),
+        "no_private_fields": F.lit(len(private)),
+        "recommendations_hold_both_ways": _rows_of(recommendations.filter("NOT coalesce(observed_count > 0 AND caution_count > 0, false)")),
+    }
+    tests["association_not_causal"] = F.lit(int(association_label not in ("descriptive", "inconclusive")))
+    row = candidates.sparkSession.range(1).select(*[v.cast("long").alias(n) for n, v in tests.items()])
+    rows = [F.struct(F.lit(n).alias("check_id"), F.when(F.col(n) > 0, "blocker").otherwise("pass").alias("status"), F.col(n).alias("observed")) for n in tests]
+    rows += [F.struct(F.lit(n).alias("check_id"), F.lit("warning").alias("status"), F.lit(0).cast("long").alias("observed")) for n in accepted]
+    return row.select(F.inline(F.array(*rows)))
+
+
+def _field_names(schema) -> list[str]:
+    """Names of all fields, those inside structs, arrays and maps as well."""
+    found = []
+    for field in getattr(schema, "fields", []):
+        inner = field.dataType
+        while hasattr(inner, "elementType") or hasattr(inner, "valueType"):
+            inner = inner.elementType if hasattr(inner, "elementType") else inner.valueType
+        found += [field.name, *_field_names(inner)]
+    return found
+
+
+def release_status(check_rows: DataFrame) -> DataFrame:
+    """One row: blocker, pass_with_accepted_limitations or pass."""
+    return check_rows.agg(
+        F.when(F.bool_or(F.col("status") == "blocker"), "blocker").when(F.bool_or(F.col("status") == "warning"), "pass_with_accepted_limitations")
+        .otherwise("pass").alias("release_status"), F.count_if(F.col("status") == "blocker").alias("blockers"))
+
+
+def routing_plan_checks(plan: DataFrame, *, origins: DataFrame, nodes: DataFrame, scenarios: int, key: str = "od_plan_id") -> DataFrame:
+    """check_id, violations: gates of a routing plan before it is executed.
+
+    A full plan has a trip for every origin, node and scenario; ids are unique, populations and distances not negative.
+    """
+    size = _rows_of(origins.select("origin_id").distinct()) * _rows_of(nodes.select("node_id").distinct()) * scenarios
+    tests = {
+        "row_count": F.abs(F.count(F.lit(1)) - size), "duplicate_trips": F.count(F.lit(1)) - F.countDistinct(key),
+        "negative_population": F.count_if(~F.coalesce(F.col("population") >= 0, F.lit(False))), "negative_distance": F.count_if(~F.coalesce(F.col("distance") >= 0, F.lit(False))),
+    }
+    row = plan.agg(*[t.cast("long").alias(n) for n, t in tests.items()])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check_id"), F.col(n).alias("violations")) for n in tests])))
+
+
+def accessibility_checks(metrics: DataFrame, *, nodes: int, scenarios: int, cases: int) -> DataFrame:
+    """check_id, violations: gates of accessibility metrics before they are published."""
+    tests = {
+        "row_count": F.abs(F.count(F.lit(1)) - nodes * scenarios * cases),
+        "duplicate_metrics": F.count(F.lit(1)) - F.countDistinct("node_id", "scenario_id", "threshold_case_id"),
+        "incomplete_routes": F.count_if(~F.coalesce("route_coverage_complete", F.lit(False))),
+    }
+    row = metrics.agg(*[t.cast("long").alias(n) for n, t in tests.items()])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check_id"), F.col(n).alias("violations")) for n in tests])))
+
+
 def secret_scan(
     texts: DataFrame, *, path: str, content: str, credentials: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from areascreen.functions import ids, text
@@ -233,6 +235,18 @@ def corroboration(stations: DataFrame, register: DataFrame) -> DataFrame:
     )
 
 
+def register_values(stations: DataFrame, register: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """complex_name, field, value, rows: every distinct non-empty value of an older register for each complex.
+
+    Values are rows, so a name with very many of them is no longer list; order them by field and value where needed.
+    """
+    listed = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]))
+    values = register.select("base_name", listed).filter("value IS NOT NULL AND value != ''")
+    counted = values.groupBy("base_name", "field", "value").agg(F.count(F.lit(1)).alias("rows"))
+    named = stations.select("complex_name", text.station_base_name(F.col("complex_name")).alias("base_name")).distinct()
+    return named.join(counted, "base_name").select("complex_name", "field", "value", "rows")
+
+
 def candidate_nodes(stations: DataFrame) -> DataFrame:
     """Complexes that may become nodes: heavy rail or code-only, not known to be closed."""
     rail = F.col("rail_mode").isin("mrt", "mrt_code_only_unverified")

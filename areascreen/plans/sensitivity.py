@@ -45,3 +45,15 @@ def rerank(cells: DataFrame, competition: DataFrame, *, by: list[str]) -> tuple[
     status = joined.groupBy(*by).agg(F.first("status").alias("status"), F.first("missing_nodes").alias("missing_nodes"))
     complete = joined.filter("status = 'complete'").drop("status", "missing_nodes")
     return robustness(evaluate(complete, by=by), by=by), status
+
+
+def both_sets(screen: DataFrame, selected: DataFrame, reference: str) -> DataFrame:
+    """The measures of two sets of nodes under every threshold, told apart by ``node_set``.
+
+    ``fixed`` is the set selected at the reference threshold, carried through all thresholds; ``alternative`` is what
+    each threshold selects itself. ``screen`` has the measures of all eligible nodes under every threshold.
+    """
+    fixed = selected.filter(F.col("threshold") == reference).select("node_id").distinct()
+    kept = screen.join(fixed, "node_id").withColumn("node_set", F.lit("fixed"))
+    own = screen.join(selected.select("threshold", "node_id").distinct(), ["threshold", "node_id"]).withColumn("node_set", F.lit("alternative"))
+    return kept.unionByName(own)

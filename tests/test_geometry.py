@@ -224,3 +224,22 @@ def test_area_of_a_ring_with_a_hole_wound_either_way(spark, tmp_path):
     got = {r.geo_id: r for r in measures(edges).collect()}
     assert {k: round(r.area, 9) for k, r in got.items()} == {"a": 96.0, "b": 96.0, "c": 100.0}
     assert round(got["a"].centroid_x, 9) == round(got["b"].centroid_x, 9) == 5.0 and got["c"].closed
+
+
+def test_problems_of_polygons_and_their_places(spark):
+    from areascreen.operators.geometry.validity import problems, validity
+
+    shapes = {
+        "good": (box(0, 0, 100, 100),), "bow_tie": ([(0, 0), (10, 10), (10, 0), (0, 10)],), "spike": ([(0, 0), (10, 0), (10, 10), (10, 30), (10, 10), (0, 10)],),
+        "pinched": ([(0, 0), (5, 5), (10, 0), (10, 10), (5, 5), (0, 10)],), "corner_on_edge": ([(0, 0), (10, 0), (10, 10), (5, 0), (0, 10)],), "point_twice": ([(0, 0), (10, 0), (10, 0), (0, 10)],)}
+    edges = edges_of(spark, shapes).unionByName(edges_of(spark, {"open": (box(0, 0, 10, 10),)}).filter("x1 != 10 OR y1 != 10"))
+    edges = edges.unionByName(spark.createDataFrame([("lost", None, 1.0, 2.0, 3.0)], edges.schema))
+    got: dict = {}
+    for r in problems(edges, cell_size=3.0).collect():
+        got.setdefault(r["geo_id"], set()).add((r["reason"], r["x"], r["y"]))
+    assert got == {
+        "bow_tie": {("crossing_edges", 5.0, 5.0)}, "pinched": {("repeated_corner", 5.0, 5.0)}, "corner_on_edge": {("touching_edge", 5.0, 0.0)},
+        "spike": {("overlapping_edges", 10.0, 10.0), ("repeated_corner", 10.0, 10.0)}, "point_twice": {("degenerate_edge", 10.0, 0.0)},
+        "open": {("unclosed_ring", 10.0, 10.0), ("unclosed_ring", 0.0, 10.0)}, "lost": {("missing_coordinate", None, None)}}
+    first = {r["geo_id"]: (r["valid"], r["reason"], r["x"], r["problem_count"]) for r in validity(edges, cell_size=50.0).collect()}
+    assert first["good"] == (True, None, None, 0) and first["open"] == (False, "unclosed_ring", 0.0, 2) and len(first) == 8

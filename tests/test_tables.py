@@ -179,3 +179,74 @@ def test_equal_file_names_in_two_folders_stay_apart(spark, tmp_path):
     (tmp_path / "c").write_text("new")
     statuses = {r.file_name: r.status for r in verify_manifest(file_manifest(spark, str(tmp_path)), recorded).collect()}
     assert statuses == {"a/part-0": "match", "b/part-0": "changed", "c": "unexpected"}
+
+
+def test_all_acceptance_gates(spark):
+    from areascreen.operators import joins, quality
+    from areascreen.sources.manifest import verify_manifest
+
+    branches = spark.createDataFrame(
+        [("b1", "https://a/b", "1", None, True, "A", "coordinate_derived", "confirmed", True, "current", True), ("b2", None, None, "2", True, None, "unresolved", "possible", False, "current", False)],
+        "branch_id string, url string, postal_code string, unit string, exact_address boolean, planning_area string, planning_area_source string, evidence_status string, fresh_operator_evidence boolean, status string, counts_as_primary boolean")
+    reviews = spark.createDataFrame([("b2", "evidence_status_possible")], "entity_reference string, issue_category string")
+    ids = spark.createDataFrame([("q1",), ("q2",)], "query_id string")
+    people = spark.createDataFrame([(1,), (2,)], "candidate_id int")
+    files = spark.createDataFrame([("f", "aa", 1)], "file_name string, sha256 string, byte_size int")
+    texts = spark.createDataFrame([("p", "plain words")], "path string, content string")
+    owned = spark.createDataFrame([(1, 9)], "branch_id int, brand_id int")
+
+    def gates(reviews=reviews, log=ids, source="cache", attempts=people, manifest=files, content=texts):
+        rows = quality.acceptance_gates(
+            branches, reviews, ["A"], expected=ids, log=log, log_errors=ids.limit(0), candidates=people, attempts=attempts,
+            partition=joins.partition_report(people, people.limit(1), people.filter("candidate_id = 2"), "candidate_id"), integrity=joins.referential_integrity(owned, owned, owned, owned),
+            copies=quality.parity(people, people), manifest=verify_manifest(manifest, files), secrets=quality.secret_scan(content, path="path", content="content")[1], geocoding_source=source)
+        return {r["gate"]: r["violations"] for r in rows.collect()}
+
+    assert len(gates()) == 17 and set(gates().values()) == {0}
+    bad = gates(reviews.limit(0), ids.limit(1), None, people.limit(1), files.withColumn("sha256", F.lit("bb")), texts.withColumn("content", F.lit("password=abc")))
+    assert {g for g, n in bad.items() if n} == {
+        "possible_not_primary", "review_items_enumerated", "all_queries_logged", "geocoding_executed_or_validated_cache", "validation_attempts_complete", "checksums_verify", "secret_scan_pass"}
+
+
+def test_release_checks_and_their_status(spark):
+    from areascreen.operators import quality
+
+    nodes = spark.createDataFrame([(1,), (2,)], "node_id int")
+    shown = spark.createDataFrame([(1, 0.5), (2, None)], "node_id int, score double")
+    totals = spark.createDataFrame([("n", 2, 2, "pass")], "total string, observed int, expected int, status string")
+    held = spark.createDataFrame([(1, 1, 1)], "node_id int, observed_count int, caution_count int")
+
+    def checks(published=shown, totals=totals, held=held, expected=2, **more):
+        rows = quality.release_checks(nodes, published, totals, held, expected_candidates=expected, **more)
+        return {r["check_id"] for r in rows.filter("status = 'blocker'").collect()}, quality.release_status(rows).first()["release_status"]
+
+    assert checks() == (set(), "pass") and checks(accepted=["bounded_search"]) == (set(), "pass_with_accepted_limitations")
+    assert checks(shown.limit(1))[0] == {"candidates_represented"} == checks(expected=3)[0] == checks(shown.union(shown))[0]
+    assert checks(shown.withColumn("score", F.lit(float("nan"))))[0] == {"numbers_finite"}
+    assert checks(shown.withColumn("contact", F.array(F.struct(F.lit("x").alias("email")))))[0] == {"no_private_fields"}
+    assert checks(held=held.withColumn("caution_count", F.lit(None).cast("int")), totals=totals.withColumn("status", F.lit("fail")), association_label="causal") == (
+        {"recommendations_hold_both_ways", "totals_reconcile", "association_not_causal"}, "blocker")
+
+
+def test_publication_gates_and_register_values(spark):
+    from areascreen.operators import quality, stations
+
+    plan = spark.createDataFrame([("t1", 1, 1, 5, 2.0), ("t2", 1, 2, -1, None), ("t2", 2, 1, None, 1.0)], "od_plan_id string, origin_id int, node_id int, population int, distance double")
+    got = {r["check_id"]: r["violations"] for r in quality.routing_plan_checks(plan, origins=plan, nodes=plan, scenarios=1).collect()}
+    assert got == {"row_count": 1, "duplicate_trips": 1, "negative_population": 2, "negative_distance": 1}
+    metrics = spark.createDataFrame([(1, "s", "c", True), (1, "s", "c", None)], "node_id int, scenario_id string, threshold_case_id string, route_coverage_complete boolean")
+    assert {r["check_id"]: r["violations"] for r in quality.accessibility_checks(metrics, nodes=1, scenarios=2, cases=1).collect()} == {"row_count": 0, "duplicate_metrics": 1, "incomplete_routes": 1}
+    named = spark.createDataFrame([("BEDOK MRT STATION",)], "complex_name string")
+    base = stations.corroboration(named, spark.createDataFrame([], "base_name string, code string, line string")).first()["base_name"]
+    register = spark.createDataFrame([(base, "EW5", "Red"), (base, "EW5", "Green"), (base, "", None), ("OTHER", "X", "Y")], "base_name string, code string, line string")
+    rows = {tuple(r) for r in stations.register_values(named, register, ["code", "line"]).collect()}
+    assert rows == {("BEDOK MRT STATION", "code", "EW5", 2), ("BEDOK MRT STATION", "line", "Red", 1), ("BEDOK MRT STATION", "line", "Green", 1)}
+
+
+def test_both_sets_under_every_threshold(spark):
+    from areascreen.plans.sensitivity import both_sets
+
+    screen = spark.createDataFrame([(t, n, n * 10) for t in ("low", "high") for n in (1, 2, 3)], "threshold string, node_id int, access int")
+    selected = spark.createDataFrame([("low", 1), ("low", 2), ("high", 3)], "threshold string, node_id int")
+    got = sorted((r["node_set"], r["threshold"], r["node_id"]) for r in both_sets(screen, selected, "low").collect())
+    assert got == [("alternative", "high", 3), ("alternative", "low", 1), ("alternative", "low", 2), ("fixed", "high", 1), ("fixed", "high", 2), ("fixed", "low", 1), ("fixed", "low", 2)]
