@@ -57,7 +57,8 @@ def bent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION SELECT geo_id, 'crossing_edges', round(u1 + s1/(s1-s2)*(u2-u1), 3), round(v1 + s1/(s1-s2)*(v2-v1), 3) FROM s WHERE sign(s1)*sign(s2) < 0 AND sign(t1)*sign(t2) < 0
     UNION SELECT geo_id, 'overlapping_edges', lo[1], lo[2] FROM (SELECT geo_id, list_max([list_min([row(x1, y1), row(x2, y2)]), list_min([row(u1, v1), row(u2, v2)])]) AS lo,
         list_min([list_max([row(x1, y1), row(x2, y2)]), list_max([row(u1, v1), row(u2, v2)])]) AS hi FROM s WHERE s1 = 0 AND s2 = 0) WHERE lo < hi
-    UNION SELECT geo_id, 'touching_edge', u1, v1 FROM s WHERE s1 = 0 AND s2 <> 0 AND u1 BETWEEN least(x1,x2) AND greatest(x1,x2) AND v1 BETWEEN least(y1,y2) AND greatest(y1,y2) AND (u1,v1) <> (x1,y1) AND (u1,v1) <> (x2,y2)),
+    UNION SELECT geo_id, 'touching_edge', u1, v1 FROM s WHERE s1 = 0 AND s2 <> 0 AND u1 BETWEEN least(x1,x2) AND greatest(x1,x2) AND v1 BETWEEN least(y1,y2) AND greatest(y1,y2) AND (u1,v1) <> (x1,y1) AND (u1,v1) <> (x2,y2)
+    UNION SELECT geo_id, 'touching_edge', u2, v2 FROM s WHERE s2 = 0 AND s1 <> 0 AND u2 BETWEEN least(x1,x2) AND greatest(x1,x2) AND v2 BETWEEN least(y1,y2) AND greatest(y1,y2) AND (u2,v2) <> (x1,y1) AND (u2,v2) <> (x2,y2)),
   f AS (SELECT geo_id, min((reason, x, y)) AS first, count(*) AS n FROM p GROUP BY 1)
   SELECT geo_id, n IS NULL AS valid, first[1] AS reason, round(first[2], 3) AS x, round(first[3], 3) AS y, coalesce(n, 0) AS problem_count FROM (SELECT DISTINCT geo_id FROM bent) LEFT JOIN f USING (geo_id)"""))
 def validity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
