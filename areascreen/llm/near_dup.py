@@ -108,9 +108,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5)
     found = _sets(wanted, words).join(named.select("class"), "class", "left_semi")
     sets = materialise(found.groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")))
 
+    # A class is named by the least head of its buckets; heads that share a class are linked. So components are looked
+    # for among heads alone, and a large near group has few of those, however many rows it has.
     heads = members.groupBy("key").agg(F.min("class").alias("head"))
-    near = components(members.join(heads, "key").select("class", "head").filter("class != head").distinct(), "class", "head")
-    groups = near.withColumnRenamed("node", "class").join(sets.select("class", "n"), "class").select(F.col("label").alias("grp"), "class", "n")
+    named = materialise(members.join(heads, "key").groupBy("class").agg(F.min("head").alias("node"), F.collect_set("head").alias("heads")))
+    between = named.select("node", F.explode("heads").alias("head")).filter("node != head").distinct()
+    near = named.select("class", "node").join(components(between, "node", "head"), "node", "left").select("class", F.coalesce("label", "node").alias("grp"))
+    groups = near.join(sets.select("class", "n"), "class").select("grp", "class", "n")
     labels = components(_links(groups, sets, num, den))
     smallest = classes.select("class", "smallest").join(labels.withColumnRenamed("node", "class"), "class", "left")
     smallest = smallest.select("class", "smallest", F.coalesce("label", "class").alias("label"))
@@ -126,7 +130,8 @@ def _links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     Every group compares its members with one leader, its smallest set. Members linked to it need no comparison with
     each other. The open ones meet all members of their group in blocks of bounded size, by group and block number, so
-    no task holds a group; a block returns a spanning forest of its links, never its pairs.
+    no task holds a group; a block returns a spanning forest of its links, never its pairs, and takes all members that
+    are linked to the leader as connected.
     """
     leaders = groups.groupBy("grp").agg(F.min(F.struct("n", "class")).alias("lead"))
     pairs = groups.join(leaders, "grp").filter("class != lead.class").select("grp", "class", F.col("lead.class").alias("lead"))
@@ -150,7 +155,7 @@ def _links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         found = _block_links(table, num, den)
         return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
-    more = rows.select("grp", "x", "y", "open", "class", "shingles").groupBy("grp", "x", "y").applyInArrow(compare, "a binary, b binary")
+    more = rows.select("grp", "x", "y", "open", "linked", "class", "shingles").groupBy("grp", "x", "y").applyInArrow(compare, "a binary, b binary")
     return links.unionByName(more)
 
 
@@ -162,7 +167,8 @@ def _block_links(table: pa.Table, num: int, den: int) -> list[tuple[bytes, bytes
     values, bounds = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
     sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     sizes = np.diff(bounds)
-    parent: dict[bytes, bytes] = {}
+    told = [name for name, linked in zip(names, table.column("linked").to_pylist()) if linked]  # connected through the leader
+    parent: dict[bytes, bytes] = {name: min(told) for name in told}
 
     def root(name: bytes) -> bytes:
         while parent.get(name, name) != name:
