@@ -171,8 +171,10 @@ def find(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     Places are code points, ends exclusive. Base spans are what the patterns and their checks give; spans that the
     classifier accepts are added as SECRET. Null or empty texts have no spans. Each row stands for itself, so repeated
-    rows have equal results; other columns pass through; an empty table gives no rows.
+    rows have equal results; other columns pass through, but a column called ``pii`` is replaced; an empty table gives no rows.
     """
+    taken = {c: f"_kept {n} {c}" for n, c in enumerate(docs.columns) if c == "_candidates" or c in [f"_{k}" for k in KINDS]}
+    docs = docs.withColumnsRenamed(taken)  # columns called like those used inside come back under their names
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.create_map(F.lit("share"), F.lit(0.0))
     found = _with_candidates(_with_base(docs.drop("pii")))
     odds = lambda c: F.aggregate(_features(c), F.lit(float(weights.get("share", 0.0))), lambda a, f: a + F.coalesce(F.element_at(weight, f), F.lit(0.0)))
@@ -183,7 +185,7 @@ def find(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
     arrays = [named(F.col(f"_{kind}"), n, kind) for n, kind in enumerate(KINDS)] + [named(added, len(KINDS), SECRET)]
-    return found.withColumn("pii", F.array_sort(F.concat(*arrays))).drop("_candidates", *[f"_{k}" for k in KINDS])
+    return found.withColumn("pii", F.array_sort(F.concat(*arrays))).drop("_candidates", *[f"_{k}" for k in KINDS]).withColumnsRenamed({v: k for k, v in taken.items()})
 
 
 def redact(found: DataFrame) -> DataFrame:
