@@ -25,14 +25,20 @@ def unescape(text: Column, line: bool = False) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
-def _before(lengths: Column) -> Column:
-    """Running sum of an array before each element, in linear time for long arrays."""
-    def sums(values: Column) -> Column:
-        return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+def _sums(values: Column) -> Column:
+    """Sums before each element of a short array, and the total."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    runs = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(_RUN)), lambda s: sums(F.slice(lengths, s, F.lit(_RUN))))
-    totals = sums(F.transform(runs, lambda r: F.element_at(r, -1)))
-    return F.flatten(F.transform(runs, lambda r, k: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda x: x + F.get(totals, k))))
+
+def _with_starts(rows: DataFrame) -> DataFrame:
+    """Add ``starts``: the running sum of ``lengths`` before each element, in linear time for long arrays.
+
+    Each step is a column of its own, so that it is worked out once a row and not once an element.
+    """
+    cut = F.transform(F.sequence(F.lit(1), F.size("lengths"), F.lit(_RUN)), lambda s: F.slice("lengths", s, F.lit(_RUN)))
+    rows = rows.withColumn("runs", F.transform(cut, _sums))
+    rows = rows.withColumn("totals", _sums(F.transform("runs", lambda r: F.element_at(r, -1))))
+    return rows.withColumn("starts", F.flatten(F.transform("runs", lambda r, k: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda x: x + F.get("totals", k)))))
 
 
 def format_conversations(turns: DataFrame, answering: str = "assistant") -> DataFrame:
@@ -60,7 +66,7 @@ def format_conversations(turns: DataFrame, answering: str = "assistant") -> Data
     marked = marked.withColumns({"before": before, "after": after})
     pieces = F.transform("turns", lambda t, k: F.concat(F.get("before", k), t["body"], F.get("after", k)))
     marked = marked.withColumn("pieces", pieces)
-    marked = marked.withColumn("starts", _before(F.transform("pieces", lambda p: F.length(p).cast("long"))))
+    marked = _with_starts(marked.withColumn("lengths", F.transform("pieces", lambda p: F.length(p).cast("long"))))
     spans = F.transform("turns", lambda t, k: F.struct(
         (F.get("starts", k) + F.length(F.get("before", k))).alias("start"),
         (F.get("starts", k) + F.length(F.get("before", k)) + F.length(t["body"])).alias("end"), (t["role"] == answering).alias("counts")))
