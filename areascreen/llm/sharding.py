@@ -45,11 +45,12 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
     """Move linked rows (rid, grp, shard) towards the shard that holds most of their group; no shard exceeds ``quota``
     by moves.
 
-    Each round counts rows per group and shard, picks for every group the fullest shard whose room exceeds four deviations, and lets
-    rows with fewer neighbours where they are ask to move there. A group that fits whole into that room also leaves
-    shards without such room, however many it has there; if it is in none with room, a hash picks one. Requests are ranked by the neighbours gained. A
-    histogram of the ranks, of fixed size, gives each shard the rank up to which all requests fit its room; of the first
-    rank that does not fit whole, a share of the rows moves.
+    Each round counts rows per group and shard, picks for every group the fullest shard that has room, and lets rows
+    with fewer neighbours where they are ask to move there. A group that fits whole into that room also leaves shards
+    without room, however many it has there; if it is in none with room, a hash picks one. Requests are ranked by the
+    neighbours gained. A histogram of the ranks, of fixed size, gives each shard the rank up to which all requests fit
+    its room; the requests of the first rank that does not fit whole are numbered and fill what is left exactly. So the
+    rule is the same for tables of any size.
     """
     def by_shard(values: list) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("to") + 1)
@@ -58,28 +59,28 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
         inside = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per shard
         room = [max(0, quota - inside.get(s, 0)) for s in range(shards)]
         held = linked.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("held")).withColumn("weight", F.struct("held", F.xxhash64("grp", "shard").alias("tie")))
-        open_ = [s for s in range(shards) if room[s] > 4 * quota**0.5]
+        open_ = [s for s in range(shards) if room[s]]
         if not open_:
             break
         split = held.groupBy("grp").agg(F.sum("held").alias("copies"), F.count(F.lit(1)).alias("spots")).filter("spots > 1")
         best = held.filter(F.col("shard").isin(open_)).groupBy("grp").agg(F.max_by("shard", "weight").alias("to"), F.max("weight").alias("most"))
         any_open = F.element_at(F.array(*[F.lit(s) for s in open_]), F.floor(_unit("grp", F.lit(turn)) * len(open_)).cast("int") + 1)
         best = split.join(best, "grp", "left").withColumn("to", F.coalesce("to", any_open)).withColumn("there", F.coalesce(F.col("most.held"), F.lit(0)))
-        fits = F.col("copies") - F.col("there") <= by_shard([max(0.0, r - 4 * quota**0.5) for r in room])
+        fits = F.col("copies") - F.col("there") <= by_shard(room)
         leaves = (F.col("weight") < F.col("most")) | (~F.col("shard").isin(open_) & fits)
         wanted = held.join(best, "grp").filter((F.col("shard") != F.col("to")) & leaves).select(
             "grp", "shard", "to", F.greatest(F.col("there") - F.col("held"), F.lit(0)).alias("gain"))
         rank = F.floor(PARTS / (1 + F.col("gain").cast("double")) + _unit("grp", F.lit(turn)) * 64).cast("int")
-        asked = materialise(linked.join(wanted, ["grp", "shard"]).select("rid", "to", rank.alias("rank")))
+        asked = materialise(linked.join(wanted, ["grp", "shard"]).select("rid", "grp", "to", rank.alias("rank")))
         ranks = asked.groupBy("to", "rank").agg(F.count(F.lit(1)).alias("n"))
         upto = ranks.withColumn("upto", F.sum("n").over(W.partitionBy("to").orderBy("rank"))).withColumn("room", by_shard(room))
         left = F.col("room") - F.col("upto") + F.col("n")
-        share = F.greatest(F.lit(0.0), left - 3 * F.sqrt(left)) / F.col("n")  # three deviations below the room, so it holds
-        cut = upto.filter("upto > room").groupBy("to").agg(F.min_by(F.struct("rank", share.alias("share")), "rank").alias("cut"))
+        cut = upto.filter("upto > room").groupBy("to").agg(F.min_by(F.struct("rank", left.alias("left")), "rank").alias("cut"))
         fits = {r["to"]: r["cut"] for r in cut.collect()}  # at most one row per shard
         limit = by_shard([fits[s]["rank"] if s in fits else 2 * PARTS for s in range(shards)])
-        part = by_shard([float(fits[s]["share"]) if s in fits else 1.0 for s in range(shards)])
-        moves = asked.filter((F.col("rank") < limit) | ((F.col("rank") == limit) & (_unit("rid", F.lit(turn)) < part))).select("rid", F.col("to").alias("moved"))
+        rest = by_shard([fits[s]["left"] if s in fits else 0 for s in range(shards)])
+        some = _numbered(asked.filter(F.col("rank") == limit), ["to"], _near("grp"), "place").filter(F.col("place") < rest)
+        moves = asked.filter(F.col("rank") < limit).select("rid", F.col("to").alias("moved")).unionByName(some.select("rid", F.col("to").alias("moved")))
         if moves.isEmpty():
             break
         linked = materialise(linked.join(moves, "rid", "left").select("rid", "grp", F.coalesce("moved", "shard").alias("shard")))

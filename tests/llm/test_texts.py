@@ -78,6 +78,19 @@ def test_chat_equals_sql_and_round_trips(spark, small):
     assert format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    rows = spark.range(20000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("w# "), F.col("id")).alias("text"))
+    back = read_back(format_conversations(rows)).first()
+    assert [t.text for t in back.turns] == [f"w# {k}" for k in range(20000)]
+    assert back.loss_text == "".join(f"w# {k}" for k in range(20000) if k % 3)
+
+
+def test_columns_called_like_those_used_inside_come_back(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co", "x", 5)], "doc_id long, text string, _email string, _candidates int")
+    row = redact(find(docs, train(docs))).first()
+    assert (row["_email"], row["_candidates"], row["text"]) == ("x", 5, "mail [email]")
+
+
 def test_packing_round_trips(spark, small, odd, none):
     tokenizer = Tokenizer.from_file(queries.TOKENIZER)
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
@@ -121,6 +134,19 @@ def test_shards_are_even_and_keep_copies_together(spark, small, odd, none):
     assert shard(none, 5).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 24, 200, 383, 400])
+def test_shards_of_small_tables(spark, rows):
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.when(F.col("id") < rows // 2, F.floor(F.col("id") / 2)).otherwise(F.col("id") + 1000)).alias("text"))
+    found = shard(docs, 24).collect()
+    check_shards(found, 24)
+    homes: dict = {}
+    for r in found:
+        if r.doc_id < rows // 4 * 2:
+            homes.setdefault(r.doc_id // 2, set()).add(r.shard)
+    if rows >= 200:  # below, a shard has one row
+        assert all(len(h) == 1 for h in homes.values())
+
+
 def test_shards_of_one_huge_group(spark):
     docs = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 500, "same").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
     rows = shard(docs, 6).collect()
