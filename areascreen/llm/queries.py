@@ -34,7 +34,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest integer inner products of every row whose vec_id is divisible by 20, over all rows."""
     whole = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("long"))
     vectors = read(spark, sf_dir, "embeddings").filter(usable("embedding")).select("vec_id", whole.alias("vector"))
-    return top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20).select("query_id", "rank", "vec_id", "score")
 
 
 _TOPK_SQL = """

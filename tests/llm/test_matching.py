@@ -186,6 +186,45 @@ def test_top_k_equals_sql(spark, small):
     assert sorted(tuple(r) for r in queries.op2_exact_topk(spark, small).collect()) == want
 
 
+def brute_top_k(rows, asked, k):
+    known = [(i, v) for i, v in rows if i is not None and v is not None]
+    out = []
+    for q, v in asked:
+        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in known if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k_of_large_values_and_values_beyond_a_long(spark):
+    rng = np.random.Generator(np.random.PCG64(8))
+    for size in (10**8, 3 * 10**9, 10**15, 2**62):
+        rows = [(i, [int(x) for x in rng.integers(-size, size, 3)]) for i in range(120)] + [(500 + i, [size, size, size]) for i in range(4)]
+        rows += [(600 + i, [i, -i, 1]) for i in range(20)]
+        items = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+        got = top_k(items, items.filter("vec_id % 10 = 0"), 9, tree_rows=40).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(tuple(r) for r in got) == brute_top_k(rows, [r for r in rows if r[0] % 10 == 0], 9)
+
+
+def test_top_k_opens_few_trees_and_computes_few_distances_on_clusters(spark, monkeypatch):
+    monkeypatch.setattr("areascreen.llm.topk.PAGE", 16)
+    rng = np.random.Generator(np.random.PCG64(4))
+    centres = rng.normal(size=(20, 8))
+    points = np.repeat(centres, 60, axis=0) + rng.normal(scale=0.02, size=(1200, 8))
+    whole = np.floor(1000 * points / np.linalg.norm(points, axis=1)[:, None]).astype(int)
+    rows = list(enumerate(whole.tolist()))
+    items = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    want = brute_top_k(rows, [r for r in rows if r[0] % 40 == 0], 10)
+    counts = {}
+    for roots in (1024, 5):  # 20 trees in one part; 5 pivots with several trees each, in several parts
+        monkeypatch.setattr("areascreen.llm.topk.ROOTS", roots)
+        got = top_k(items, items.filter("vec_id % 40 = 0"), 10, tree_rows=60, query_rows=7).collect()
+        assert sorted(tuple(r)[:4] for r in got) == want
+        per_query = {r.query_id: (r.trees, r.distances) for r in got}
+        counts[roots] = [sum(part) / 30 for part in zip(*per_query.values())]
+    assert counts[1024][0] < 8 and counts[1024][1] < 1200 / 6, counts  # trees and distances of a query
+    assert counts[5][1] < 1200 / 2, counts
+
+
 def test_top_k_with_ties_repeats_and_nulls(spark):
     rng = np.random.Generator(np.random.PCG64(3))
     rows = [(i, rng.integers(-3, 4, 4).tolist()) for i in range(400)] + [(1000 + i, [2, 2, 2, 2]) for i in range(300)]
