@@ -47,13 +47,36 @@ def _power(base: int, count: int) -> np.ndarray:
     return held[:count]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span [start, end), the same wherever the span stands."""
+#: Bytes of a span hashed as one sum. Sums of powers modulo 2**64 agree for some long words of a regular form (from about
+#: 512 letters on), whatever the base, so a longer span is hashed piece by piece.
+PIECE = 64
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=total[1:])
     return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte span [start, end), the same wherever the span stands.
+
+    A span over ``PIECE`` bytes is cut into pieces; the hash of each is mixed with its place before they are added up.
+    """
+    long = np.flatnonzero(ends - starts > PIECE)
+    if not len(long):
+        return _sums(data, starts, ends)
+    hashes = _sums(data, starts, np.minimum(ends, starts + PIECE))
+    pieces = -(-(ends[long] - starts[long]) // PIECE)
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(pieces.sum()) - np.repeat(first, pieces)
+    begin = np.repeat(starts[long], pieces) + place * PIECE
+    parts = _sums(data, begin, np.minimum(begin + PIECE, np.repeat(ends[long], pieces)))
+    told = mix(parts + (place + 1).astype(np.uint64) * np.uint64(_BASE))
+    hashes[long] = mix(np.add.reduceat(told, first) + (ends[long] - starts[long]).astype(np.uint64) * _PLACE[0])
+    return hashes
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word (no blanks 0x20, 0x09-0x0D), and the first word of each text (one more at the end)."""
     inside = ~SPACE[data]

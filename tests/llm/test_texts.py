@@ -14,11 +14,14 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from areascreen.llm import queries
+from areascreen.llm.bytetext import span_hashes, utf8, word_spans
 from areascreen.llm.chat import format_conversations, read_back
+from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack, piece_lengths
 from areascreen.llm.pii import KINDS, find, redact, train
 from areascreen.llm.quality import score_quality
 from areascreen.llm.sharding import shard
+from areascreen.llm.tokens import UnitTokenizer
 from areascreen.llm.toxicity import score_toxicity
 
 PATTERNS = [
@@ -120,6 +123,34 @@ def check_shards(rows, shards: int) -> None:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
 
 
+def regular_word(size: int, first: str, second: str) -> str:
+    """Letters by the parity of the ones in their place's binary digits (Thue-Morse); with the letters swapped, sums of powers agree."""
+    return "".join(second if place.bit_count() % 2 else first for place in range(size))
+
+
+@pytest.mark.parametrize("size", [512, 1024, 2048, 8192])
+def test_regular_long_words_keep_their_own_hash_and_ids(size):
+    one, two = regular_word(size, "a", "b"), regular_word(size, "b", "a")
+    texts = [one, two, f"x {one} y", f"{two}z", one]
+    data, offsets = utf8(pa.array(texts))
+    starts, ends, _ = word_spans(data, offsets)
+    hashes = dict(zip(zip(starts.tolist(), ends.tolist()), span_hashes(data, starts, ends).tolist()))
+    by_word: dict[bytes, set] = {}
+    for (a, b), value in hashes.items():
+        by_word.setdefault(data[a:b].tobytes(), set()).add(value)
+    assert all(len(v) == 1 for v in by_word.values()) and len({min(v) for v in by_word.values()}) == len(by_word)
+    ids, bounds = UnitTokenizer(queries.TOKENIZER).encode(data, offsets)
+    plain = Tokenizer.from_file(queries.TOKENIZER)
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_of_regular_long_words_share_no_shingle(spark):
+    docs = spark.createDataFrame([(1, regular_word(1024, "a", "b")), (2, regular_word(1024, "b", "a")), (3, regular_word(1024, "a", "b"))], "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in near_duplicates(docs, words=3, num=85, den=100).collect()}
+    assert groups == {1: 1, 2: 2, 3: 1}
+
+
 def test_shards_are_even_and_keep_copies_together(spark, small, odd, none):
     rows = queries.op9_sharding(spark, small).collect()
     check_shards(rows, 24)
