@@ -10,7 +10,7 @@ from areascreen.catalog.registry import query
 from areascreen.catalog.views import nodes, table, with_views, zone_edges
 from areascreen.operators import quality
 from areascreen.session import checkpoint_dir
-from areascreen.sources import manifest, readers, writers
+from areascreen.sources import manifest, readers, wkb, writers
 
 
 def scratch(spark: SparkSession) -> str:
@@ -138,6 +138,28 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.groupBy("status").agg((F.count(F.lit(1)) > 0).alias("any_file"))
 
 
+@query("S14_S15_range_digests", "SELECT 'match' AS status, true AS any_range")
+def range_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    writers.write_parquet(table(spark, sf_dir, "lineitem"), f"{path}/data")
+    manifest.range_digests(spark, f"{path}/data", range_bytes=1 << 20).write.parquet(f"{path}/ranges")
+    verdicts = manifest.verify_ranges(manifest.range_digests(spark, f"{path}/data", range_bytes=1 << 20), spark.read.parquet(f"{path}/ranges"))
+    return verdicts.groupBy("status").agg((F.count(F.lit(1)) > 0).alias("any_range"))
+
+
+@query("S3_S9_wkb_column", with_views("zone_edges", """SELECT geo_id::BIGINT AS geo_id, row_number() OVER (PARTITION BY geo_id ORDER BY seq) - 1 AS seq, x1, y1, x2, y2,
+  13 + 16 * (count(*) OVER (PARTITION BY geo_id) + 1) AS geometry_bytes FROM zone_edges"""))
+def wkb_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    edges = zone_edges(spark, sf_dir)
+    described = writers.geometry_metadata(edges.withColumn("part", F.lit(0)), "EPSG:3414")
+    wkb.write_wkb(edges.select("geo_id", "category").distinct(), edges, described, path)
+    stored = spark.read.parquet(path)
+    sizes = stored.select("geo_id", F.length("geometry").cast("bigint").alias("geometry_bytes"))
+    return wkb.from_wkb(stored).join(sizes, "geo_id").select(
+        F.col("geo_id").cast("bigint").alias("geo_id"), F.col("seq").cast("bigint").alias("seq"), "x1", "y1", "x2", "y2", "geometry_bytes")
+
+
 @query("E16_boundary_report", with_views("zone_edges", """SELECT count(*) AS polygons, count(*) FILTER (closed) AS closed, sum(edges)::BIGINT AS edges FROM (
   SELECT geo_id, count(*) AS edges, abs(sum(x2-x1)) + abs(sum(y2-y1)) < 1e-6 AS closed FROM zone_edges GROUP BY 1)"""))
 def boundary_report(spark: SparkSession, sf_dir: str) -> DataFrame:

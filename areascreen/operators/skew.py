@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: A key is hot when it holds more than this share of the rows, so there are at
 #: most ``1 / HOT_SHARE`` hot keys whatever the size of the data: the table of hot
@@ -44,6 +44,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def _piece(columns: Sequence[str], pieces: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), pieces).cast("int")
+
+
+def _pieces(pieces: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), pieces - 1))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -54,6 +62,7 @@ def salted_join(
     condition: Column | None = None,
     share: float = HOT_SHARE,
     multiplies: bool = False,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which every hot key of ``left`` is split over several tasks.
 
@@ -61,26 +70,46 @@ def salted_join(
     Only the rows of ``right`` that carry a hot key are copied, once per piece, so
     the result is that of a plain join. Without hot keys it is a plain join. ``multiplies``
     says that a row meets many rows, so that all tasks should share the join.
+
+    A key that is hot in ``right`` as well is split in both directions: its rows form a grid of pieces,
+    those of either side copied along the other's pieces only. An outer join keeps ``right`` whole, since
+    a copied row of ``left`` would meet nothing in some pieces. ``found`` are the hot keys of ``left`` as
+    :func:`hot_keys` gives them, where the caller knows them; then ``left`` is not counted here.
     """
-    found = hot_keys(left, keys, share)
+    found = hot_keys(left, keys, share) if found is None else found
     rows = found.collect()  # at most 1 / share rows
     if not rows:
         left = fan_out(left, keys) if multiplies else left
         joined = left.join(right, list(keys), how)
         return joined if condition is None else joined.filter(condition)
-    hot = F.broadcast(left.sparkSession.createDataFrame(rows, found.schema))
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    big = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")
-    ).drop("_salts")
-    small = right.join(hot, list(keys), "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
-    ).drop("_salts")
-    big = fan_out(big, [*keys, "_salt"]) if multiplies else big
-    joined = big.join(small, [*keys, "_salt"], how)
+    spark = left.sparkSession
+    hot = F.broadcast(spark.createDataFrame(rows, found.schema))
+    across = [c for c in right.columns if c not in keys and not _unhashable(right.schema[c].dataType)]
+    both = []
+    if how == "inner" and across:
+        limit = max(HOT_ROWS, 1)
+        counts = right.join(hot.select(*keys), list(keys), "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        both = counts.filter(F.col("_n") > limit).select(  # at most 1 / share rows
+            *keys, F.least(F.ceil(F.col("_n") / limit), F.lit(int(1 / share))).cast("int").alias("_sides")).collect()
+    big = left.join(hot, list(keys), "left").withColumn("_salt", _piece(spread, F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    small = right.join(hot, list(keys), "left").withColumn("_salt", _pieces(F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    grid = [*keys, "_salt"]
+    if both:
+        fields = ", ".join(f"`{k}` {right.schema[k].dataType.simpleString()}" for k in keys)
+        wide = F.broadcast(spark.createDataFrame(both, f"{fields}, _sides int"))
+        sides = F.coalesce("_sides", F.lit(1))
+        big = big.join(wide, list(keys), "left").withColumn("_side", _pieces(sides)).drop("_sides")
+        small = small.join(wide, list(keys), "left").withColumn("_side", _piece(across, sides)).drop("_sides")
+        grid.append("_side")
+    big = fan_out(big, grid) if multiplies else big
+    joined = big.join(small, grid, how)
     if condition is not None:
         joined = joined.filter(condition)
-    return joined.drop("_salt")
+    return joined.drop("_salt", "_side")
+
+
+def _unhashable(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, count: str | None = None) -> DataFrame:
