@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from areascreen.functions import ids, text
-from areascreen.operators.ranking import group_size
 from areascreen.operators.skew import first_by, salted_join
 from areascreen.session import cut_lineage
 
-_CHUNK_ROWS = 8192
+#: Sectors of directions that the search for the farthest pair begins with, parts that each is cut into, and where it ends.
+_SECTORS, _FINER, _MOST_SECTORS = 16, 8, 16 * 8**7
+#: Pairs left for every possible end at which these are compared instead of cut finer.
+_PAIRS_PER_END = 256
 _GRID = 12
 
 
@@ -63,55 +63,69 @@ def repeated_labels(exits: DataFrame) -> DataFrame:
     ).filter("copies > 1")
 
 
-def _hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull (monotone chain)."""
-    ordered = np.unique(points, axis=0)
-    if len(ordered) < 3:
-        return ordered
+def _along(sector: Column, sectors: int) -> Column:
+    """Position of (x, y) along the middle direction of a sector; ``sectors`` of them cover half a turn."""
+    angle = (sector + 0.5) * (math.pi / sectors)
+    return F.col("x") * F.cos(angle) + F.col("y") * F.sin(angle)
+
 
-    def chain(sequence: np.ndarray) -> list:
-        out: list = []
-        for p in sequence:
-            while len(out) >= 2 and (
-                (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0
-            ):
-                out.pop()
-            out.append(p)
-        return out[:-1]
+def _ends(value: Column, hi: Column, lo: Column, reach: Column, sectors: int) -> tuple[Column, Column]:
+    """Whether a point can be the upper, or the lower, end of a pair in the sector that is at least ``reach`` apart.
 
-    return np.array(chain(ordered) + chain(ordered[::-1]))
+    Such a pair lies within half a sector of the middle direction, so it covers ``reach * cos(half)`` along it.
+    """
+    need = reach * math.cos(math.pi / 2 / sectors) - 1e-12 * (F.abs(hi) + F.abs(lo) + 1)
+    return value >= lo + need, value <= hi - need
 
 
 def maximum_distance(exits: DataFrame, *, key: str = "complex_name") -> DataFrame:
     """key, maximum_distance between any two members; 0 for a single one.
 
-    The farthest pair lies on the convex hull. Chunks of bounded size give up their own hull
-    corners first, so a hot group is never gathered whole; the few corners are then compared.
+    Extreme positions along a few directions are a mergeable aggregate. Their largest extent is a distance that some
+    pair reaches; only positions that can end a longer pair stay, each in the sectors of directions where it can.
+    Sectors are cut finer until few pairs are left, which are then compared exactly. So points on a circle, all of them
+    corners of the hull, meet those opposite only, and no task holds a group.
+
+    Rows without key take no part; a group without positions has the distance 0.
     """
-    spots = exits.select(key, "x", "y").distinct()
-
-    def chunked(points: DataFrame) -> DataFrame:
-        pieces = F.ceil(F.col("_n") / _CHUNK_ROWS)
-        return group_size(points, [key], "_n").withColumn("_chunk", F.pmod(F.xxhash64("x", "y"), pieces)).drop("_n")
-
-    def corners(chunk: pd.DataFrame) -> pd.DataFrame:
-        hull = _hull(chunk[["x", "y"]].to_numpy(dtype="float64"))
-        return pd.DataFrame({key: chunk[key].iloc[0], "x": hull[:, 0], "y": hull[:, 1]})
-
-    schema = spots.schema
-    hulls = spots
-    for _ in range(2):  # corners of chunks, then corners of chunks of corners
-        hulls = chunked(hulls).groupBy(key, "_chunk").applyInPandas(corners, schema)
-
-    def diameter(batch: pd.DataFrame) -> pd.DataFrame:
-        hull = _hull(batch[["x", "y"]].to_numpy(dtype="float64"))
-        best = 0.0
-        for row in hull:
-            best = max(best, float(np.max((hull[:, 0] - row[0]) ** 2 + (hull[:, 1] - row[1]) ** 2)))
-        return pd.DataFrame({key: [batch[key].iloc[0]], "maximum_distance": [best ** 0.5]})
-
-    kind = spots.schema[key].dataType.simpleString()
-    return hulls.groupBy(key).applyInPandas(diameter, f"{key} {kind}, maximum_distance double")
+    spots = cut_lineage(exits.select(key, "x", "y").filter(F.col(key).isNotNull()).distinct())
+    sectors = _SECTORS
+    places = [_along(F.lit(k), sectors) for k in range(sectors)]
+    extremes = spots.groupBy(key).agg(
+        *[F.max(v).alias(f"_hi{k}") for k, v in enumerate(places)], *[F.min(v).alias(f"_lo{k}") for k, v in enumerate(places)]
+    ).withColumn("_reach", F.greatest(*[F.col(f"_hi{k}") - F.col(f"_lo{k}") for k in range(sectors)]))
+    extremes = cut_lineage(extremes)
+    options = []
+    for k, v in enumerate(places):
+        upper, lower = _ends(v, F.col(f"_hi{k}"), F.col(f"_lo{k}"), F.col("_reach"), sectors)
+        options.append(F.struct(F.lit(k).cast("long").alias("sector"), upper.alias("upper"), lower.alias("lower")))
+    able = F.explode(F.filter(F.array(*options), lambda o: o["upper"] | o["lower"])).alias("_o")
+    rows = salted_join(spots, extremes, [key], spread=["x", "y"]).select(key, "x", "y", "_reach", able)
+    rows = cut_lineage(rows.select(key, "x", "y", "_reach", "_o.sector", "_o.upper", "_o.lower"))
+    while sectors < _MOST_SECTORS:
+        ends = rows.groupBy(key, "sector").agg(F.count_if("upper").cast("double").alias("u"), F.count_if("lower").cast("double").alias("l"))
+        pairs, left = ends.agg(F.coalesce(F.sum(F.col("u") * F.col("l")), F.lit(0.0)), F.coalesce(F.sum(F.col("u") + F.col("l")), F.lit(0.0))).first()
+        if pairs <= _PAIRS_PER_END * left:
+            break
+        sectors *= _FINER
+        finer = F.explode(F.array(*[F.col("sector") * _FINER + k for k in range(_FINER)])).alias("sector")
+        wide = rows.select(key, "x", "y", "upper", "lower", "_reach", finer).withColumn("_value", _along(F.col("sector"), sectors))
+        bounds = wide.groupBy(key, "sector").agg(
+            F.max(F.when(F.col("upper"), F.col("_value"))).alias("_hi"), F.min(F.when(F.col("lower"), F.col("_value"))).alias("_lo"), F.max("_reach").alias("_old")
+        ).filter("_hi IS NOT NULL AND _lo IS NOT NULL")
+        bounds = cut_lineage(bounds)
+        reach = bounds.groupBy(key).agg(F.max(F.greatest(F.col("_hi") - F.col("_lo"), F.col("_old"))).alias("_reach"))
+        bounds = salted_join(bounds.drop("_old"), reach, [key], spread=["sector"])
+        upper, lower = _ends(F.col("_value"), F.col("_hi"), F.col("_lo"), F.col("_reach"), sectors)
+        rows = salted_join(wide.drop("_reach"), bounds, [key, "sector"], spread=["x", "y"]).select(
+            key, "x", "y", "_reach", "sector", (F.col("upper") & upper).alias("upper"), (F.col("lower") & lower).alias("lower"))
+        rows = cut_lineage(rows.filter("upper OR lower"))
+    uppers = rows.filter("upper").select(key, "sector", F.col("x").alias("_ux"), F.col("y").alias("_uy"))
+    lowers = rows.filter("lower").select(key, "sector", F.col("x").alias("_wx"), F.col("y").alias("_wy"))
+    gap = (F.col("_ux") - F.col("_wx")) ** 2 + (F.col("_uy") - F.col("_wy")) ** 2
+    farthest = salted_join(uppers, lowers, [key, "sector"], spread=["_ux", "_uy"]).groupBy(key).agg(F.max(gap).alias("_far"))
+    return extremes.select(key).join(farthest, key, "left").select(
+        key, F.coalesce(F.sqrt("_far"), F.lit(0.0)).alias("maximum_distance"))
 
 
 def medoid(exits: DataFrame, *, key: str = "complex_name", member: str = "exit_id") -> DataFrame:

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from areascreen.functions import text
-from areascreen.operators import catchment, entity, evidence, od, stations
+from areascreen.operators import catchment, entity, evidence, od, skew, stations
 from areascreen.sources.schemas import CANDIDATES
 
 
@@ -136,8 +137,7 @@ def test_status_precedence(spark):
     assert {r["complex_name"] for r in stations.candidate_nodes(result).collect()} == {"A MRT STATION", "C MRT STATION", "D MRT STATION", "NE1"}
 
 
-def test_medoid_and_extent_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(stations, "_CHUNK_ROWS", 16)
+def test_medoid_and_extent_against_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["hot", "hot", "cold"]), rng.gauss(0, 500), rng.gauss(0, 900)) for i in range(400)]
     rows += [(1000 + i, "hot", 3.0, 4.0) for i in range(150)] + [(2000, "one", 1.0, 1.0)]
@@ -151,6 +151,40 @@ def test_medoid_and_extent_against_brute_force(spark, monkeypatch):
         assert mid[name] == min(own, key=lambda a: (round(sum(gap(a, b) for b in own), 6), a[0]))[0]
 
 
+def _pairs_compared(monkeypatch, points):
+    """The result, and the rows of the last join: pairs that were compared."""
+    joins = []
+    monkeypatch.setattr(stations, "salted_join", lambda left, right, keys, **more: joins.append(out := skew.salted_join(left, right, keys, **more)) or out)
+    far = {r[0]: r[1] for r in stations.maximum_distance(points).collect()}
+    return far, joins[-1].count()
+
+
+def test_corners_of_a_circle_do_not_meet_all(spark, monkeypatch):
+    monkeypatch.setattr(stations, "_PAIRS_PER_END", 4)
+    for size in (500, 2000):
+        turn = [2 * math.pi * i / size for i in range(size)]
+        rows = [("ring", 30_000 + 700 * math.cos(t), 25_000 + 700 * math.sin(t)) for t in turn]
+        far, pairs = _pairs_compared(monkeypatch, spark.createDataFrame(rows, "complex_name string, x double, y double"))
+        assert far == {"ring": pytest.approx(1400.0, abs=1e-6)}
+        assert pairs < 16 * size
+
+
+def test_extent_of_far_clusters_lines_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(stations, "_PAIRS_PER_END", 1)
+    rng = random.Random(9)
+    rows = [("two", 9000.0 * (i % 2) + rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(300)]
+    rows += [("line", 3.0 * i, 4.0 * i) for i in range(200)] * 2 + [("same", 5.0, 5.0)] * 3
+    rows += [("square", x, y) for x in (0.0, 1.0) for y in (0.0, 1.0)] + [("none", None, None), ("some", None, 1.0), ("some", 1.0, 1.0), (None, 0.0, 0.0)]
+    far, pairs = _pairs_compared(monkeypatch, spark.createDataFrame(rows, "complex_name string, x double, y double"))
+    own = [r for r in rows if r[0] == "two"]
+    assert far["two"] == pytest.approx(max(math.dist(a[1:], b[1:]) for a in own for b in own), abs=1e-9)
+    assert far["line"] == pytest.approx(5.0 * 199) and far["same"] == far["none"] == far["some"] == 0.0
+    assert far["square"] == pytest.approx(2**0.5) and len(far) == 6
+    assert pairs < 1000
+    empty = spark.createDataFrame([], "complex_name string, x double, y double")
+    assert stations.maximum_distance(empty).count() == 0
+
+
 def test_nearest_exit_ties_by_id(spark):
     pairs = spark.createDataFrame([("o", "n", 0.0, 0.0)], "origin_id string, node_id string, x double, y double")
     exits = spark.createDataFrame([("B", "n", -3.0, -4.0), ("A", "n", 3.0, 4.0), ("C", "n", 9.0, 9.0)], "exit_id string, node_id string, x double, y double")
