@@ -56,7 +56,9 @@ def _class(own: np.ndarray) -> bytes:
     return int(mix(own.copy()).sum(dtype=np.uint64)).to_bytes(8, "big") + int(mix(own ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)).to_bytes(8, "big")
 
 
-def _features(docs: DataFrame, words: int) -> DataFrame:
+def _features(docs: DataFrame, words: int, mark: str | None) -> DataFrame:
+    marked = [] if mark is None else ["mark"]
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             values, bounds = shingle_hashes(batch.column("text"), words)
@@ -66,9 +68,11 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([_class(own) if len(own) else None for own in sets], pa.binary()),
                 pa.array([next(keys) if n else None for n in sizes], pa.list_(pa.int64())),
-            ], ["doc_id", "n_shingles", "class", "bands"])
+                *[batch.column(name) for name in marked],
+            ], ["doc_id", "n_shingles", "class", "bands", *marked])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(compute, _FEATURES)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(mark).cast("binary").alias(name) for name in marked])
+    return rows.mapInArrow(compute, _FEATURES + ", mark binary" * len(marked))
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -83,11 +87,13 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(compute, _SETS)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, mark: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, component for every row of ``docs`` (doc_id, text).
 
     Documents are linked if the intersection of their shingle sets is at least num/den of the union. component_id is the
-    smallest doc_id reachable over links, the row's own included; ``kept`` is doc_id = component_id.
+    smallest doc_id reachable over links, the row's own included; ``kept`` is doc_id = component_id. Where ids repeat with
+    different texts, components may share a component_id; ``component`` (binary) tells them apart. It is null without
+    shingles. ``mark`` names a binary column of ``docs`` that comes back as ``mark`` and so tells rows of one id apart.
 
     Documents with the same set are one class, so copies are never expanded into pairs. Classes that share buckets of
     equal band keys form groups, and ``_links`` resolves these exactly without comparing all their pairs.
@@ -96,7 +102,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5)
     component_id is null and it is kept. Repeated rows get the same result each. Other columns are ignored. An empty
     table gives no rows.
     """
-    features = materialise(_features(docs, words))
+    features = materialise(_features(docs, words, mark))
     linked = F.col("class").isNotNull() & F.col("doc_id").isNotNull()
     classes = materialise(features.filter(linked).groupBy("class").agg(
         F.min("doc_id").alias("smallest"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
@@ -118,11 +124,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5)
     labels = components(_links(groups, sets, num, den))
     smallest = classes.select("class", "smallest").join(labels.withColumnRenamed("node", "class"), "class", "left")
     smallest = smallest.select("class", "smallest", F.coalesce("label", "class").alias("label"))
-    roots = smallest.groupBy("label").agg(F.min("smallest").alias("component"))
-    known = materialise(smallest.join(roots, "label").select("class", "component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    roots = smallest.groupBy("label").agg(F.min("smallest").alias("root"))
+    known = materialise(smallest.join(roots, "label").select("class", "label", "root"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return features.join(known, "class", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("component"), *([] if mark is None else ["mark"]))
 
 
 def _links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -14,6 +14,8 @@ from areascreen.llm.tokens import held_tokenizer
 
 #: Longest sequence in tokens; a power of two.
 SEQUENCE = 2048
+#: Low bits of a sequence id, which number the sequences of a bucket: 2**25 tasks of 2**33 pieces.
+BUCKET_BITS = 58
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
@@ -29,7 +31,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = S
     A document's ids are its tokens and then ``end_id``. It is cut into pieces whose lengths are powers of two, so each
     piece fills a sequence of that length: no padding, and no sequence holds two documents. ``bucket`` is the binary
     logarithm of the length; a batch takes sequences of one bucket. The cut needs nothing but the document itself, so
-    there is no shuffle: ids of sequences are numbered within each task.
+    there is no shuffle: sequences are numbered within each bucket of each task, and the ids of one bucket are the range
+    from ``bucket * 2**BUCKET_BITS`` up to the next. :func:`write_buckets` gathers equal lengths in files of their own.
 
     A null or empty text holds the end id alone. Null ids stay null; repeated rows are packed as often as they come.
     Other columns of ``docs`` are ignored. An empty table gives no rows.
@@ -53,6 +56,17 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = S
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(pieces, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, SCHEMA)
+    bucket = F.length(F.bin("length")) - 1
     return rows.withColumns({
-        "bucket": F.log2(F.col("length")).cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"),
+        "bucket": bucket, "sequence_id": F.shiftleft(bucket.cast("long"), BUCKET_BITS) + F.monotonically_increasing_id(),
+        "offset": F.lit(0).cast("long"),
     })
+
+
+def write_buckets(pieces: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write ``pieces`` (of :func:`pack`) as Parquet with one folder per bucket: sequences of one length, ready to batch.
+
+    Every task writes a file per bucket that it meets, without a shuffle. A reader of one length filters on ``bucket``
+    and reads that folder alone.
+    """
+    pieces.write.partitionBy("bucket").mode(mode).parquet(path)

@@ -114,7 +114,7 @@ FROM n GROUP BY conv_id
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
-    return near_duplicates(read(spark, sf_dir, "documents"), words=3, num=85, den=100)
+    return near_duplicates(read(spark, sf_dir, "documents"), words=3, num=85, den=100).drop("component")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

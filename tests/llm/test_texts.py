@@ -17,6 +17,7 @@ from areascreen.llm import queries
 from areascreen.llm.bytetext import span_hashes, utf8, word_spans
 from areascreen.llm.chat import format_conversations, read_back
 from areascreen.llm.near_dup import near_duplicates
+from areascreen.llm import packing
 from areascreen.llm.packing import pack, piece_lengths
 from areascreen.llm.pii import KINDS, find, redact, train
 from areascreen.llm.quality import score_quality
@@ -94,7 +95,7 @@ def test_columns_called_like_those_used_inside_come_back(spark):
     assert (row["_email"], row["_candidates"], row["text"]) == ("x", 5, "mail [email]")
 
 
-def test_packing_round_trips(spark, small, odd, none):
+def test_packing_round_trips(spark, small, odd, none, tmp_path):
     tokenizer = Tokenizer.from_file(queries.TOKENIZER)
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     hard = spark.createDataFrame([(-1, "It's a DON'T <|endoftext|>x  ÉÀ×÷ß…! naïve 日本語   a　b 12,3!!"), (-2, None), (-3, "a" * 9000)], "doc_id long, text string")
@@ -108,9 +109,17 @@ def test_packing_round_trips(spark, small, odd, none):
         assert [i for _, piece, _ in sorted(got[doc_id]) for i in piece] == ids and got[doc_id][0][2] == len(ids)
     pieces = queries.op8_packing(spark, small)
     assert pieces.select("sequence_id").distinct().count() == pieces.count()
-    row = next(r for r in pieces.collect() if r.start == 0)
+    rows = pieces.collect()
+    ranked = [r.length for r in sorted(rows, key=lambda r: r.sequence_id)]
+    assert ranked == sorted(ranked) and all(r.sequence_id >> packing.BUCKET_BITS == r.bucket for r in rows)
+    row = next(r for r in rows if r.start == 0)
     assert row.ids_crc32 == zlib.crc32(np.array(next(p for s, p, _ in got[row.doc_id] if s == 0), "<u4").tobytes())
     assert pack(odd, queries.TOKENIZER).filter("start = 0").count() == odd.count() and pack(none, queries.TOKENIZER).count() == 0
+    folder = str(tmp_path / "buckets")
+    packing.write_buckets(pack(docs, queries.TOKENIZER), folder)
+    assert {r.bucket for r in rows} == {int(p.name.split("=")[1]) for p in tmp_path.glob("buckets/bucket=*")}
+    back = spark.read.parquet(folder)
+    assert back.filter("length != shiftleft(1, bucket)").count() == 0 and back.count() == pieces.count()
     assert piece_lengths(4096 + 7, 2048) == [2048, 2048, 4, 2, 1]
     with pytest.raises(ValueError):
         pack(odd, queries.TOKENIZER, longest=1000)
@@ -236,6 +245,19 @@ def test_pipeline_stage_by_stage(spark, small):
     assert {r.doc_id for r in final.select("doc_id").collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark, small):
+    story = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdef"]
+    near = story[0] + " more"
+    rows = [(1, story[0]), (1, near), (1, story[1]), (1, story[1]), (2, story[2]), (2, near), (3, story[3]), (3, story[3]),
+            (4, ""), (4, ""), (4, None), (5, story[4]), (6, story[4] + " more"), (None, story[0]), (None, story[0])]
+    docs = spark.createDataFrame([(i, t, "c", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, mark string, component long")
+    out = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, small)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(1, min(story[0], near)), (1, story[1]), (2, story[2]), (3, story[3]), (4, ""), (4, None), (5, story[4]), (None, story[0]), (None, story[0])]
+    assert got == sorted(want, key=str)
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, odd, none, small):
     for rows in (odd, none):
         kept = rows
