@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from areascreen.llm.common import materialise, read
+from areascreen.llm.common import read
 from areascreen.llm.decontaminate import find_leaks
 from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm.packing import pack
@@ -26,22 +26,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): one of the smallest doc_id.
 
     Rows without doc_id stay. Rows of one id are documents of their own where their texts differ: each goes only with
-    its own group. Of several rows of the smallest id in one group, and of repeated rows, the first by text stays.
+    its own group. Of several texts of the smallest id in one group the one with the least SHA-256 stays, of repeated
+    rows the first by their other columns.
     """
-    digest, label = (next(n for n in (f"{name}{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("_digest", "_label"))
+    digest = next(n for n in (f"_digest{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
     told = docs.withColumn(digest, F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"").cast("binary")))
     groups = near_duplicates(told.select("doc_id", "text", digest), words=5, num=4, den=5, mark=digest).filter("doc_id IS NOT NULL")
-    groups = materialise(groups.select("doc_id", F.col("mark").alias(digest), F.coalesce("component", "mark").alias(label), "kept"))
-    gone = groups.filter(~F.col("kept")).select("doc_id", digest).distinct()
-    kept = groups.filter("kept")
-    repeated = kept.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = told.join(gone, ["doc_id", digest], "left_anti")
-    single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row")
-    rest = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id", digest).agg(F.min(row).alias("row"))
-    names = kept.join(repeated, "doc_id", "left_semi").select("doc_id", digest, label).distinct()
-    first = rest.join(names, ["doc_id", digest]).groupBy("doc_id", label).agg(F.min("row").alias("row"))
-    return single.unionByName(first.select("doc_id", "row.*").select(*docs.columns))
+    groups = groups.select("doc_id", F.coalesce("component", "mark").alias("label"), "mark", "kept").distinct()
+    least = groups.filter("kept").groupBy("doc_id", "label").agg(F.min("mark").alias("least"))
+    gone = groups.join(least, ["doc_id", "label"], "left").filter("NOT kept OR mark != least").select("doc_id", F.col("mark").alias(digest))
+    # The rows are shuffled once: repeated rows are combined ahead of it, and the join reuses the partitions.
+    row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    rows = told.filter("doc_id IS NOT NULL").groupBy("doc_id", digest).agg(F.min(row).alias("row"))
+    left = rows.join(gone, ["doc_id", digest], "left_anti").select("doc_id", "row.*").select(*docs.columns)
+    return left.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
