@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from areascreen.catalog.registry import query
-from areascreen.catalog.views import origins, region_edges, table, with_views
+from areascreen.catalog.views import COVERED, MEET, origins, region_edges, table, with_views
 from areascreen.functions import text
 
 from areascreen.operators import entity, evidence, od
@@ -158,9 +158,9 @@ def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECTED_AREAS = [f"NATION_{i}" for i in range(12)]
 
 
-@query("E7_geography_policy", with_views("origins region_edges", """
+@query("E7_geography_policy", with_views("origins region_edges", f"""
   WITH p AS (SELECT DISTINCT x AS px, y AS py FROM origins WHERE origin_id%9 <> 0),
-  m AS (SELECT px, py, geo_id FROM p, region_edges WHERE (y1 <= py) <> (y2 <= py) AND px < x1 + (py-y1)*(x2-x1)/(y2-y1) GROUP BY ALL HAVING count(*)%2 = 1),
+  m AS (SELECT px, py, geo_id FROM p, region_edges WHERE {MEET} GROUP BY ALL HAVING {COVERED}),
   n AS (SELECT px, py, min(name) AS planning_area FROM m JOIN (SELECT DISTINCT geo_id, name FROM region_edges) USING (geo_id) GROUP BY 1, 2),
   b AS (SELECT origin_id, area, planning_area, planning_area IN ('NATION_0','NATION_1','NATION_2','NATION_3','NATION_4','NATION_5','NATION_6','NATION_7','NATION_8','NATION_9','NATION_10','NATION_11') AS inside
     FROM origins LEFT JOIN n ON x = px AND y = py AND origin_id%9 <> 0)
