@@ -35,7 +35,7 @@ def test_geography_policy_takes_the_least_area_on_a_border():
     for table in ("region", "nation"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     # Customer 52800 lies at (9600, 14400), on the border of NATION_11 (selected) and NATION_16 (not selected).
-    connection.execute(f"CREATE VIEW customer AS SELECT * REPLACE (52800 AS c_custkey) FROM '{SMALL}/customer.parquet' LIMIT 1")
+    connection.execute(f"CREATE VIEW customer AS SELECT * REPLACE (52800::BIGINT AS c_custkey) FROM '{SMALL}/customer.parquet' LIMIT 1")
     result = connection.execute(contract.oracle_sql()["E7_geography_policy"])
     row = dict(zip([c[0] for c in result.description], result.fetchone()))
     assert row["outcome"] == "retained"
