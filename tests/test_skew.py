@@ -66,3 +66,25 @@ def test_first_by_takes_the_least_row_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, seq int, v string")
     got = sorted(tuple(r) for r in skew.first_by(df, ["k"], ["seq"], count="n").select("k", "seq", "v", "n").collect())
     assert got == [("a", 1, "y", 2), ("b", 5, "z", 1)]
+
+
+def test_rows_exploded_from_a_small_table_are_not_broadcast(spark):
+    from areascreen.operators.geometry import grid
+
+    spots = spark.range(1_000).select((F.col("id") % 50).alias("k"), (F.col("id") * 37 % 4000).cast("double").alias("x"), (F.col("id") * 91 % 4000).cast("double").alias("y"))
+    points = spark.range(12_000).select((F.col("id") * 53 % 4001).cast("double").alias("x"), (F.col("id") * 97 % 3989).cast("double").alias("y"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 300_000)  # the centres fit, their 25 cells each do not
+    try:
+        near = grid.distances_within(spots, points, 100.0, key="k")
+        near.collect()
+        plan = near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    # The pairs themselves are not shuffled: no exchange above the join.
+    assert "Exchange" not in plan.split("SortMergeJoin")[0]
+    every = spots.select("k", F.col("x").alias("u"), F.col("y").alias("v")).distinct().crossJoin(points)
+    d2 = (F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2
+    expected = every.groupBy("k", "x", "y").agg(F.sqrt(F.min(d2)).alias("distance")).filter("distance <= 100")
+    assert sorted(map(tuple, near.select("k", "x", "y", "distance").collect())) == sorted(map(tuple, expected.collect()))
