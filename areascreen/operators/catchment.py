@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from areascreen.functions import ids
 from areascreen.functions.documents import flag_array
 from areascreen.functions.numbers import coordinate_key
 from areascreen.operators.geometry.grid import distances_within
 from areascreen.operators.skew import salted_join
+from areascreen.session import cut_lineage
 
 #: Fixed vocabulary of outcome categories.
 CATEGORIES = [
@@ -57,8 +58,11 @@ def best_routes(outcomes: DataFrame) -> DataFrame:
 
 def memberships(branches: DataFrame, routes: DataFrame) -> DataFrame:
     """Routes of each building given to every branch in it."""
-    keyed = branches.select("branch_id", coordinate_key(F.col("x"), F.col("y")).alias("coordinate_key"))
-    return salted_join(keyed, routes, ["coordinate_key"], spread=["branch_id"])
+    return salted_join(_keyed(branches), routes, ["coordinate_key"], spread=["branch_id"], multiplies=True)
+
+
+def _keyed(branches: DataFrame) -> DataFrame:
+    return branches.select("branch_id", coordinate_key(F.col("x"), F.col("y")).alias("coordinate_key"))
 
 
 def branch_counts(members: DataFrame) -> DataFrame:
@@ -68,3 +72,23 @@ def branch_counts(members: DataFrame) -> DataFrame:
         inside("inside_10_minute_walk").alias("confirmed_10"), inside("inside_15_minute_walk").alias("confirmed_15"),
         F.count_if(F.col("route_status") == "resolved").alias("resolved_routes"), F.count(F.lit(1)).alias("evaluated"),
     )
+
+
+def building_counts(branches: DataFrame, routes: DataFrame) -> DataFrame:
+    """:func:`branch_counts` of the memberships, counted by building where every branch stands in one building.
+
+    Branches of a building share its routes, so they are counted before the join instead of joined one by one.
+    """
+    keyed = cut_lineage(_keyed(branches))
+    if not keyed.groupBy("branch_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+        return branch_counts(memberships(branches, routes))
+    sized = keyed.groupBy("coordinate_key").agg(F.count(F.lit(1)).alias("_rows"), F.count("branch_id").alias("_n"))
+    found = salted_join(routes, sized, ["coordinate_key"], spread=["node_id"])
+
+    def total(test: Column, count: str) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col(count))), F.lit(0))
+
+    return found.groupBy("node_id").agg(
+        total(F.col("inside_10_minute_walk"), "_n").alias("confirmed_10"), total(F.col("inside_15_minute_walk"), "_n").alias("confirmed_15"),
+        total(F.col("route_status") == "resolved", "_rows").alias("resolved_routes"), F.sum("_rows").alias("evaluated"),
+    )

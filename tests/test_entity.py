@@ -243,3 +243,30 @@ def test_branches_of_one_building_share_its_requests(spark):
     members_of = catchment.memberships(branches.filter("x IS NOT NULL"), catchment.best_routes(outcomes))
     assert members_of.count() == 2
     assert catchment.branch_counts(members_of).first()["confirmed_10"] == 2
+
+
+def test_counting_by_building_equals_counting_memberships(spark):
+    rows = [(i, float(i % 3), 1.0) for i in range(12)] + [(None, 1.0, 1.0), (99, None, 1.0)]
+    branches = spark.createDataFrame(rows, "branch_id int, x double, y double")
+    known = branches.filter("x IS NOT NULL")
+    places = known.select(catchment.coordinate_key(F.col("x"), F.col("y")).alias("coordinate_key"), "x").distinct()
+    outcomes = places.crossJoin(spark.range(3).select(F.col("id").alias("node_id"))).select(
+        "node_id", "coordinate_key", F.lit(1).alias("exit_id"), F.when(F.col("node_id") + F.col("x") == 2, "http_error").otherwise("success").alias("category"),
+        F.lit(10.0).alias("distance_metres"), (F.col("node_id") * 300 + F.col("x") * 250).alias("duration_seconds"))
+    routes = catchment.best_routes(outcomes)
+    for moved in (False, True):  # a branch in two buildings is one branch
+        here = known.unionByName(known.filter("branch_id = 3").withColumn("x", F.lit(1.0))) if moved else known
+        expected = catchment.branch_counts(catchment.memberships(here, routes))
+        assert sorted(map(tuple, catchment.building_counts(here, routes).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_rare_bands_are_chosen_from_all_pairs(spark, monkeypatch):
+    plan = spark.range(400).select(
+        F.col("id").alias("origin_id"), F.lit("n").alias("node_id"), F.lit("e").alias("exit_id"), F.lit("s").alias("scenario_id"),
+        F.when(F.col("id") % 100 == 0, 10.0).otherwise(90.0).alias("nearest_distance"))
+    picked = []
+    for head in (64, 1):
+        monkeypatch.setattr(od, "HEAD", head)
+        chosen = od.balanced_pairs(plan, scenario_id="s", bands=[("near", 0.0, 50.0), ("far", 50.0, None)], pairs_per_band=3, seed="x")
+        picked.append(sorted(map(tuple, chosen.collect())))
+    assert picked[0] == picked[1] and len(picked[0]) == 6
