@@ -205,8 +205,17 @@ def exact_median(
 ) -> DataFrame:
     """Interpolated median of the non-null values of each group, as a double."""
     known = df.filter(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias(value))
-    if is_bounded(known, by) if bounded is None else bounded:
+    if bounded:
         return known.groupBy(*by).agg(F.median(value).alias(name))
+    if bounded is None:
+        # Equal values are counted before anything is sorted; few distinct values are a small table whatever the rows.
+        counted = cut_lineage(known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
+        if is_bounded(counted, by):
+            upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+            placed = counted.withColumns({"_upto": F.sum("_n").over(upto), "_size": F.sum("_n").over(Window.partitionBy(*by))})
+            low, high = F.floor((F.col("_size") + 1) / 2), F.floor((F.col("_size") + 2) / 2)
+            middle = placed.groupBy(*by).agg(F.min(F.when(F.col("_upto") >= low, F.col(value))).alias("_a"), F.min(F.when(F.col("_upto") >= high, F.col(value))).alias("_b"))
+            return middle.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(name))
     indexed = group_size(row_index(known, [F.col(value), F.col(key)], by=by, name="_index", bounded=False), by, "_size")
     middle = F.col("_index").isin(
         F.floor((F.col("_size") + 1) / 2), F.floor((F.col("_size") + 2) / 2)
