@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from areascreen.operators.geometry.grid import box_cells, cell
-from areascreen.operators.geometry.polygons import boxes, points_in_polygons
+from areascreen.operators.geometry.polygons import boxes, distinct_polygons, points_in_polygons
 from areascreen.operators.skew import salted_join
 from areascreen.session import cut_lineage
 
@@ -35,14 +35,6 @@ def oriented(edges: DataFrame, key: str = "geo_id") -> DataFrame:
     return turned.select(*[F.col(f"_{c}").alias(c) if c in ends else F.col(c) for c in edges.columns])
 
 
-def _distinct_polygons(edges: DataFrame, by: str, polygon: str) -> DataFrame:
-    """by, polygon: one polygon of each set of equal edges, so that copies of a polygon are one."""
-    coordinates = ["x1", "y1", "x2", "y2"]
-    told = edges.groupBy(by, polygon).agg(
-        F.bit_xor(F.xxhash64(*coordinates)).alias("_a"), F.sum(F.xxhash64(F.lit(1), *coordinates).cast("decimal(38,0)")).alias("_b"), F.count(F.lit(1)).alias("_n"))
-    return told.groupBy(by, "_a", "_b", "_n").agg(F.min(polygon).alias(polygon)).select(by, polygon)
-
-
 def _met(pairs: DataFrame) -> Column:
     """Places, in shares of the edge e, where the edge f meets it: a crossing, or the ends of f where both lie in one line."""
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -65,7 +57,7 @@ def union_edges(edges: DataFrame, by: str, *, cell_size: float, polygon: str = "
     may overlap, touch, share borders, lie inside each other or be copies; one polygon may belong to several unions.
     Pieces closer to another boundary than OUTSIDE metres count as lying on it.
     """
-    names = cut_lineage(_distinct_polygons(edges, by, polygon))
+    names = cut_lineage(distinct_polygons(edges, [by], polygon))
     sided = cut_lineage(oriented(edges.join(names, [by, polygon]).withColumn("_own", F.struct(by, polygon)), "_own"))
     holders = sided.drop("_own", by).distinct()
     lines = sided.select(by, "x1", "y1", "x2", "y2").filter("x1 != x2 OR y1 != y2").distinct()

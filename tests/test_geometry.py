@@ -243,3 +243,19 @@ def test_problems_of_polygons_and_their_places(spark):
         "open": {("unclosed_ring", 10.0, 10.0), ("unclosed_ring", 0.0, 10.0)}, "lost": {("missing_coordinate", None, None)}}
     first = {r["geo_id"]: (r["valid"], r["reason"], r["x"], r["problem_count"]) for r in validity(edges, cell_size=50.0).collect()}
     assert first["good"] == (True, None, None, 0) and first["open"] == (False, "unclosed_ring", 0.0, 2) and len(first) == 8
+
+
+def test_only_keys_outside_all_polygons_look_for_a_border(spark, monkeypatch):
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    rows = [(g, *square[i], *square[(i + 1) % 4]) for g in (1, 2) for i in range(4)]  # a polygon and its copy
+    edges = spark.createDataFrame(rows, "geo_id int, x1 double, y1 double, x2 double, y2 double")
+    places = spark.createDataFrame([("in", 5.0, 5.0), ("in", 90.0, 5.0), ("out", 13.0, 14.0), (None, 5.0, 5.0)], "node_id string, x double, y double")
+    seen, descend = [], nearest.nearest_distance
+
+    def spy(queries, *rest, **named):
+        seen.extend(r["node_id"] for r in queries.collect())
+        return descend(queries, *rest, **named)
+
+    monkeypatch.setattr(nearest, "nearest_distance", spy)
+    found = {r["node_id"]: r["distance"] for r in nearest.nearest_polygon(places, edges, key="node_id", leaf=4.0).collect()}
+    assert found == {"in": 0.0, "out": 5.0, None: 5.0} and "in" not in seen
