@@ -112,13 +112,15 @@ def coverage_completeness(plan: DataFrame) -> DataFrame:
     )
 
 
-def reach_flags(proximity_metres: float) -> dict[str, Column]:
-    """Which means reaches the node within the case's thresholds, as exclusive flags."""
+def reach_flags(proximity_metres: float, pt_minutes: Column | None = None, walk_minutes: Column | None = None) -> dict[str, Column]:
+    """Which means reaches the node within the case's thresholds, as exclusive flags; by default the thresholds are columns."""
+    pt_minutes = F.col("pt_minutes") if pt_minutes is None else pt_minutes
+    walk_minutes = F.col("walk_minutes") if walk_minutes is None else walk_minutes
     close = F.col("distance") <= proximity_metres
     walked = F.coalesce(F.col("walk_category") == "success", F.lit(False))
     return {
-        "by_pt": (F.col("pt_category") == "success") & (F.col("pt_seconds") <= F.col("pt_minutes") * 60),
-        "by_walk": walked & (F.col("walk_seconds") <= F.col("walk_minutes") * 60),
+        "by_pt": (F.col("pt_category") == "success") & (F.col("pt_seconds") <= pt_minutes * 60),
+        "by_walk": walked & (F.col("walk_seconds") <= walk_minutes * 60),
         "by_proximity": F.col("walk_category").isNotNull() & ~walked & close,
         "centroid_close": close,
     }
@@ -129,25 +131,23 @@ def accessibility_metrics(
 ) -> DataFrame:
     """Accessible population per node, scenario and threshold case, in one aggregate.
 
-    The cases are exploded from a literal, so map-side aggregation absorbs the copies
-    before the only shuffle, which is on the output key.
+    The sums of all cases are columns of one row per node and scenario; only the finished rows are
+    multiplied by the cases, so neither the rows nor the only shuffle grow with their number.
     """
     national = national_population(plan).select("national_population").scalar()
     flags = reach_flags(proximity_metres)
 
-    def people(flag: str) -> Column:
-        return F.coalesce(F.sum(F.when(flags[flag], F.col("population"))), F.lit(0))
-
-    rows = resolved.withColumn("case", F.explode(case_column(cases))).select("*", "case.*")
-    keys = ["node_id", "scenario_id", "threshold_case_id"]
-    sums = rows.groupBy(*keys).agg(
-        F.first("is_primary").alias("is_primary"),
-        F.first("pt_minutes").cast("bigint").alias("pt_minutes"),
-        F.first("walk_minutes").cast("bigint").alias("walk_minutes"),
-        people("by_pt").alias("pt_population"),
-        people("by_walk").alias("walk_population"),
-        people("by_proximity").alias("proximity_population"),
-        people("centroid_close").alias("centroid_population"),
+    def people(reached: Column) -> Column:
+        return F.coalesce(F.sum(F.when(reached, F.col("population"))), F.lit(0))
+
+    by_case = []
+    for number, (_, pt, walk, _) in enumerate(cases):
+        within = reach_flags(proximity_metres, F.lit(pt), F.lit(walk))
+        by_case += [people(within["by_pt"]).alias(f"_pt{number}"), people(within["by_walk"]).alias(f"_walk{number}")]
+    grouped = resolved.groupBy("node_id", "scenario_id").agg(
+        *by_case,
+        people(flags["by_proximity"]).alias("proximity_population"),
+        people(flags["centroid_close"]).alias("centroid_population"),
         F.count(F.lit(1)).alias("origin_count"),
         F.count_if(F.col("pt_category") == "success").alias("pt_success_count"),
         F.count_if(F.col("pt_category") == "missing_route").alias("pt_missing_route_count"),
@@ -155,6 +155,18 @@ def accessibility_metrics(
         F.count_if(F.col("walk_category") == "success").alias("walk_success_count"),
         F.count_if(flags["by_proximity"]).alias("proximity_pair_count"),
     )
+    rows = F.inline(F.array(*[
+        F.struct(
+            F.lit(case_id).alias("threshold_case_id"), F.lit(primary).alias("is_primary"),
+            F.lit(pt).cast("bigint").alias("pt_minutes"), F.lit(walk).cast("bigint").alias("walk_minutes"),
+            F.col(f"_pt{number}").alias("pt_population"), F.col(f"_walk{number}").alias("walk_population"),
+        )
+        for number, (case_id, pt, walk, primary) in enumerate(cases)
+    ]))
+    sums = grouped.select(
+        "node_id", "scenario_id", rows, "proximity_population", "centroid_population", "origin_count", "pt_success_count",
+        "pt_missing_route_count", "pt_invalid_response_count", "walk_success_count", "proximity_pair_count",
+    )
     transport = F.col("pt_population") + F.col("walk_population")
     return sums.withColumn("transport_population", transport).withColumn(
         "accessible_population", F.col("transport_population") + F.col("proximity_population")

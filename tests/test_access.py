@@ -73,3 +73,24 @@ def test_pending_requests_follow_the_fallback(spark):
     assert got == [("p2", "walk"), ("p4", "pt")]
     progress = access.ledger_progress(plan, outcomes).first()
     assert progress["status"] == "in_progress" and progress["fallbacks_required"] == 2 and progress["fallbacks_completed"] == 1
+
+
+def test_trip_steps_grow_in_partitions_not_in_rows_a_task(spark, monkeypatch):
+    from areascreen.catalog import access as queries, views
+    from areascreen.operators import skew
+
+    monkeypatch.setattr(skew, "TASK_ROWS", 500)
+    sf_dir = "/root/testdata/sf0.001"
+    lines = views.table(spark, sf_dir, "lineitem").count()
+    assert views.trip_pairs(spark, sf_dir).rdd.getNumPartitions() >= lines // 500
+    assert queries.resolved_trips(spark, sf_dir).rdd.getNumPartitions() >= 2 * lines // 500
+
+
+def test_cases_multiply_finished_rows_only(spark):
+    plan = [(f"p{k}", f"o{k}", "n", "s", 1.0, 500.0) for k in range(40)]
+    outcomes = [(f"p{k}", "pt", "success", 60.0 * k) for k in range(40)]
+    _, found = metrics(spark, plan, outcomes)
+    rows = {r["threshold_case_id"]: r for r in found.collect()}
+    assert {c: r["pt_population"] for c, r in rows.items()} == {c[0]: c[1] + 1.0 for c in CASES}
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate inline") < text.index("Aggregate [node_id")  # above it in the plan: after it in the run
