@@ -71,3 +71,27 @@ def test_written_column_carries_its_metadata(spark, tmp_path):
     assert {tuple(r)[:1] + tuple(r)[2:] for r in wkb.from_wkb(stored).select(*pick).collect()} == ranked
     with pytest.raises(FileExistsError):
         wkb.write_wkb(names, edges, writers.geometry_metadata(edges.selectExpr("*", "0 AS part"), "EPSG:3414"), path)
+
+def test_features_are_encoded_in_batches_like_one_by_one(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    rows = []
+    for name in range(300):
+        for part in range(draw.choice([1, 1, 2, 3])):
+            for ring in range(draw.choice([1, 1, 2])):
+                corners = [(draw.random(), draw.random()) for _ in range(draw.randint(3, 9))]
+                rows += edge_rows(f"g{name}", part, ring, corners)
+    draw.shuffle(rows)
+    monkeypatch.setattr(wkb, "_BATCH_EDGES", 50)
+    edges = spark.createDataFrame(rows, SCHEMA)
+    frame = edges.toPandas().sort_values(["geo_id", "part", "ring", "seq"], kind="stable")
+    wanted = {name: wkb.encode_polygon(group) for name, group in frame.groupby("geo_id")}
+    features = wkb.to_wkb(edges)
+    assert {r["geo_id"]: bytes(r["geometry"]) for r in features.collect()} == wanted
+    assert sorted(tuple(r) for r in wkb.from_wkb(features).collect()) == sorted(rows)
+    assert "FlatMapGroups" not in features._jdf.queryExecution().toString()  # no Python call for each feature
+    empty = [pa.array([], pa.list_(pa.int32()))] * 2 + [pa.array([], pa.list_(pa.float64()))] * 2
+    assert len(wkb.encode_batch(*empty)) == 0
