@@ -270,3 +270,21 @@ def test_rare_bands_are_chosen_from_all_pairs(spark, monkeypatch):
         chosen = od.balanced_pairs(plan, scenario_id="s", bands=[("near", 0.0, 50.0), ("far", 50.0, None)], pairs_per_band=3, seed="x")
         picked.append(sorted(map(tuple, chosen.collect())))
     assert picked[0] == picked[1] and len(picked[0]) == 6
+
+
+def test_exits_of_a_node_are_met_in_bundles(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    monkeypatch.setattr(od, "BUNDLE", 4)
+    exits = [(k, k % 3, float(draw.randint(0, 60)), float(draw.randint(0, 60))) for k in range(90)]
+    origins = [(k, 5, float(draw.randint(0, 60)), float(draw.randint(0, 60))) for k in range(30)]
+    doors = spark.createDataFrame(exits, "exit_id long, node_id long, x double, y double")
+    homes = spark.createDataFrame(origins, "origin_id long, population long, x double, y double")
+    wanted = {(o, n): min((x - ex) ** 2 + (y - ey) ** 2 for _, m, ex, ey in exits if m == n) for o, _, x, y in origins for n in range(3)}
+    first = {(o, n): min(e for e, m, ex, ey in exits if m == n and (x - ex) ** 2 + (y - ey) ** 2 == wanted[o, n]) for o, _, x, y in origins for n in range(3)}
+    pairs = homes.crossJoin(doors.select("node_id").distinct()).drop("population")
+    near = od.nearest_exit(pairs, doors, rows=90)
+    assert {(r["origin_id"], r["node_id"]): r["exit_id"] for r in near.collect()} == first
+    plan = od.routing_plan(homes, doors, ["s"], reach_metres=9.0)
+    assert {(r["origin_id"], r["node_id"]): r["exit_id"] for r in plan.collect()} == {p: e for p, e in first.items() if wanted[p] <= 81}
