@@ -268,3 +268,14 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd, none, small):
                 ids = [r.doc_id for r in out.select("doc_id").collect() if r.doc_id is not None]
                 assert len(ids) == len(set(ids))
             kept = spark.createDataFrame(out.collect(), out.schema)
+
+
+def test_batches_of_text_stay_within_a_megabyte():
+    import pyarrow as pa
+
+    from areascreen.llm.common import text_batches
+
+    texts = ["a" * 300_000] * 10 + ["b" * 3_000_000, None, "c"]
+    cut = list(text_batches(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    assert [t for batch in cut for t in batch.column("text").to_pylist()] == texts
+    assert all(batch.num_rows == 1 or sum(len(t or "") for t in batch.column("text").to_pylist()) <= 1 << 20 for batch in cut)
