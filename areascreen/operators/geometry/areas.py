@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from areascreen.operators.geometry.grid import box_cells, cell
-from areascreen.operators.geometry.polygons import measures, points_in_polygons, segment_distance
+from areascreen.operators.geometry.polygons import points_in_polygons, segment_distance
 from areascreen.operators.geometry.spans import condense, merge
 from areascreen.operators.geometry.unions import oriented, points_in_unions, union_edges
 from areascreen.operators.skew import salted_join
@@ -182,13 +182,10 @@ def area_weighted_population(centres: DataFrame, zones: DataFrame, radii: Sequen
 
     ``zones`` are edge rows with ``geo_id`` and ``population`` (null counts as 0). Zones without area take no part.
     """
-    zones = cut_lineage(zones)
-    overlaps = overlap_areas(centres, zones, radii, key=key)
-    people = zones.groupBy("geo_id").agg(F.coalesce(F.max("population"), F.lit(0)).alias("population"))
-    areas = measures(zones).select("geo_id", "area").filter("area > 0").join(people, "geo_id")
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("overlap_area") / F.col("area")))
-    found = overlaps.join(areas, "geo_id").groupBy(key, "radius").agg(F.sum(F.col("population") * share).alias("population"), F.count(F.lit(1)).alias("zone_count"))
-    return found.withColumn("radius", F.col("radius").cast("int"))
+    from areascreen.operators.geometry.reach import within_reach
+
+    found = within_reach(centres, zones, radii, key=key, distances=False).filter("zone_count > 0")
+    return found.select(key, F.col("radius").cast("int").alias("radius"), "population", "zone_count")
 
 
 def category_overlap(centres: DataFrame, parcels: DataFrame, radii: Sequence[int], *, key: str, cell_size: float = 500.0) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from areascreen.functions.projection import TransverseMercator, to_degrees, to_metres
-from areascreen.operators.geometry import areas, grid, nearest, polygons
+from areascreen.operators.geometry import areas, grid, nearest, polygons, reach
 from areascreen.operators.ranking import quartile_from_percentile  # noqa: F401
 from areascreen.plans.proximity import add_demand_ranks, proximity_checks
 
@@ -259,3 +259,40 @@ def test_only_keys_outside_all_polygons_look_for_a_border(spark, monkeypatch):
     monkeypatch.setattr(nearest, "nearest_distance", spy)
     found = {r["node_id"]: r["distance"] for r in nearest.nearest_polygon(places, edges, key="node_id", leaf=4.0).collect()}
     assert found == {"in": 0.0, "out": 5.0, None: 5.0} and "in" not in seen
+
+
+@pytest.fixture()
+def reach_case(spark):
+    rng = random.Random(3)
+    exits = [("n", rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(25)] + [("m", rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(9)] + [("ring", 500 + 400 * math.cos(k), 500 + 400 * math.sin(k)) for k in range(12)] + [("lost", None, 1.0)]
+    star = lambda x, y, r: [(x + (r if k % 2 else r / 4) * math.cos(k * math.pi / 5), y + (r if k % 2 else r / 4) * math.sin(k * math.pi / 5)) for k in range(10)]
+    shapes = {f"s{i}": (star(rng.uniform(-300, 1200), rng.uniform(-300, 1200), rng.uniform(5, 150)), float(i)) for i in range(40)}
+    shapes |= {"huge": (box(-3000, -3000, 3000, 3000), 1e6), "copy": (shapes["s1"][0], None), "again": (shapes["s1"][0][::-1], 7.0), "flat": ([(500, 500), (510, 510)], 3.0)}
+    return points(spark, exits + exits[:9]), edges_of(spark, shapes, ", population double")
+
+
+def test_reach_agrees_with_joins_of_edges_and_discs(spark, reach_case, monkeypatch):
+    exits, zones = reach_case
+    sized = polygons.measures(zones).join(zones.groupBy("geo_id").agg(F.coalesce(F.max("population"), F.lit(0.0)).alias("population")), "geo_id")
+    shared = areas.overlap_areas(exits, zones, [90, 200], key="node_id").join(sized, "geo_id").filter("area > 0").groupBy("node_id", "radius").agg(F.sum(F.col("population") * F.col("overlap_area") / F.col("area")), F.count(F.lit(1)))
+    want = {(r[0], r[1]): (r[2], r[3]) for r in shared.collect()}
+    far = polygons.polygon_distances(exits.dropna(), zones, 200.0, key="node_id").collect()
+    near = {(k, r): sum(x["node_id"] == k and x["distance"] < r for x in far) for k in ("n", "m", "ring") for r in (90.0, 200.0)}
+    for limits in ((256, 512, 1024, 1 << 18), (10, 8, 1, 7)):  # one row each; then most by joins, pieces of one row and steps of a few edges
+        for name, value in zip(("CENTRES", "EDGES", "KEY_ROWS", "STEP"), limits):
+            monkeypatch.setattr(reach, name, value)
+        got = {(r["node_id"], r["radius"]): (r["population"], r["zone_count"], r["reached"]) for r in reach.within_reach(exits, zones, [90, 200], key="node_id").collect()}
+        assert {k: v[2] for k, v in got.items()} == near and {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+        assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()}, rel=1e-9)
+
+
+def test_population_writes_no_row_for_an_edge_and_a_disc(spark, reach_case, monkeypatch):
+    monkeypatch.setattr(areas, "_chords", lambda pairs: pytest.fail("a row for every edge and disc"))
+    assert areas.area_weighted_population(*reach_case, [200], key="node_id").count() == 3
+
+
+def test_distances_write_no_row_for_a_node_and_a_polygon(spark, monkeypatch):
+    from areascreen.catalog import spatial
+
+    monkeypatch.setattr(polygons, "polygon_distances", lambda *a, **k: pytest.fail("a row for every node and polygon"))
+    assert spatial.zones_reached(spark, "/root/testdata/sf0.001").agg(F.sum("zone_count")).first()[0] > 0
