@@ -6,7 +6,7 @@ counts, minima and maxima, and sources are listed as rows, never gathered into o
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,20 +15,21 @@ from areascreen.operators.skew import salted_join
 from areascreen.session import cut_lineage
 
 
-@dataclass(frozen=True)
-class Resolution:
-    """Result tables of :func:`deduplicate`."""
-
-    branches: DataFrame
-    memberships: DataFrame
-    reviews: DataFrame
-    resolutions: DataFrame
+#: A table of up to so many rows is sent whole to the tasks that look something up in it.
+LOOKUP_ROWS = 10_000
 
 
 def _blank_to_null(name: str) -> Column:
     return F.nullif(F.col(name), F.lit(""))
 
 
+def _look_up(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a table of unique keys; a short one needs no count of the rows' keys and no shuffle of the rows."""
+    if found.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        return rows.join(F.broadcast(found), keys, "left")
+    return salted_join(rows, found, keys, spread=["candidate_id"], how="left")
+
+
 def apply_canonical_fields(candidates: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Validated fields replace raw ones before matching; brand aliases map to one name.
 
@@ -37,9 +38,7 @@ def apply_canonical_fields(candidates: DataFrame, aliases: DataFrame | None = No
     brand = text.normalize_name(F.col("brand_name"))
     rows = candidates.withColumn("brand", brand)
     if aliases is not None:
-        rows = salted_join(
-            rows, aliases.select(F.col("alias").alias("brand"), "canonical_brand"), ["brand"], spread=["candidate_id"], how="left"
-        ).withColumn("brand", F.coalesce("canonical_brand", "brand")).drop("canonical_brand")
+        rows = _look_up(rows, aliases.select(F.col("alias").alias("brand"), "canonical_brand"), ["brand"]).withColumn("brand", F.coalesce("canonical_brand", "brand")).drop("canonical_brand")
     address = F.coalesce(_blank_to_null("canonical_address"), F.col("address_raw"))
     postal = F.coalesce(_blank_to_null("canonical_postal_code"), _blank_to_null("postal_code"))
     unit = F.coalesce(_blank_to_null("canonical_unit"), _blank_to_null("unit"))
@@ -98,6 +97,78 @@ def _review(entity_type: str, reference: Column, issue: Column, entity: Column |
     ]
 
 
+class Resolution:
+    """Result tables of :func:`deduplicate`, each worked out when it is first asked for."""
+
+    _KEYS = ["brand", "postal_key", "address_key", "unit_key"]
+
+    def __init__(self, records: DataFrame):
+        self._records = records
+
+    @cached_property
+    def _verdicts(self) -> DataFrame:
+        return cut_lineage(supported_units(self._records))
+
+    @cached_property
+    def _keyed(self) -> DataFrame:
+        fills = self._verdicts.filter("resolved").select("brand", "building", F.col("identity").alias("_fill"))
+        filled = _look_up(self._records, fills, ["brand", "building"])
+        fill = F.col("unit").isNull() & F.col("_fill").isNotNull()
+        filled = filled.withColumns({
+            "address": F.when(fill, F.col("_fill.address")).otherwise(F.col("address")),
+            "normalized_address": F.when(fill, F.col("_fill.address")).otherwise(F.col("normalized_address")),
+            "postal": F.when(fill, F.col("_fill.postal")).otherwise(F.col("postal")),
+            "unit": F.when(fill, F.col("_fill.unit")).otherwise(F.col("unit")),
+        }).drop("_fill")
+        return filled.withColumns({
+            "postal_key": F.coalesce("postal", F.lit("")), "unit_key": F.coalesce("unit", F.lit("")),
+            "address_key": F.when(F.col("postal").isNull(), F.col("normalized_address")).otherwise(""),
+        }).select("candidate_id", "seq", "brand", "brand_name", "address", "normalized_address", "postal_key", "unit_key", "address_key")
+
+    def _grouped(self, keyed: DataFrame) -> DataFrame:
+        return keyed.groupBy(*self._KEYS).agg(
+            F.min(F.struct("seq", "candidate_id", "brand_name", "address", "normalized_address")).alias("first"),
+            F.count(F.lit(1)).alias("source_candidate_count"),
+        ).withColumn("branch_id", ids.branch_id("brand", "first.normalized_address", "unit_key"))
+
+    @cached_property
+    def branches(self) -> DataFrame:
+        return self._grouped(self._keyed).select(
+            "branch_id", F.col("first.brand_name").alias("brand_name"), F.col("brand").alias("normalized_brand_name"),
+            F.col("first.address").alias("address_raw"), F.col("first.normalized_address").alias("normalized_address"),
+            F.nullif("postal_key", F.lit("")).alias("postal_code"), F.nullif("unit_key", F.lit("")).alias("unit"), "source_candidate_count",
+        )
+
+    @cached_property
+    def memberships(self) -> DataFrame:
+        # Read by the grouping, the join and the search for hot keys: written once.
+        keyed = cut_lineage(self._keyed)
+        return salted_join(
+            keyed.select(*self._KEYS, "candidate_id"), self._grouped(keyed).select(*self._KEYS, "branch_id"), self._KEYS, spread=["candidate_id"]
+        ).select("branch_id", "candidate_id")
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        groups = cut_lineage(self._grouped(self._keyed))
+        building_ref = F.concat_ws("|", "brand", "building")
+        identity_reviews = self._verdicts.filter(~F.col("resolved")).select(*_review("branch_group", building_ref, F.col("issue_category")))
+        postal_groups = groups.filter(F.col("postal_key") != "").groupBy("brand", "postal_key").agg(
+            F.bool_or(F.col("unit_key") == "").alias("missing"), F.bool_or(F.col("unit_key") != "").alias("known")
+        ).filter("missing AND known")
+        unit_reviews = postal_groups.select(
+            *_review("branch_group", F.concat_ws("|", "brand", "postal_key"), F.lit("ambiguous_unit_within_postal"))
+        )
+        postal_reviews = groups.filter(F.col("postal_key") == "").select(*_review(
+            "branch_candidate", F.col("first.candidate_id"), F.lit("missing_or_invalid_postal_code"),
+            F.concat_ws("|", "brand", "address_key", "unit_key"),
+        ))
+        return identity_reviews.unionByName(unit_reviews).unionByName(postal_reviews)
+
+    @cached_property
+    def resolutions(self) -> DataFrame:
+        return self._verdicts.filter("resolved")
+
+
 def deduplicate(candidates: DataFrame, aliases: DataFrame | None = None) -> Resolution:
     """Group candidates into branches on exact (brand, postal, unit).
 
@@ -106,50 +177,7 @@ def deduplicate(candidates: DataFrame, aliases: DataFrame | None = None) -> Reso
     postal code only identical (brand, address, unit) rows merge. A missing unit beside known
     units under one postal code is reviewed, never merged.
     """
-    records = apply_canonical_fields(candidates, aliases)
-    verdicts = supported_units(records)
-    fills = verdicts.filter("resolved").select("brand", "building", F.col("identity").alias("_fill"))
-    filled = salted_join(records, fills, ["brand", "building"], spread=["candidate_id"], how="left")
-    fill = F.col("unit").isNull() & F.col("_fill").isNotNull()
-    filled = filled.withColumns({
-        "address": F.when(fill, F.col("_fill.address")).otherwise(F.col("address")),
-        "normalized_address": F.when(fill, F.col("_fill.address")).otherwise(F.col("normalized_address")),
-        "postal": F.when(fill, F.col("_fill.postal")).otherwise(F.col("postal")),
-        "unit": F.when(fill, F.col("_fill.unit")).otherwise(F.col("unit")),
-    }).drop("_fill")
-    # Read by the grouping, the memberships and the search for hot keys: written once.
-    keyed = cut_lineage(filled.withColumns({
-        "postal_key": F.coalesce("postal", F.lit("")), "unit_key": F.coalesce("unit", F.lit("")),
-        "address_key": F.when(F.col("postal").isNull(), F.col("normalized_address")).otherwise(""),
-    }).select("candidate_id", "seq", "brand", "brand_name", "address", "normalized_address", "postal_key", "unit_key", "address_key"))
-    keys = ["brand", "postal_key", "address_key", "unit_key"]
-    groups = keyed.groupBy(*keys).agg(
-        F.min(F.struct("seq", "candidate_id", "brand_name", "address", "normalized_address")).alias("first"),
-        F.count(F.lit(1)).alias("source_candidate_count"),
-    ).withColumn("branch_id", ids.branch_id("brand", "first.normalized_address", "unit_key"))
-    branches = groups.select(
-        "branch_id", F.col("first.brand_name").alias("brand_name"), F.col("brand").alias("normalized_brand_name"),
-        F.col("first.address").alias("address_raw"), F.col("first.normalized_address").alias("normalized_address"),
-        F.nullif("postal_key", F.lit("")).alias("postal_code"), F.nullif("unit_key", F.lit("")).alias("unit"), "source_candidate_count",
-    )
-    memberships = salted_join(
-        keyed.select(*keys, "candidate_id"), groups.select(*keys, "branch_id"), keys, spread=["candidate_id"]
-    ).select("branch_id", "candidate_id")
-
-    building_ref = F.concat_ws("|", "brand", "building")
-    identity_reviews = verdicts.filter(~F.col("resolved")).select(*_review("branch_group", building_ref, F.col("issue_category")))
-    postal_groups = groups.filter(F.col("postal_key") != "").groupBy("brand", "postal_key").agg(
-        F.bool_or(F.col("unit_key") == "").alias("missing"), F.bool_or(F.col("unit_key") != "").alias("known")
-    ).filter("missing AND known")
-    unit_reviews = postal_groups.select(
-        *_review("branch_group", F.concat_ws("|", "brand", "postal_key"), F.lit("ambiguous_unit_within_postal"))
-    )
-    postal_reviews = groups.filter(F.col("postal_key") == "").select(*_review(
-        "branch_candidate", F.col("first.candidate_id"), F.lit("missing_or_invalid_postal_code"),
-        F.concat_ws("|", "brand", "address_key", "unit_key"),
-    ))
-    reviews = identity_reviews.unionByName(unit_reviews).unionByName(postal_reviews)
-    return Resolution(branches, memberships, reviews, verdicts.filter("resolved"))
+    return Resolution(apply_canonical_fields(candidates, aliases))
 
 
 def brands_of(branches: DataFrame) -> DataFrame:

@@ -288,3 +288,11 @@ def test_exits_of_a_node_are_met_in_bundles(spark, monkeypatch):
     assert {(r["origin_id"], r["node_id"]): r["exit_id"] for r in near.collect()} == first
     plan = od.routing_plan(homes, doors, ["s"], reach_metres=9.0)
     assert {(r["origin_id"], r["node_id"]): r["exit_id"] for r in plan.collect()} == {p: e for p, e in first.items() if wanted[p] <= 81}
+
+
+def test_resolutions_read_the_candidates_without_a_search_for_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(entity, "salted_join", lambda *a, **k: pytest.fail("rows counted by key or shuffled"))
+    support = ("12 Main Street", "123456", "#01-02")
+    aliases = spark.createDataFrame([("ALFA", "ALPHA")], "alias string, canonical_brand string")
+    result = resolve(spark, [candidate(1, canonical=support, address="12 Main Street"), candidate(2, brand="Alfa", address="12 Main Street", unit=None)], aliases)
+    assert [(r["brand"], r["missing_units"]) for r in result.resolutions.collect()] == [("ALPHA", 1)]
