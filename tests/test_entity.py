@@ -296,3 +296,14 @@ def test_resolutions_read_the_candidates_without_a_search_for_hot_keys(spark, mo
     aliases = spark.createDataFrame([("ALFA", "ALPHA")], "alias string, canonical_brand string")
     result = resolve(spark, [candidate(1, canonical=support, address="12 Main Street"), candidate(2, brand="Alfa", address="12 Main Street", unit=None)], aliases)
     assert [(r["brand"], r["missing_units"]) for r in result.resolutions.collect()] == [("ALPHA", 1)]
+
+
+def test_reviews_search_no_hot_keys_and_long_tables_give_the_same(spark, monkeypatch):
+    support = ("12 Main Street", "123456", "#01-02")
+    rows = [candidate(1, canonical=support, address="12 Main Street"), candidate(2, address="12 Main Street", unit=None), candidate(3, postal=None), candidate(4, brand="B", unit=None), candidate(5, brand="B")]
+    told = lambda: sorted(tuple(r) for r in resolve(spark, rows).reviews.collect())
+    monkeypatch.setattr(entity, "LOOKUP_ROWS", 0, raising=False)
+    long = told()
+    monkeypatch.setattr(entity, "LOOKUP_ROWS", 10, raising=False)
+    monkeypatch.setattr(entity, "salted_join", lambda *a, **k: pytest.fail("rows counted by key or shuffled"))
+    assert told() == long and len(long) > 0
