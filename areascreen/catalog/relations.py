@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from areascreen.catalog.decide import SCREEN_SQL, measures, screened
 from areascreen.catalog.registry import query
-from areascreen.catalog.views import nodes, origins, table, trip_plan, with_views
+from areascreen.catalog.views import nodes, origins, table, trip_plan, trip_rows, with_views
 from areascreen.operators import joins, population, quality, selection, stats
 from areascreen.plans import competition, decision, sensitivity, signals
 from areascreen.plans.proximity import proximity_checks
@@ -525,7 +525,7 @@ def release_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def publication_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gates of the routing plan, the proximity baseline and the accessibility metrics before each is published."""
     people = origins(spark, sf_dir).select("origin_id")
-    routing = quality.routing_plan_checks(trip_plan(spark, sf_dir), origins=people, nodes=nodes(spark, sf_dir).select("node_id"), scenarios=2)
+    routing = quality.routing_plan_checks(trip_plan(spark, sf_dir), origins=people, nodes=nodes(spark, sf_dir).select("node_id"), scenarios=2, rows=trip_rows(spark, sf_dir))
     nation = table(spark, sf_dir, "nation")
     customers = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     low = F.sum(F.col("c_acctbal").cast("double"))

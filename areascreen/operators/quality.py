@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from areascreen.functions.text import is_url_or_null
+from areascreen.operators.skew import sized
 
 #: Patterns of text that looks like a credential.
 SECRET_PATTERNS = [
@@ -202,17 +203,21 @@ def release_status(check_rows: DataFrame) -> DataFrame:
         .otherwise("pass").alias("release_status"), F.count_if(F.col("status") == "blocker").alias("blockers"))
 
 
-def routing_plan_checks(plan: DataFrame, *, origins: DataFrame, nodes: DataFrame, scenarios: int, key: str = "od_plan_id") -> DataFrame:
+def routing_plan_checks(plan: DataFrame, *, origins: DataFrame, nodes: DataFrame, scenarios: int, key: str = "od_plan_id", rows: int = 0) -> DataFrame:
     """check_id, violations: gates of a routing plan before it is executed.
 
-    A full plan has a trip for every origin, node and scenario; ids are unique, populations and distances not negative.
+    A full plan has a trip for every origin, node and scenario; ids are unique, populations and distances not negative. ``rows``
+    is a bound on the plan's rows, where known: ids are told apart in partitions that follow it.
     """
     size = _rows_of(origins.select("origin_id").distinct()) * _rows_of(nodes.select("node_id").distinct()) * scenarios
+    bad = {name: F.count_if(~F.coalesce(F.col(name) >= 0, F.lit(False))).alias(name) for name in ("population", "distance")}
+    trips = sized(plan.select(key, "population", "distance"), [key], rows).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *bad.values())
+    total = F.coalesce(F.sum("_n"), F.lit(0))
     tests = {
-        "row_count": F.abs(F.count(F.lit(1)) - size), "duplicate_trips": F.count(F.lit(1)) - F.countDistinct(key),
-        "negative_population": F.count_if(~F.coalesce(F.col("population") >= 0, F.lit(False))), "negative_distance": F.count_if(~F.coalesce(F.col("distance") >= 0, F.lit(False))),
+        "row_count": F.abs(total - size), "duplicate_trips": total - F.count(key),
+        "negative_population": F.coalesce(F.sum("population"), F.lit(0)), "negative_distance": F.coalesce(F.sum("distance"), F.lit(0)),
     }
-    row = plan.agg(*[t.cast("long").alias(n) for n, t in tests.items()])
+    row = trips.agg(*[t.cast("long").alias(n) for n, t in tests.items()])
     return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check_id"), F.col(n).alias("violations")) for n in tests])))
 
 

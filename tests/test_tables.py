@@ -250,3 +250,17 @@ def test_both_sets_under_every_threshold(spark):
     selected = spark.createDataFrame([("low", 1), ("low", 2), ("high", 3)], "threshold string, node_id int")
     got = sorted((r["node_set"], r["threshold"], r["node_id"]) for r in both_sets(screen, selected, "low").collect())
     assert got == [("alternative", "high", 3), ("alternative", "low", 1), ("alternative", "low", 2), ("fixed", "high", 1), ("fixed", "high", 2), ("fixed", "low", 1), ("fixed", "low", 2)]
+
+
+def test_trip_ids_are_told_apart_in_partitions_by_rows(spark, monkeypatch):
+    from areascreen.operators import quality, skew
+
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    plan = spark.createDataFrame([("a", 1, 2.0), ("a", None, -1.0), (None, -3, None), ("b", 0, 1.0)], "od_plan_id string, population int, distance double")
+    one = spark.createDataFrame([(1, 1)], "origin_id int, node_id int")
+    seen, dealt = [], skew.sized
+    monkeypatch.setattr(quality, "sized", lambda df, keys, rows: seen.append(dealt(df, keys, rows)) or seen[-1])
+    told = lambda p, n: {r["check_id"]: r["violations"] for r in quality.routing_plan_checks(p, origins=one, nodes=one, scenarios=2, rows=n).collect()}
+    assert told(plan, 200) == {"row_count": 2, "duplicate_trips": 2, "negative_population": 2, "negative_distance": 2}
+    assert seen[0].rdd.getNumPartitions() == 20
+    assert told(plan.limit(0), 0) == {"row_count": 2, "duplicate_trips": 0, "negative_population": 0, "negative_distance": 0}
