@@ -28,12 +28,11 @@ def _undominated(values: np.ndarray) -> np.ndarray:
     """Mask of the rows that no other row dominates."""
     order = np.lexsort(tuple(-values[:, i] for i in reversed(range(values.shape[1]))))
     kept: list[int] = []
-    for index in order:  # a row can be dominated only by rows sorted before it
-        if kept:
-            best = values[kept]
-            if bool(np.any(np.all(best >= values[index], axis=1) & np.any(best > values[index], axis=1))):
-                continue
-        kept.append(int(index))
+    while len(order):  # a row can be dominated only by rows sorted before it, so the first one left is kept
+        first, order = order[0], order[1:]
+        kept.append(int(first))
+        rest, best = values[order], values[first]
+        order = order[~(np.all(best >= rest, axis=1) & np.any(best > rest, axis=1))]
     mask = np.zeros(len(values), dtype=bool)
     mask[kept] = True
     return mask

@@ -155,3 +155,17 @@ def test_missing_competition_makes_a_ranking_unavailable(spark):
     counts = spark.createDataFrame([("a", 1, 2)], "node_id string, confirmed_10 int, confirmed_15 int")
     got = {(r["threshold"], r["status"]) for r in decision.with_competition(cells, counts, by=["threshold"]).collect()}
     assert got == {("t", "unavailable_missing_competition"), ("u", "complete")}
+
+
+def test_a_dominated_row_is_dropped_by_the_step_of_the_row_above_it(monkeypatch):
+    import numpy as np
+
+    from areascreen.operators import pareto
+
+    rng = np.random.default_rng(4)
+    for values in (np.arange(3000.0).repeat(3).reshape(-1, 3), rng.integers(0, 9, (300, 3)).astype(float), np.zeros((5, 2)), np.empty((0, 3))):
+        want = [not any((o >= v).all() and (o > v).any() for o in values[-300:]) for v in values]
+        assert pareto._undominated(values).tolist() == want
+    steps, every = [], np.all
+    monkeypatch.setattr(np, "all", lambda *a, **k: steps.append(1) or every(*a, **k))
+    assert pareto._undominated(np.arange(3000.0).repeat(3).reshape(-1, 3)).sum() == 1 and len(steps) == 1
