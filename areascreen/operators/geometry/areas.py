@@ -193,7 +193,20 @@ def category_overlap(centres: DataFrame, parcels: DataFrame, radii: Sequence[int
 
     ``parcels`` are edge rows with geo_id and category. Parcels that overlap count once per category; the row with a
     null category is the union over all categories. Categories that share nothing with a buffer have no row.
+
+    The unions are tiles (``tiles``), the overlaps sums over tiles in reach. Parcels with more than ``reach.EDGES`` edges are not
+    held in one row: then all goes through joins of edges, in grid cells of ``cell_size``.
     """
+    from areascreen.operators.geometry import reach
+    from areascreen.operators.geometry.tiles import union_tiles
+
+    parcels = parcels.dropna(subset=["geo_id", "x1", "y1", "x2", "y2"])
+    if parcels.groupBy("geo_id").count().filter(F.col("count") > reach.EDGES).isEmpty():
+        tiles = union_tiles(parcels, F.concat(F.lit("="), F.coalesce("category", F.lit(""))), all_as="all", size=2 * cell_size)
+        found = reach.union_overlap(centres, tiles, radii, key=key)
+        return found.select(
+            key, F.col("radius").cast("int").alias("radius"), F.when(F.col("_by") != "all", F.substr("_by", F.lit(2))).alias("category"),
+            "area", "buffer_area", (F.col("area") / F.col("buffer_area")).alias("area_share"))
     labelled = F.explode(F.array(F.concat(F.lit("="), F.coalesce("category", F.lit(""))), F.lit("all"))).alias("_by")
     parcels = cut_lineage(parcels.dropna(subset=["geo_id", "x1", "y1", "x2", "y2"]).select("geo_id", *[c for c in ("part", "ring") if c in parcels.columns], labelled, "x1", "y1", "x2", "y2"))
     boundary, holders, names = union_edges(parcels, "_by", cell_size=cell_size)

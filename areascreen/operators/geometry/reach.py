@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from areascreen.operators.geometry.areas import LEAST_AREA, START, overlap_areas
+from areascreen.operators.geometry.areas import LEAST_AREA, START, overlap_areas, union_arcs, union_area
 from areascreen.operators.geometry.grid import box_cells
 from areascreen.operators.geometry.polygons import measures, polygon_distances
 from areascreen.operators.geometry.unions import oriented
@@ -52,14 +52,21 @@ def free_arcs(x: np.ndarray, y: np.ndarray, r: float) -> tuple[np.ndarray, np.nd
     return circle, before[circle, place], low[circle, place + 1]
 
 
+def _within(x: np.ndarray, y: np.ndarray, r: float, start: np.ndarray, end: np.ndarray) -> float:
+    """Area inside the arcs of circles around (x, y)."""
+    x, y = x - x[0], y - y[0]
+    start, end = start + START, end + START
+    return float((r * r * (end - start) + r * (x * (np.sin(end) - np.sin(start)) - y * (np.cos(end) - np.cos(start)))).sum() / 2)
+
+
 def _discs(centres: DataFrame, radii: Sequence[float], key: str) -> DataFrame:
-    """A row per key and radius: the discs that make up the union and the arcs that bound it.
+    """A row per key and radius: the discs that make up the union, the arcs that bound it, and its area.
 
     Where the centres lie closer together than the radius the union has no hole, and discs without a free arc add nothing.
     """
     gathered = centres.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("spots"))
     kind = centres.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, radius double, x array<double>, y array<double>, circle array<int>, start array<double>, end array<double>, ox double, oy double, lo_x double, hi_x double, lo_y double, hi_y double"
+    schema = f"{key} {kind}, radius double, buffer_area double, x array<double>, y array<double>, circle array<int>, start array<double>, end array<double>, ox double, oy double, lo_x double, hi_x double, lo_y double, hi_y double"
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,10 +80,10 @@ def _discs(centres: DataFrame, radii: Sequence[float], key: str) -> DataFrame:
                     circle, start, end = free_arcs(x, y, r)
                     kept = np.unique(circle) if math.hypot(box[1] - box[0], box[3] - box[2]) <= 0.99 * r else np.arange(len(x))
                     taken.append(i)
-                    rows.append((r, x[kept], y[kept], np.searchsorted(kept, circle).astype("int32"), start, end, box[0], box[2], box[0] - r, box[1] + r, box[2] - r, box[3] + r))
-            columns = [pa.array(c) for c in zip(*rows)] if rows else [[] for _ in range(12)]
+                    rows.append((r, _within(x[circle], y[circle], r, start, end), x[kept], y[kept], np.searchsorted(kept, circle).astype("int32"), start, end, box[0], box[2], box[0] - r, box[1] + r, box[2] - r, box[3] + r))
+            columns = [pa.array(c) for c in zip(*rows)] if rows else [[] for _ in range(13)]
             made = [names.take(pa.array(taken, pa.int32()))] + list(columns)
-            yield pa.RecordBatch.from_arrays(made, names=[key, "radius", "x", "y", "circle", "start", "end", "ox", "oy", "lo_x", "hi_x", "lo_y", "hi_y"])
+            yield pa.RecordBatch.from_arrays(made, names=[key, "radius", "buffer_area", "x", "y", "circle", "start", "end", "ox", "oy", "lo_x", "hi_x", "lo_y", "hi_y"])
 
     return gathered.mapInArrow(compute, schema)
 
@@ -93,7 +100,8 @@ def _shapes(edges: DataFrame, polygon: str, rows: int) -> DataFrame:
 class _Piece:
     """The shapes of one piece of a cell as flat arrays."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, least: float = LEAST_AREA):
+        self.least = least
         listed = table.column("edges").combine_chunks()
         flat = listed.flatten()
         self.x1, self.y1, self.x2, self.y2 = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2"))
@@ -120,13 +128,13 @@ class _Piece:
         full.append(near[inside])
         chosen, full = near[~inside], np.concatenate(full)
         reached = int(self.copies[full].sum())
-        full = full[self.area[full] > LEAST_AREA]
+        full = full[self.area[full] > self.least]
         people, count = float(self.population[full].sum()), int(self.copies[full].sum())
         if len(chosen):
             shared, close = self._along(chosen, x, y, r, circle, start, end, ox, oy, (mx, my, wide), areas, distances)
             if areas:
                 area = self.area[chosen]
-                hit = (shared > LEAST_AREA) & (area > 0)
+                hit = (shared > self.least) & (area > 0)
                 share = np.minimum(1.0, np.maximum(0.0, shared[hit] / area[hit]))
                 people += float((self.population[chosen][hit] * share).sum())
                 count += int(self.copies[chosen][hit].sum())
@@ -252,36 +260,37 @@ class _Piece:
         return np.bincount(z[row[hit]] * len(px) + k[hit], minlength=m * len(px))
 
 
-def _pieces_of(discs: DataFrame, shapes: DataFrame, size: float, key: str, areas: bool, distances: bool) -> DataFrame:
-    cells = ["cx", "cy"]
+def _pieces_of(discs: DataFrame, shapes: DataFrame, size: float, key: str, areas: bool, distances: bool, by: Sequence[str] = (), least: float = LEAST_AREA) -> DataFrame:
+    """Sums per key, radius and ``by`` (of the shapes), a row from each piece that the key's discs are in."""
+    place = ["cx", "cy"]
+    cells = [*place, *by]
     circles, polygons = box_cells(discs, size), box_cells(shapes, size)
-    counted = circles.groupBy(*cells).agg(F.count(F.lit(1)).alias("_a")).join(polygons.groupBy(*cells).agg(F.count(F.lit(1)).alias("_b")), cells)
+    counted = circles.groupBy(*place).agg(F.count(F.lit(1)).alias("_a")).join(polygons.groupBy(*cells).agg(F.count(F.lit(1)).alias("_b")), place)
     grid = cut_lineage(counted.select(*cells, F.ceil(F.col("_a") / KEY_ROWS).cast("int").alias("_i"), F.ceil(F.col("_b") / SHAPE_ROWS).cast("int").alias("_j")))
     pieces = grid.agg(F.coalesce(F.sum(F.col("_i").cast("long") * F.col("_j")), F.lit(0))).first()[0]
     keys = [*cells, "i", "j"]
     partitions = max(int(discs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(pieces, 4096))
 
     def deal(rows: DataFrame, own: str, other: str, mine: str, copied: str, told: list[str]) -> DataFrame:
-        dealt = rows.join(F.broadcast(grid) if pieces <= 100_000 else grid, cells).withColumn(mine, F.pmod(F.xxhash64(*told), F.col(own)).cast("int"))
+        dealt = rows.join(F.broadcast(grid) if pieces <= 100_000 else grid, [c for c in cells if c in rows.columns]).withColumn(mine, F.pmod(F.xxhash64(*told), F.col(own)).cast("int"))
         dealt = dealt.withColumn(copied, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_i", "_j")
         return dealt.repartition(partitions, *keys).groupBy(*keys)
 
     kind = discs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, radius double, population double, zone_count bigint, reached bigint"
+    schema = f"{key} {kind}, radius double, {''.join(f'{c} {shapes.schema[c].dataType.simpleString()}, ' for c in by)}population double, zone_count bigint, reached bigint"
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         made = []
         if a.num_rows and b.num_rows:
-            piece, cx, cy = _Piece(b), a.column("cx")[0].as_py(), a.column("cy")[0].as_py()
+            piece, cx, cy = _Piece(b, least), a.column("cx")[0].as_py(), a.column("cy")[0].as_py()
             here = lambda x, y: (np.floor(x / size) == cx) & (np.floor(y / size) == cy)
-            for row in a.drop_columns([key]).to_pylist():
+            for row in a.drop_columns([key, *by]).to_pylist():
                 x, y, circle, start, end = (np.array(row[c]) for c in ("x", "y", "circle", "start", "end"))
                 box = row["lo_x"], row["hi_x"], row["lo_y"], row["hi_y"]
                 made.append(piece.sums(x, y, row["radius"], circle.astype(np.int64), start, end, row["ox"], row["oy"], box, here, areas, distances))
         people, count, reached = zip(*made) if made else ((), (), ())
-        names = a.column(key) if made else a.column(key).slice(0, 0)
-        radius = a.column("radius") if made else a.column("radius").slice(0, 0)
-        return pa.table([names, radius, pa.array(people, pa.float64()), pa.array(count, pa.int64()), pa.array(reached, pa.int64())], names=[key, "radius", "population", "zone_count", "reached"])
+        told = [key, "radius", *by]
+        return pa.table([*[a.column(c).slice(0, len(made)) for c in told], pa.array(people, pa.float64()), pa.array(count, pa.int64()), pa.array(reached, pa.int64())], names=[*told, "population", "zone_count", "reached"])
 
     left = deal(circles, "_i", "_j", "i", "j", [key, "radius"])
     return left.cogroup(deal(polygons, "_j", "_i", "j", "i", ["edges"])).applyInArrow(meet, schema)
@@ -318,6 +327,28 @@ def within_reach(centres: DataFrame, zones: DataFrame, radii: Sequence[float], *
     return sums.filter((F.col("zone_count") > 0) | (F.col("reached") > 0))
 
 
+def union_overlap(centres: DataFrame, tiles: DataFrame, radii: Sequence[float], *, key: str) -> DataFrame:
+    """key, radius, _by, area, buffer_area: area of each union of polygons inside the union of the discs around a key's centres,
+    and of the latter. ``tiles`` are written rows of ``tiles.union_tiles``. Pairs that share at most LEAST_AREA have no row."""
+    radii = [float(r) for r in radii]
+    spots = cut_lineage(centres.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().distinct())
+    wide = cut_lineage(spots.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CENTRES).select(key))
+    has_wide = not wide.isEmpty()
+    discs = cut_lineage(_discs(spots.join(wide, key, "left_anti") if has_wide else spots, radii, key))
+    shapes = tiles.withColumnRenamed("area", "population").withColumn("copies", F.lit(1).cast("bigint"))
+    met = _pieces_of(discs.drop("buffer_area"), shapes, 2 * max(radii), key, True, False, by=["_by"], least=0.0)
+    found, buffers = met.select(key, "radius", "_by", F.col("population").alias("area")), discs.select(key, "radius", "buffer_area")
+    if has_wide:
+        many = spots.join(wide, key, "left_semi")
+        arcs = cut_lineage(union_arcs(many, radii, key=key))
+        named = cut_lineage(tiles.withColumn("_tile", F.monotonically_increasing_id()))
+        shared = overlap_areas(many, named.select("_tile", F.inline("edges")), radii, key=key, polygon="_tile", arcs=arcs)
+        found = found.unionByName(shared.join(named.select("_tile", "_by"), "_tile").select(key, "radius", "_by", F.col("overlap_area").alias("area")))
+        buffers = buffers.unionByName(union_area(arcs, key, "buffer_area"))
+    sums = found.groupBy(key, "radius", "_by").agg(F.sum("area").alias("area")).filter(F.col("area") > LEAST_AREA)
+    return sums.join(buffers, [key, "radius"])
+
+
 def _by_joins(centres: DataFrame, edges: DataFrame, radii: Sequence[float], key: str, polygon: str, areas: bool, distances: bool) -> DataFrame:
     """The same sums by joins of edges and centres, for keys and polygons too large for one row."""
     none, parts = F.lit(0).cast("bigint"), []

@@ -296,3 +296,47 @@ def test_distances_write_no_row_for_a_node_and_a_polygon(spark, monkeypatch):
 
     monkeypatch.setattr(polygons, "polygon_distances", lambda *a, **k: pytest.fail("a row for every node and polygon"))
     assert spatial.zones_reached(spark, "/root/testdata/sf0.001").agg(F.sum("zone_count")).first()[0] > 0
+
+
+@pytest.fixture(scope="module")
+def category_case(spark):
+    rng = random.Random(11)
+    corner = lambda: 10.0 * rng.randrange(-20, 60)
+    rings = []
+    for i in range(40):  # boxes on a lattice, so that borders and corners coincide; some with a hole
+        x, y, w, h = corner(), corner(), 10.0 * rng.randrange(1, 20), 10.0 * rng.randrange(1, 20)
+        rings.append((f"b{i}", "xyz"[i % 3], 0, box(x, y, x + w, y + h)[::rng.choice((1, -1))]))
+        if i % 4 == 0:
+            rings.append((f"b{i}", "xyz"[i % 3], 1, box(x + w / 4, y + h / 4, x + w / 2, y + h / 2)))
+    for i in range(40):
+        x, y, r = rng.uniform(-200, 600), rng.uniform(-200, 600), rng.uniform(5, 120)
+        rings.append((f"s{i}", "xy"[i % 2], 0, [(x + (r if k % 2 else r / 3) * math.cos(k * math.pi / 5), y + (r if k % 2 else r / 3) * math.sin(k * math.pi / 5)) for k in range(10)]))
+    rings += [("copy", "x", 0, rings[0][3]), ("flat", None, 0, [(500, 500), (510, 510)]), ("none", None, 0, box(100, 100, 140, 150))]
+    rows = [(key, kind, 0, ring, *map(float, a), *map(float, b)) for key, kind, ring, corners in rings for a, b in zip(corners, corners[1:] + corners[:1])]
+    exits = [("n", rng.uniform(0, 400), rng.uniform(0, 400)) for _ in range(12)] + [("m", 100.0, 100.0), ("m", 140.0, 100.0), ("far", 1e5, 0.0), ("lost", None, 1.0)]
+    return points(spark, exits), spark.createDataFrame(rows, "geo_id string, category string, part int, ring int, x1 double, y1 double, x2 double, y2 double")
+
+
+def test_category_tiles_agree_with_joins_of_edges(spark, category_case, monkeypatch):
+    from areascreen.operators.geometry import tiles
+
+    told = lambda: {(r["node_id"], r["radius"], r["category"]): (r["area"], r["buffer_area"], r["area_share"]) for r in areas.category_overlap(*category_case, [60, 200], key="node_id", cell_size=250.0).collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(reach, "EDGES", 3)  # the joins
+        want = told()
+    assert {k[2] for k in want} == {"x", "y", "z", "", None} and {k[0] for k in want} == {"n", "m"}
+    for held, leaf, step, centres in ((16384, 128, 1 << 20, 256), (6, 4, 50, 256), (1, 1, 1 << 20, 8)):  # as is; squares quartered before and after they are held; keys by joins
+        for module, name, value in ((tiles, "HELD", held), (tiles, "LEAF", leaf), (tiles, "STEP", step), (tiles, "LEAST", 8.0), (reach, "CENTRES", centres)):
+            monkeypatch.setattr(module, name, value)
+        got = told()
+        assert got.keys() == want.keys()
+        for k, values in want.items():
+            assert got[k] == pytest.approx(values, rel=1e-9, abs=1e-4)
+
+
+def test_category_overlap_pairs_no_edges_in_rows(spark, category_case, monkeypatch):
+    from areascreen.operators.geometry import unions
+
+    monkeypatch.setattr(areas, "_chords", lambda pairs: pytest.fail("a row for every edge and disc"))
+    monkeypatch.setattr(unions, "_met", lambda pairs: pytest.fail("a row for every pair of edges"))
+    assert areas.category_overlap(*category_case, [200], key="node_id").count() == 10
