@@ -32,6 +32,11 @@ KEY_ROWS, SHAPE_ROWS, STEP = 1024, 8192, 1 << 18
 _TURN = 2 * math.pi
 #: Where on an arc its base lies: a place where no corner of a plan does. Factors for what is surely nearer or farther.
 _ALONG, _LESS, _MORE = 0.3819660112501051, 1 - 1e-12, 1 + 1e-12
+#: Share of an edge within which two places count as one.
+_NEAR = 1e-6
+#: Sectors around a key's middle, and the directions of their middles.
+SECTORS = 8
+_MIDDLES = (np.arange(SECTORS) + 0.5) * _TURN / SECTORS - math.pi
 
 
 def free_arcs(x: np.ndarray, y: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,6 +64,40 @@ def _within(x: np.ndarray, y: np.ndarray, r: float, start: np.ndarray, end: np.n
     return float((r * r * (end - start) + r * (x * (np.sin(end) - np.sin(start)) - y * (np.cos(end) - np.cos(start)))).sum() / 2)
 
 
+def _facing(x, y, r, circle, start, end, middle) -> list[np.ndarray]:
+    """The discs with a free arc in each sector around the middle and half a sector to either side; all discs last.
+
+    A disc that holds the middle holds the way from there to each of its points. So ground of a sector lies in the union only
+    if it lies in a disc that has a free arc there.
+    """
+    mx, my, wide = middle
+    whole = np.arange(len(x))
+    if len(x) < 4 or wide > 0.9 * r:
+        return [whole]
+    first, last = (np.arctan2(y[circle] + r * np.sin(a + START) - my, x[circle] + r * np.cos(a + START) - mx) for a in (start, end))
+    turn = np.where(end - start > math.pi, _TURN, np.mod(last - first, _TURN))
+    ahead = np.mod(first - (_MIDDLES[:, None] - _TURN / SECTORS), _TURN)
+    seen = (ahead <= 2 * _TURN / SECTORS + _NEAR) | (ahead + turn >= _TURN - _NEAR)
+    return [np.unique(circle[row]) for row in seen] + [whole]
+
+
+def _by_sector(rows, facing, hx, hy, gx, gy) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(discs, rows) for the edges from h to g, seen from the middle: by the sector they face, if they keep to it and its sides."""
+    if len(facing) == 1:
+        yield facing[0], rows
+        return
+    hx, hy, gx, gy = hx[rows], hy[rows], gx[rows], gy[rows]
+    sector = np.minimum(SECTORS - 1, ((np.arctan2(hy + gy, hx + gx) + math.pi) * (SECTORS / _TURN)).astype(np.int8))
+    cx, cy, least = np.cos(_MIDDLES)[sector], np.sin(_MIDDLES)[sector], math.cos(_TURN / SECTORS)
+    keeps = (hx * cx + hy * cy >= least * np.sqrt(hx * hx + hy * hy)) & (gx * cx + gy * cy >= least * np.sqrt(gx * gx + gy * gy))
+    sector[~keeps] = SECTORS
+    order = np.argsort(sector, kind="stable")
+    bounds = np.searchsorted(sector[order], np.arange(SECTORS + 2))
+    for k, discs in enumerate(facing):
+        if bounds[k] < bounds[k + 1] and len(discs):
+            yield discs, rows[order[bounds[k]:bounds[k + 1]]]
+
+
 def _discs(centres: DataFrame, radii: Sequence[float], key: str) -> DataFrame:
     """A row per key and radius: the discs that make up the union, the arcs that bound it, and its area.
 
@@ -159,6 +198,7 @@ class _Piece:
         nth = np.full((len(x), max(1, max(map(len, arcs)))), -1)  # the arcs of each circle
         for k, own in enumerate(arcs):
             nth[k, :len(own)] = own
+        facing = _facing(x, y, r, circle, start, end, middle)
         for low in range(0, len(of), STEP):
             e = of[low:low + STEP]
             z, x1, y1, x2, y2 = place[self.owner[e]], self.x1[e], self.y1[e], self.x2[e], self.y2[e]
@@ -171,28 +211,29 @@ class _Piece:
             total += np.bincount(z[held], cross[held], m)
             close[z[held]] = True
             rest = np.nonzero(~held & (tx * tx + ty * ty <= (r + wide) ** 2 * _MORE))[0]
-            for at in range(0, len(rest), max(1, STEP // len(x))):
-                part = rest[at:at + max(1, STEP // len(x))]
-                lines = [c[part] for c in (z, x1, y1, x2, y2, cross)]
-                fx, fy, gx, gy = lines[1][:, None] - x, lines[2][:, None] - y, lines[3][:, None] - x, lines[4][:, None] - y
-                f2, g2 = fx * fx + fy * fy, gx * gx + gy * gy
-                if distances:
-                    close[lines[0][(f2 < r2 * _LESS).any(axis=1)]] = True
-                if areas:
-                    in1, in2 = f2 <= r2, g2 <= r2
-                    whole = (in1 & in2).any(axis=1)
-                    total += np.bincount(lines[0][whole], lines[5][whole], m)
-                    cut = np.nonzero(~whole)[0]
-                    total += self._cut([c[cut] for c in lines], in1[cut], in2[cut], f2[cut], x, y, r, nth, start, end, base, begun, ended, turned, m)
-            if distances:
-                part = rest[~close[z[rest]]]
-                for at in range(0, len(part), max(1, STEP // len(x))):
-                    i = part[at:at + max(1, STEP // len(x))]
-                    u1, v1, du, dv = x1[i][:, None], y1[i][:, None], dx[i][:, None], dy[i][:, None]
-                    a2 = du * du + dv * dv
-                    t = np.maximum(0.0, np.minimum(1.0, np.divide((x - u1) * du + (y - v1) * dv, a2, out=np.zeros((len(i), len(x))), where=a2 != 0)))
-                    sx, sy = x - (u1 + t * du), y - (v1 + t * dv)
-                    close[z[i[(np.sqrt(sx * sx + sy * sy) < r).any(axis=1)]]] = True
+            for discs, group in _by_sector(rest, facing, hx, hy, gx, gy):
+                px, py = x[discs], y[discs]
+                step = max(1, STEP // len(discs))
+                for at in range(0, len(group), step):
+                    part = group[at:at + step]
+                    lines = [c[part] for c in (z, x1, y1, x2, y2, cross)]
+                    fx, fy, ux, uy = lines[1] - px[:, None], lines[2] - py[:, None], lines[3] - px[:, None], lines[4] - py[:, None]
+                    f2, g2 = fx * fx + fy * fy, ux * ux + uy * uy
+                    if distances:
+                        close[lines[0][(f2 < r2 * _LESS).any(axis=0)]] = True
+                    if areas:
+                        in1, in2 = f2 <= r2, g2 <= r2
+                        whole = (in1 & in2).any(axis=0)
+                        total += np.bincount(lines[0][whole], lines[5][whole], m)
+                        cut = np.nonzero(~whole)[0]
+                        total += self._cut([c[cut] for c in lines], in1[:, cut], in2[:, cut], fx[:, cut], fy[:, cut], f2[:, cut], px, py, r, nth[discs], start, end, base, begun, ended, turned, m)
+                    if distances:
+                        i = part[~close[z[part]]]
+                        u1, v1, du, dv, qx, qy = x1[i], y1[i], dx[i], dy[i], px[:, None], py[:, None]
+                        a2 = du * du + dv * dv
+                        t = np.maximum(0.0, np.minimum(1.0, np.divide((qx - u1) * du + (qy - v1) * dv, a2, out=np.zeros((len(px), len(i))), where=a2 != 0)))
+                        sx, sy = qx - (u1 + t * du), qy - (v1 + t * dv)
+                        close[z[i[(np.sqrt(sx * sx + sy * sy) < r).any(axis=0)]]] = True
         if areas:
             sx, sy = cx + r * np.cos(base + START), cy + r * np.sin(base + START)
             total += self._holding(chosen, sx, sy) @ (ended - begun)
@@ -201,31 +242,38 @@ class _Piece:
         return total, close
 
     @staticmethod
-    def _cut(lines, in1, in2, f2, x, y, r, nth, start, end, base, begun, ended, turned, m) -> np.ndarray:
+    def _cut(lines, in1, in2, fx, fy, f2, x, y, r, nth, start, end, base, begun, ended, turned, m) -> np.ndarray:
         """What edges that no disc holds whole add: their lengths inside the union, and the parts of arcs they open or close."""
         z, x1, y1, x2, y2, cross = lines
         dx, dy = x2 - x1, y2 - y1
-        a = (dx * dx + dy * dy)[:, None]
-        b = (x1[:, None] - x) * dx[:, None] + (y1[:, None] - y) * dy[:, None]
+        a = dx * dx + dy * dy
+        b = fx * dx + fy * dy
         inner = b * b - a * (f2 - r * r)
-        rows, k = np.nonzero(in1 | in2 | ((inner > 0) & (b < 0) & (b + a > 0)))
+        k, rows = np.nonzero(in1 | in2 | ((inner > 0) & (b < 0) & (b + a > 0)))
         if not len(rows):
             return np.zeros(m)
-        root, slope, bend = np.sqrt(np.maximum(0.0, inner[rows, k])), a[rows, 0], b[rows, k]
+        root, slope, bend = np.sqrt(np.maximum(0.0, inner[k, rows])), a[rows], b[k, rows]
         first = np.clip(np.divide(-bend - root, slope, out=np.zeros_like(root), where=slope > 0), 0.0, 1.0)
         last = np.clip(np.divide(root - bend, slope, out=np.zeros_like(root), where=slope > 0), 0.0, 1.0)
-        is1, is2 = in1[rows, k], in2[rows, k]
+        is1, is2 = in1[k, rows], in2[k, rows]
         t0, t1 = np.where(is1, 0.0, first), np.where(is2, 1.0, last)
         # The union of an edge's spans, in order of their start: moved by two an edge, they never reach into the next one.
         order = np.argsort(2 * rows + t0, kind="stable")
         group, low, high = rows[order], t0[order], t1[order]
         moved = 2 * group + high
-        leader = np.maximum.accumulate(np.where(moved >= np.maximum.accumulate(moved), np.arange(len(moved)), 0))
+        top = np.maximum.accumulate(moved)
+        leader = np.maximum.accumulate(np.where(moved >= top, np.arange(len(moved)), 0))
         before = np.concatenate([[0.0], high[leader][:-1]])
         before[np.concatenate([[True], group[1:] != group[:-1]])] = 0.0
         within = np.minimum(1.0, np.bincount(group, np.maximum(0.0, high - np.maximum(low, before)), len(z)))
         total = np.bincount(z, cross * within, m)
-        for real, t, sign in ((~is2, t1, 1.0), (~is1, t0, -1.0)):
+        # Where another span of the edge goes on, its disc holds the place and no free arc runs there.
+        fresh = np.nonzero(low > before - _NEAR)[0]
+        last = np.maximum.reduceat(moved, fresh)
+        ends, starts = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+        starts[order[fresh]] = True
+        ends[order] = moved >= np.repeat(last, np.diff(np.append(fresh, len(moved)))) - _NEAR
+        for real, t, sign in ((~is2 & ends, t1, 1.0), (~is1 & starts, t0, -1.0)):
             row, disc, t = rows[real], k[real], t[real]
             angle = np.mod(np.arctan2(y1[row] + t * dy[row] - y[disc], x1[row] + t * dx[row] - x[disc]) - START, _TURN)
             for own in nth.T:
@@ -239,23 +287,24 @@ class _Piece:
     def _holding(self, chosen, px, py) -> np.ndarray:
         """Which of the chosen shapes hold which points."""
         found = np.zeros((len(chosen), len(px)), dtype=bool)
-        in_box = (self.lo_x[chosen][:, None] <= px) & (self.hi_x[chosen][:, None] >= px) & (self.lo_y[chosen][:, None] <= py) & (self.hi_y[chosen][:, None] >= py)
-        some = np.nonzero(in_box.any(axis=1))[0]
+        at_x, at_y = px[:, None], py[:, None]
+        in_box = (self.lo_x[chosen] <= at_x) & (self.hi_x[chosen] >= at_x) & (self.lo_y[chosen] <= at_y) & (self.hi_y[chosen] >= at_y)
+        some = np.nonzero(in_box.any(axis=0))[0]
         place = np.full(len(self.lo_x), -1)
         place[chosen[some]] = np.arange(len(some))
         of = np.nonzero(place[self.owner] >= 0)[0]
         crossed = np.zeros(len(some) * len(px), dtype=np.int64)
         for low in range(0, len(of), max(1, STEP // len(px))):
             e = of[low:low + max(1, STEP // len(px))]
-            crossed += self._crossed(self.x1[e][:, None], self.y1[e][:, None], self.x2[e][:, None], self.y2[e][:, None], place[self.owner[e]], px, py, len(some))
+            crossed += self._crossed(self.x1[e], self.y1[e], self.x2[e], self.y2[e], place[self.owner[e]], px, py, len(some))
         found[some] = (crossed % 2 == 1).reshape(len(some), len(px))
         return found
 
     @staticmethod
     def _crossed(x1, y1, x2, y2, z, px, py, m) -> np.ndarray:
         """How many edges of each shape a ray from each point towards +x crosses (half-open in y)."""
-        row, k = np.nonzero((y1 <= py) != (y2 <= py))
-        x1, y1, x2, y2 = x1[row, 0], y1[row, 0], x2[row, 0], y2[row, 0]
+        k, row = np.nonzero((y1 <= py[:, None]) != (y2 <= py[:, None]))
+        x1, y1, x2, y2 = x1[row], y1[row], x2[row], y2[row]
         hit = px[k] < x1 + (py[k] - y1) * (x2 - x1) / (y2 - y1)
         return np.bincount(z[row[hit]] * len(px) + k[hit], minlength=m * len(px))
 

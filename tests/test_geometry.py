@@ -298,6 +298,36 @@ def test_distances_write_no_row_for_a_node_and_a_polygon(spark, monkeypatch):
     assert spatial.zones_reached(spark, "/root/testdata/sf0.001").agg(F.sum("zone_count")).first()[0] > 0
 
 
+def test_edges_meet_only_discs_that_face_them(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    shapes, met = [], []
+    for _ in range(300):
+        (cx, cy), (w, h) = rng.uniform(-400, 400, 2), rng.uniform(5, 150, 2)
+        corners = box(cx, cy, cx + w, cy + h)
+        shapes.append({"edges": [dict(zip(("x1", "y1", "x2", "y2"), map(float, a + b))) for a, b in zip(corners, corners[1:] + corners[:1])], "lo_x": cx, "hi_x": cx + w, "lo_y": cy, "hi_y": cy + h, "population": 7.0, "copies": 1})
+    piece, cut = reach._Piece(pa.Table.from_pylist(shapes)), reach._Piece._cut
+    monkeypatch.setattr(reach._Piece, "_cut", staticmethod(lambda lines, in1, *rest: met.append(in1.size) or cut(lines, in1, *rest)))
+
+    def sums():
+        met.clear()
+        found = []
+        for r, spread in ((200.0, 60), (120.0, 100), (300.0, 1)):
+            k = np.arange(12) * math.pi / 6
+            x, y = spread * np.cos(k), spread * np.sin(k)
+            circle, start, end = reach.free_arcs(x, y, r)
+            found.append(piece.sums(x, y, r, circle, start, end, x.min(), y.min(), (x.min() - r, x.max() + r, y.min() - r, y.max() + r), lambda a, b: np.ones(len(a), dtype=bool), True, True))
+        return found, sum(met)
+
+    got, pairs = sums()
+    monkeypatch.setattr(reach, "_facing", lambda x, *rest: [np.arange(len(x))])
+    want, all_pairs = sums()
+    assert [g[1:] for g in got] == [w[1:] for w in want] and [g[0] for g in got] == pytest.approx([w[0] for w in want], rel=1e-12)
+    assert pairs < 0.6 * all_pairs
+
+
 @pytest.fixture(scope="module")
 def category_case(spark):
     rng = random.Random(11)
