@@ -139,8 +139,11 @@ def _shapes(edges: DataFrame, polygon: str, rows: int) -> DataFrame:
 class _Piece:
     """The shapes of one piece of a cell as flat arrays."""
 
-    def __init__(self, table: pa.Table, least: float = LEAST_AREA):
-        self.least = least
+    def __init__(self, table: pa.Table, least: float = LEAST_AREA, by: str | None = None):
+        self.least, self.label = least, None
+        if by:
+            coded = table.column(by).combine_chunks().dictionary_encode()
+            self.label, self.names = coded.indices.to_numpy(), coded.dictionary
         listed = table.column("edges").combine_chunks()
         flat = listed.flatten()
         self.x1, self.y1, self.x2, self.y2 = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2"))
@@ -151,7 +154,11 @@ class _Piece:
         cross = (self.x1 - ox) * (self.y2 - oy) - (self.x2 - ox) * (self.y1 - oy)
         self.area = np.bincount(self.owner, cross / 2, len(self.lo_x))
 
-    def sums(self, x, y, r, circle, start, end, ox, oy, box, here, areas: bool, distances: bool) -> tuple[float, int, int]:
+    def _people(self, shapes: np.ndarray, people: np.ndarray) -> float | np.ndarray:
+        """The sum, or one for each label."""
+        return float(people.sum()) if self.label is None else np.bincount(self.label[shapes], people, len(self.names)).astype(float)
+
+    def sums(self, x, y, r, circle, start, end, ox, oy, box, here, areas: bool, distances: bool) -> tuple[float | np.ndarray, int, int]:
         """(population, polygons that share ground with the discs, polygons closer than r to a centre)."""
         near = np.nonzero((self.lo_x <= box[1]) & (self.hi_x >= box[0]) & (self.lo_y <= box[3]) & (self.hi_y >= box[2]) & here(np.maximum(self.lo_x, box[0]), np.maximum(self.lo_y, box[2])))[0]
         # Ground closer than r - wide to the middle lies in every disc, ground farther than r + wide in none.
@@ -168,14 +175,14 @@ class _Piece:
         chosen, full = near[~inside], np.concatenate(full)
         reached = int(self.copies[full].sum())
         full = full[self.area[full] > self.least]
-        people, count = float(self.population[full].sum()), int(self.copies[full].sum())
+        people, count = self._people(full, self.population[full]), int(self.copies[full].sum())
         if len(chosen):
             shared, close = self._along(chosen, x, y, r, circle, start, end, ox, oy, (mx, my, wide), areas, distances)
             if areas:
                 area = self.area[chosen]
                 hit = (shared > self.least) & (area > 0)
                 share = np.minimum(1.0, np.maximum(0.0, shared[hit] / area[hit]))
-                people += float((self.population[chosen][hit] * share).sum())
+                people += self._people(chosen[hit], self.population[chosen][hit] * share)
                 count += int(self.copies[chosen][hit].sum())
             reached += int(self.copies[chosen][close].sum())
         return people, count, reached
@@ -309,36 +316,41 @@ class _Piece:
         return np.bincount(z[row[hit]] * len(px) + k[hit], minlength=m * len(px))
 
 
-def _pieces_of(discs: DataFrame, shapes: DataFrame, size: float, key: str, areas: bool, distances: bool, by: Sequence[str] = (), least: float = LEAST_AREA) -> DataFrame:
+def _pieces_of(discs: DataFrame, shapes: DataFrame, size: float, key: str, areas: bool, distances: bool, by: str | None = None, least: float = LEAST_AREA) -> DataFrame:
     """Sums per key, radius and ``by`` (of the shapes), a row from each piece that the key's discs are in."""
-    place = ["cx", "cy"]
-    cells = [*place, *by]
+    cells = ["cx", "cy"]
     circles, polygons = box_cells(discs, size), box_cells(shapes, size)
-    counted = circles.groupBy(*place).agg(F.count(F.lit(1)).alias("_a")).join(polygons.groupBy(*cells).agg(F.count(F.lit(1)).alias("_b")), place)
+    counted = circles.groupBy(*cells).agg(F.count(F.lit(1)).alias("_a")).join(polygons.groupBy(*cells).agg(F.count(F.lit(1)).alias("_b")), cells)
     grid = cut_lineage(counted.select(*cells, F.ceil(F.col("_a") / KEY_ROWS).cast("int").alias("_i"), F.ceil(F.col("_b") / SHAPE_ROWS).cast("int").alias("_j")))
     pieces = grid.agg(F.coalesce(F.sum(F.col("_i").cast("long") * F.col("_j")), F.lit(0))).first()[0]
     keys = [*cells, "i", "j"]
     partitions = max(int(discs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(pieces, 4096))
 
     def deal(rows: DataFrame, own: str, other: str, mine: str, copied: str, told: list[str]) -> DataFrame:
-        dealt = rows.join(F.broadcast(grid) if pieces <= 100_000 else grid, [c for c in cells if c in rows.columns]).withColumn(mine, F.pmod(F.xxhash64(*told), F.col(own)).cast("int"))
+        dealt = rows.join(F.broadcast(grid) if pieces <= 100_000 else grid, cells).withColumn(mine, F.pmod(F.xxhash64(*told), F.col(own)).cast("int"))
         dealt = dealt.withColumn(copied, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_i", "_j")
         return dealt.repartition(partitions, *keys).groupBy(*keys)
 
     kind = discs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, radius double, {''.join(f'{c} {shapes.schema[c].dataType.simpleString()}, ' for c in by)}population double, zone_count bigint, reached bigint"
+    schema = f"{key} {kind}, radius double, population double, zone_count bigint, reached bigint" + (f", {by} {shapes.schema[by].dataType.simpleString()}" if by else "")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         made = []
         if a.num_rows and b.num_rows:
-            piece, cx, cy = _Piece(b, least), a.column("cx")[0].as_py(), a.column("cy")[0].as_py()
+            piece, cx, cy = _Piece(b, least, by), a.column("cx")[0].as_py(), a.column("cy")[0].as_py()
             here = lambda x, y: (np.floor(x / size) == cx) & (np.floor(y / size) == cy)
-            for row in a.drop_columns([key, *by]).to_pylist():
+            for row in a.drop_columns([key]).to_pylist():
                 x, y, circle, start, end = (np.array(row[c]) for c in ("x", "y", "circle", "start", "end"))
                 box = row["lo_x"], row["hi_x"], row["lo_y"], row["hi_y"]
                 made.append(piece.sums(x, y, row["radius"], circle.astype(np.int64), start, end, row["ox"], row["oy"], box, here, areas, distances))
         people, count, reached = zip(*made) if made else ((), (), ())
-        told = [key, "radius", *by]
+        told = [key, "radius"]
+        if by:
+            sums = np.array(people).reshape(len(made), -1)
+            row, label = np.nonzero(sums > 0)
+            none = pa.array(np.zeros(len(row), dtype=np.int64))
+            names = piece.names.take(pa.array(label)) if made else b.column(by).slice(0, 0)
+            return pa.table([*[a.column(c).take(pa.array(row)) for c in told], pa.array(sums[row, label]), none, none, names], names=[*told, "population", "zone_count", "reached", by])
         return pa.table([*[a.column(c).slice(0, len(made)) for c in told], pa.array(people, pa.float64()), pa.array(count, pa.int64()), pa.array(reached, pa.int64())], names=[*told, "population", "zone_count", "reached"])
 
     left = deal(circles, "_i", "_j", "i", "j", [key, "radius"])
@@ -385,7 +397,7 @@ def union_overlap(centres: DataFrame, tiles: DataFrame, radii: Sequence[float],
     has_wide = not wide.isEmpty()
     discs = cut_lineage(_discs(spots.join(wide, key, "left_anti") if has_wide else spots, radii, key))
     shapes = tiles.withColumnRenamed("area", "population").withColumn("copies", F.lit(1).cast("bigint"))
-    met = _pieces_of(discs.drop("buffer_area"), shapes, 2 * max(radii), key, True, False, by=["_by"], least=0.0)
+    met = _pieces_of(discs.drop("buffer_area"), shapes, 4 * max(radii), key, True, False, by="_by", least=0.0)
     found, buffers = met.select(key, "radius", "_by", F.col("population").alias("area")), discs.select(key, "radius", "buffer_area")
     if has_wide:
         many = spots.join(wide, key, "left_semi")
