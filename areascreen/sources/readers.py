@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -22,10 +23,14 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str, col
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], *, multi_line: bool = False) -> DataFrame:
     """Header CSV with every column as text; a malformed row fails the read.
 
-    Large files are split over tasks. ``multi_line`` allows line breaks inside quotes and reads a file in one task.
+    An empty cell is null and a pair of quotes is an empty text: the parser marks nulls with a name that no file holds. In
+    a file of one column both are null. Large files are split over tasks. ``multi_line`` allows line breaks inside quotes
+    and reads a file in one task.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False, multiLine=multi_line, escape='"')
+    return spark.read.csv(
+        path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False, multiLine=multi_line, escape='"',
+        charToEscapeQuoteEscaping='"', nullValue=uuid.uuid4().hex if len(columns) > 1 else "")
 
 
 def _features(spark: SparkSession, path: str, schema: str, *, lines: bool) -> DataFrame:

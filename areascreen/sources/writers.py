@@ -34,7 +34,9 @@ def write_parquet(df: DataFrame, path: str, types: dict[str, str] | None = None)
 def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
     """Header CSV with exactly the given fields; a column left over is an error.
 
-    Arrays, maps and structs become JSON cells.
+    Arrays, maps and structs become JSON cells. Blanks around a value are kept. A null is an empty cell and an empty text
+    a pair of quotes, so that ``read_csv`` can tell them apart; both are quoted in a file of one field, where a blank line
+    is no row.
     """
     extra = sorted(set(df.columns) - set(fields))
     if extra:
@@ -43,7 +45,9 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
         F.to_json(name).alias(name) if isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(name)
         for name in fields
     ]
-    df.select(*cells).write.mode("errorifexists").csv(path, header=True, quoteAll=True, escape='"')
+    df.select(*cells).write.mode("errorifexists").csv(
+        path, header=True, quoteAll=len(fields) == 1, escape='"', charToEscapeQuoteEscaping='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def geometry_metadata(edges: DataFrame, crs: str) -> DataFrame:

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from areascreen.operators import joins, population, quality
 from areascreen.sources import manifest, readers, writers
 from areascreen.sources.schemas import OUTCOMES, POPULATION
@@ -128,6 +130,25 @@ def test_csv_refuses_extra_columns_and_runs_are_never_overwritten(spark, tmp_pat
         writers.require_new(spark, [str(tmp_path / "fresh"), str(tmp_path / "out")])
 
 
+def test_csv_keeps_blanks_empty_texts_nulls_and_escapes(spark, tmp_path):
+    texts = [None, "", " ", " a ", "\n", "a\r\nb", "\t\x00", '\x00"b', 'x\x00\n"\\', "\\", "#", '""']
+    df = spark.createDataFrame([(str(n), text) for n, text in enumerate(texts)], "id string, text string").coalesce(1)
+    writers.write_csv(df, str(tmp_path / "out"), ["id", "text"])
+    rows = readers.read_csv(spark, str(tmp_path / "out"), ["id", "text"], multi_line=True).collect()
+    assert {r["id"]: r["text"] for r in rows} == {str(n): text for n, text in enumerate(texts)}
+    writers.write_csv(df.select("text"), str(tmp_path / "one"), ["text"])  # a blank line would be no row
+    assert readers.read_csv(spark, str(tmp_path / "one"), ["text"], multi_line=True).count() == len(texts)
+
+
+def test_csv_query_gives_the_values_of_its_sql(spark, tmp_path):
+    rows = [(1, " a ", "", None), (2, "", "en", 'q"\\'), (3, None, None, "src")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in contract.queries()["S2_S8_csv"](spark, str(tmp_path)).collect()}
+    digest = lambda text: None if text is None else hashlib.sha256(text.encode()).hexdigest()
+    assert {k: (r["digest"], r["lang"], r["tags"]) for k, r in got.items()} == {
+        str(k): (digest(text), lang, None if source is None else f'["{source}"]') for k, text, lang, source in rows}
+
+
 def test_manifest_finds_changed_missing_and_unexpected_files(spark):
     columns = "file_name string, byte_size bigint, sha256 string"
     recorded = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("c", 1, "z")], columns)
