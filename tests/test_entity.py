@@ -307,3 +307,29 @@ def test_reviews_search_no_hot_keys_and_long_tables_give_the_same(spark, monkeyp
     monkeypatch.setattr(entity, "LOOKUP_ROWS", 10, raising=False)
     monkeypatch.setattr(entity, "salted_join", lambda *a, **k: pytest.fail("rows counted by key or shuffled"))
     assert told() == long and len(long) > 0
+
+
+def test_routing_plan_keeps_every_exit_that_is_closest_somewhere(spark):
+    draw = random.Random(11)
+    homes = [(n, 1, float(draw.randrange(40)), float(draw.randrange(40))) for n in range(150)] + [(900, 2, None, 3.0)]
+    doors = [(n, n % 6, float(draw.randrange(40)), float(draw.randrange(40))) for n in range(300)]  # many ties, nodes on both sides
+    plan = od.routing_plan(
+        spark.createDataFrame(homes, "origin_id int, population int, x double, y double"),
+        spark.createDataFrame(doors, "exit_id int, node_id int, x double, y double"), ["s"], reach_metres=7.0)
+    best = {}
+    for o, _, x, y in homes[:-1]:
+        for e, node, ex, ey in doors:
+            d2 = (x - ex) ** 2 + (y - ey) ** 2
+            if d2 <= 49:
+                best[o, node] = min(best.get((o, node), (d2, e)), (d2, e))
+    assert {(r["origin_id"], r["node_id"]): (r["nearest_distance"], r["exit_id"]) for r in plan.collect()} == {
+        k: (math.sqrt(d2), e) for k, (d2, e) in best.items()}
+
+
+def test_pairs_of_a_routing_plan_are_neither_shuffled_nor_sorted(spark):
+    homes = spark.createDataFrame([(1, 1, 0.0, 0.0)], "origin_id int, population int, x double, y double")
+    doors = spark.createDataFrame([(1, 1, 1.0, 1.0)], "exit_id int, node_id int, x double, y double")
+    plan = od.routing_plan(homes, doors, ["s"], reach_metres=9.0)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Union")[0]  # what follows the join with the cells, for nodes of one part
+    whole = plan.split("Union")[1].split("Join")[0]
+    assert "Union" in plan and not any(step in above + whole for step in ("Join", "Aggregate", "Repartition", "Sort"))
