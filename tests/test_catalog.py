@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from areascreen.catalog import network
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = (
@@ -43,3 +46,11 @@ def test_geography_policy_takes_the_least_area_on_a_border():
 
 def test_entry_runs(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_balanced_pairs_make_no_trip_id_for_pairs_that_are_not_chosen(spark, monkeypatch):
+    monkeypatch.setattr(network.od, "routing_plan", lambda *a, **k: pytest.fail("ids of all pairs"))
+    rows = network.balanced(spark, "/root/testdata/sf0.01").collect()
+    told = lambda r: hashlib.sha256(f"{r['origin_id']}|{r['node_id']}|{r['exit_id']}|{r['scenario_id']}".encode()).hexdigest()
+    assert len(rows) == 36 and {r["scenario_id"] for r in rows} == {network.SCENARIOS[0]}
+    assert all(r["od_plan_id"] == "OD_" + told(r)[:16].upper() for r in rows)
