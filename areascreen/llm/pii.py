@@ -24,8 +24,8 @@ _PATTERN = {
     "card": r"[0-9][0-9 -]+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Tokens that may be secrets: at least 12 characters of the alphabets of keys.
-_CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{12,}+"
+#: Tokens that may be secrets: at least 12 characters of the alphabets of keys, a digit among them.
+_CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+"
 #: Words before a value that mark it as secret, and characters of text before a candidate that are read for them.
 SECRET_WORDS = ["token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential"]
 _BEFORE = 32
@@ -59,36 +59,42 @@ def _valid(kind: str, match: Column) -> Column:
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of all leftmost matches, in code points: what splitting leaves gives the places."""
     found, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
-    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"), m.alias("text")))
+    sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"), m.alias("text")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("spans"))
-    return F.aggregate(sizes, start, lambda acc, m: F.struct(
+    return F.aggregate(sizes, start, lambda acc, m: F.when(m["text"].isNull(), acc).otherwise(F.struct(  # no match follows the last gap
         (acc["at"] + m["gap"] + m["own"]).alias("at"),
-        F.concat(acc["spans"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + m["own"]).alias("end"), m["text"].alias("text")))).alias("spans")))["spans"]
+        F.concat(acc["spans"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + m["own"]).alias("end"), m["text"].alias("text")))).alias("spans"))))["spans"]
 
 
+#: Columns used inside.
+_OWN = ["_candidates", "_digits", *[f"_{k}" for k in KINDS]]
 _NO_MATCH = "array<struct<start:int,end:int,text:string>>"
 
 
 def _with_base(docs: DataFrame) -> DataFrame:
-    """``docs`` and one array of spans per kind. A kind is searched only in texts that hold what it needs."""
+    """``docs``, one array of spans per kind, and ``_digits``: whether a text holds any. A kind is searched only in texts
+    that hold what it needs; all but mail addresses need digits, which many texts lack."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = {
         "email": F.regexp_replace(text, r"\.(?![A-Za-z0-9-])", "%"), "ip": text,
         "card": F.regexp_replace(text, r"[ -](?![0-9])", "x"), "phone": text}
-    needs = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{12}", "phone": r"\+[0-9]"}
+    needs = {kind: F.col("_digits") & text.rlike(p) for kind, p in (("ip", r"[0-9]\.[0-9]"), ("card", r"[0-9][0-9 -]{12}"), ("phone", r"\+[0-9]"))}
+    needs["email"] = F.contains(text, F.lit("@"))
 
     def spans(kind: str) -> Column:
-        return F.when(text.rlike(needs[kind]), F.filter(_matches(read[kind], _PATTERN[kind]), lambda m: _valid(kind, m["text"]))).otherwise(F.array().cast(_NO_MATCH))
+        return F.when(needs[kind], F.filter(_matches(read[kind], _PATTERN[kind]), lambda m: _valid(kind, m["text"]))).otherwise(F.array().cast(_NO_MATCH))
 
-    return docs.withColumns({f"_{kind}": spans(kind) for kind in KINDS})
+    return docs.withColumn("_digits", text.rlike("[0-9]")).withColumns({f"_{kind}": spans(kind) for kind in KINDS})
 
 
 def _with_candidates(docs: DataFrame) -> DataFrame:
     """``docs`` and ``_candidates``: spans with their text and the text before them, but for those inside base spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    found = F.when(text.rlike(_CANDIDATE), F.filter(_matches(text, _CANDIDATE), lambda m: m["text"].rlike("[0-9]"))).otherwise(F.array().cast(_NO_MATCH))
-    free = F.filter(found, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    found = F.when(F.col("_digits") & text.rlike(_CANDIDATE), _matches(text, _CANDIDATE)).otherwise(F.array().cast(_NO_MATCH))
+    # A bound variable holds the base spans; as a plain expression they would be searched again for each candidate.
+    free = F.flatten(F.transform(F.array(base), lambda spans: F.filter(
+        found, lambda m: ~F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))))
     return docs.withColumn("_candidates", F.transform(free, lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"),
         F.lower(F.substr(text, F.greatest(F.lit(1), m["start"] + 1 - _BEFORE), F.least(F.lit(_BEFORE), m["start"]))).alias("before"))))
@@ -145,9 +151,17 @@ def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) ->
     return share, rates, posterior
 
 
+def candidate_spans(docs: DataFrame) -> DataFrame:
+    """c: every candidate of every document. Texts without a token of the right form are left out ahead of the base spans."""
+    text = F.col("text").cast("string")
+    holding = docs.select("text").filter(text.rlike("[0-9]")).filter(text.rlike(_CANDIDATE))
+    # The outer form, as the plain one would add a filter that works the array out a second time.
+    return _with_candidates(_with_base(holding)).select(F.explode_outer("_candidates").alias("c")).filter("c IS NOT NULL")
+
+
 def train(docs: DataFrame) -> dict[str, float]:
     """Log odds of every feature value, and of the share ("share"), from the candidates of all documents."""
-    spans = _with_candidates(_with_base(docs.select("text"))).select(F.explode("_candidates").alias("c"))
+    spans = candidate_spans(docs)
     counts = spans.select(_votes(F.col("c")).alias("votes"), _features(F.col("c")).alias("features")).groupBy("votes", "features").agg(F.count(F.lit(1)).alias("n"))
     held = [(tuple(r["votes"]), tuple(r["features"]), r["n"]) for r in counts.collect()]  # closed values: bounded by their number
     patterns: dict[tuple[int, ...], int] = {}
@@ -173,7 +187,7 @@ def find(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     classifier accepts are added as SECRET. Null or empty texts have no spans. Each row stands for itself, so repeated
     rows have equal results; other columns pass through, but a column called ``pii`` is replaced; an empty table gives no rows.
     """
-    taken = {c: f"_kept {n} {c}" for n, c in enumerate(docs.columns) if c == "_candidates" or c in [f"_{k}" for k in KINDS]}
+    taken = {c: f"_kept {n} {c}" for n, c in enumerate(docs.columns) if c in _OWN}
     docs = docs.withColumnsRenamed(taken)  # columns called like those used inside come back under their names
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.create_map(F.lit("share"), F.lit(0.0))
     found = _with_candidates(_with_base(docs.drop("pii")))
@@ -185,7 +199,7 @@ def find(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
     arrays = [named(F.col(f"_{kind}"), n, kind) for n, kind in enumerate(KINDS)] + [named(added, len(KINDS), SECRET)]
-    return found.withColumn("pii", F.array_sort(F.concat(*arrays))).drop("_candidates", *[f"_{k}" for k in KINDS]).withColumnsRenamed({v: k for k, v in taken.items()})
+    return found.withColumn("pii", F.array_sort(F.concat(*arrays))).drop(*_OWN).withColumnsRenamed({v: k for k, v in taken.items()})
 
 
 def redact(found: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from areascreen.llm.chat import format_conversations, read_back
 from areascreen.llm.near_dup import near_duplicates
 from areascreen.llm import packing
 from areascreen.llm.packing import pack, piece_lengths
+from areascreen.llm import pii
 from areascreen.llm.pii import KINDS, find, redact, train
 from areascreen.llm.quality import score_quality
 from areascreen.llm.sharding import shard
@@ -279,3 +280,16 @@ def test_batches_of_text_stay_within_a_megabyte():
     cut = list(text_batches(iter([pa.RecordBatch.from_pydict({"text": texts})])))
     assert [t for batch in cut for t in batch.column("text").to_pylist()] == texts
     assert all(batch.num_rows == 1 or sum(len(t or "") for t in batch.column("text").to_pylist()) <= 1 << 20 for batch in cut)
+
+
+def test_training_searches_a_text_once_for_each_kind_and_for_candidates(spark):
+    docs = spark.createDataFrame([("x",)], "text string")
+    plan = pii.candidate_spans(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(pii.KINDS) + 1
+
+
+def test_candidates_are_long_tokens_with_a_digit_outside_base_spans(spark):
+    texts = ["abcdefghijklmnop", "key=abcdefghijk1 x1bcdefghijklm", "abcdefghijk 1bcdefghij", None, "", "abcdefghijklm-1_2/3+ 9", "a.long.name1234567890@example.org zz00112233445566", "=abcdefghijk1 é0123456789ab"]
+    rows = pii.candidate_spans(spark.createDataFrame([(t,) for t in texts], "text string")).select("c.start", "c.end", "c.text").collect()
+    assert sorted(tuple(r) for r in rows) == [
+        (0, 20, "abcdefghijklm-1_2/3+"), (15, 27, "0123456789ab"), (17, 31, "x1bcdefghijklm"), (34, 50, "zz00112233445566")]
